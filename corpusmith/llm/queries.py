@@ -7,12 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmith.llm.bpe import op8_bpe
+from corpusmith.llm.hilbert_ann import op2_hilbert_ann
+from corpusmith.llm.license_scan import op1_license_scan
 from corpusmith.llm.packing import op10_best_fit_packing
+from corpusmith.llm.pii import op7_pii
+from corpusmith.llm.quality import op4_quality_rules
+from corpusmith.llm.simhash import op5_simhash
 from corpusmith.llm.token_files import op9_token_files
+from corpusmith.llm.toxicity import op3_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_license_scan,
+        op2_hilbert_ann,
+        op3_toxicity,
+        op4_quality_rules,
+        op5_simhash,
+        op7_pii,
         op8_bpe,
         op9_token_files,
         op10_best_fit_packing,
