@@ -18,6 +18,7 @@ carried along.
 from __future__ import annotations
 
 from collections import Counter
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,14 @@ from corpusmith.llm import common
 MAX_TRAIN = 20_000
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
-COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_distinct_words", "n_upper", "n_marks")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_adjacent", "n_upper", "n_marks")
 #: What rules may test; each is a ratio that does not grow with the text.
 FEATURES: dict[str, tuple[str, str]] = {
     "word_length": ("word_chars", "n_words"),
     "symbols_per_word": ("n_symbols", "n_words"),
     "dup_line_share": ("n_dup_lines", "n_lines"),
     "repeat_share": ("n_repeat_words", "n_words"),
-    "distinct_share": ("n_distinct_words", "n_words"),
+    "adjacent_share": ("n_adjacent", "n_words"),
     "upper_share": ("n_upper", "word_chars"),
     "marks_per_word": ("n_marks", "n_words"),
 }
@@ -64,11 +65,11 @@ def text_counts(text: str) -> tuple[int, ...]:
             if count[w] > 1:
                 repeated += k + 3 - max(reach, k)
                 reach = k + 3
-    distinct = len(set(words))
+    adjacent = sum(map(eq, words, words[1:]))
     ascii_text = text.encode("ascii", "ignore")
     upper = len(ascii_text) - len(ascii_text.translate(None, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"))
     marks = text.count("!") + text.count("?")
-    return n, chars, symbols, dup, repeated, full, distinct, upper, marks
+    return n, chars, symbols, dup, repeated, full, adjacent, upper, marks
 
 
 def _counts(batches):
@@ -129,14 +130,21 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str], max_rules: int
             p, q = (c & bad).sum(), (c & ~bad).sum()  # noqa: B023
             return (p - q) / (p + q) if p + q else -1.0
 
-        while len(rule) > 1 and worth(rule[:-1], prune) >= worth(rule, prune):
-            rule.pop()
+        def precise(r: list[int]) -> bool:
+            c = left.copy()
+            for t in r:
+                c &= m[t]
+            return (bad & c).sum() >= max(min_cover, min_precision * c.sum())  # noqa: B023
+
+        # Prune: of the rule's beginnings that are precise enough, the shortest of the most worth.
+        options = [rule[:k] for k in range(1, len(rule) + 1) if precise(rule[:k])]
+        if not options:
+            break
+        rule = max(options, key=lambda r: (worth(r, prune), -len(r)))  # noqa: B023
+        rules.append([terms[t] for t in rule])
         cover = left.copy()
         for t in rule:
             cover &= m[t]
-        if not rule or (bad & cover).sum() < min_cover or (bad & cover).sum() < min_precision * cover.sum():
-            break
-        rules.append([terms[t] for t in rule])
         left &= ~cover
     return rules
 

@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: noisy-or over sentences, trained from document labels.
 
-A sentence's probability is a logistic of the weights of its words (hashed, each once); a
+A sentence's probability is a logistic of the weights of its words and their beginnings (hashed, each once); a
 document's is 1 - prod(1 - p) over its sentences. Only document labels are known; the
 likelihood's gradient shares a document's label out among its sentences. The sentence
 probabilities then locate the offending sentences.
@@ -32,20 +32,24 @@ BUCKETS = 1 << 18
 MAX_TRAIN = 4000
 MAX_FEATURES = 512
 FOLDS = 5
-BIAS = -7.0
+BIAS = -11.0
 SENTENCE = re.compile(r"[^.!?\n]+")
+PREFIXES = (3, 4, 5, 6)
 STRIP = ".,;:!?\"'()[]{}*#$%&|<>"
 SCORED = "doc_id long, score double, n_offending int, worst_start long, worst_end long, worst_score double"
 
-_BUCKET: dict[str, int] = {}
+_BUCKETS: dict[str, tuple[int, ...]] = {}
 
 
-def bucket(word: str) -> int:
-    got = _BUCKET.get(word)
+def buckets(word: str) -> tuple[int, ...]:
+    """Hashed features of a word: the word, and its beginnings, which endings don't hide."""
+    got = _BUCKETS.get(word)
     if got is None:
-        if len(_BUCKET) > 1_000_000:
-            _BUCKET.clear()
-        got = _BUCKET[word] = zlib.crc32(word.lower().strip(STRIP).encode()) % BUCKETS
+        if len(_BUCKETS) > 300_000:
+            _BUCKETS.clear()
+        w = word.lower().strip(STRIP)
+        names = [w, *(w[:k] + "~" for k in PREFIXES if len(w) > k)]
+        got = _BUCKETS[word] = tuple(zlib.crc32(x.encode()) % BUCKETS for x in names)
     return got
 
 
@@ -63,7 +67,7 @@ def _document_counts(batches):
     for batch in batches:
         n = np.zeros((2, BUCKETS), np.int64)
         for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            n[toxic, list(set(map(bucket, text.split())))] += 1
+            n[toxic, list({k for w in set(text.split()) for k in buckets(w)})] += 1
         t, b = np.nonzero(n)
         yield pa.record_batch([pa.array(b), pa.array(t), pa.array(n[t, b])], names=["bucket", "toxic", "n"])
 
@@ -76,7 +80,7 @@ def _occurrences(features: dict[int, int]):
                 spans = sentences(text)
                 rows = []
                 for a, b in spans:
-                    got = {features[k] for k in map(bucket, text[a:b].split()) if k in features}
+                    got = {features[k] for w in text[a:b].split() for k in buckets(w) if k in features}
                     if got:
                         rows.append(sorted(got))
                 docs.append(doc)
@@ -92,7 +96,7 @@ def _occurrences(features: dict[int, int]):
 
 
 def fit_noisy_or(n_sentences: np.ndarray, hits: list, toxic: np.ndarray, n_features: int, rounds: int = 400, rate: float = 0.1, l2: float = 1e-4):
-    """Weights and bias by Adam on the noisy-or likelihood, both classes weighing the same.
+    """Weights and bias by Adam on the noisy-or likelihood.
 
     Sentences without a feature all have the bias's probability, so a document needs their number alone.
     """
@@ -101,7 +105,7 @@ def fit_noisy_or(n_sentences: np.ndarray, hits: list, toxic: np.ndarray, n_featu
     sent = np.array([s for s, r in enumerate(flat) for _ in r], np.int64)
     feat = np.array([f for r in flat for f in r], np.int64)
     plain = n_sentences - np.bincount(doc, minlength=len(n_sentences))
-    weight = np.where(toxic == 1, 0.5 / max(1, (toxic == 1).sum()), 0.5 / max(1, (toxic == 0).sum()))
+    weight = np.full(len(toxic), 1 / max(1, len(toxic)))
     theta = np.zeros(n_features + 1)
     theta[-1] = BIAS
     m, v = np.zeros_like(theta), np.zeros_like(theta)
@@ -141,9 +145,9 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
     n[counts["toxic"], counts["bucket"]] = counts["n"]
     share = (n + 0.5) / np.array([[size[0] + 1], [size[1] + 1]])
     both = n.sum(axis=0)
-    mean = both / (size[0] + size[1])
+    mean = (both + 1) / (size[0] + size[1] + 2)
     z = (share[1] - share[0]) / np.sqrt(np.maximum(mean * (1 - mean), 1e-9) * (1 / size[0] + 1 / size[1]))
-    best = [int(b) for b in np.argsort(-np.abs(z), kind="stable")[:max_features] if both[b] >= 5 and abs(z[b]) > 4]
+    best = [int(b) for b in np.argsort(-np.abs(z), kind="stable")[:max_features] if both[b] >= 4 and abs(z[b]) > 4]
     if not best:
         return {}, BIAS
     features = {b: k for k, b in enumerate(best)}
@@ -157,8 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
 def _score(weights: dict[int, float], bias: float):
     def run(batches):
         p0 = np.log1p(np.exp(bias))
-        get = weights.get
-        by_word: dict[str, float] = {}
+        by_word: dict[str, bool] = {}
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -168,7 +171,7 @@ def _score(weights: dict[int, float], bias: float):
                 for w in set(text.split()):
                     x = by_word.get(w)
                     if x is None:
-                        x = by_word[w] = get(bucket(w), 0.0)
+                        x = by_word[w] = any(k in weights for k in buckets(w))
                     if x:
                         told.add(w)
                 spans = sentences(text)
@@ -177,7 +180,7 @@ def _score(weights: dict[int, float], bias: float):
                     miss = len(spans) * p0
                 else:
                     for a, b in spans:
-                        hit = {bucket(w) for w in text[a:b].split() if w in told}
+                        hit = {k for w in text[a:b].split() if w in told for k in buckets(w) if k in weights}
                         z = bias + sum(weights[k] for k in sorted(hit))
                         miss += float(np.logaddexp(0, z)) if hit else p0
                         bad += z >= 0
