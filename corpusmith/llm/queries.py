@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from corpusmith.llm.bpe import op8_bpe
 from corpusmith.llm.hilbert_ann import op2_hilbert_ann
 from corpusmith.llm.license_scan import op1_license_scan
+from corpusmith.llm.line_dedup import op6_line_dedup
 from corpusmith.llm.packing import op10_best_fit_packing
 from corpusmith.llm.pii import op7_pii
 from corpusmith.llm.quality import op4_quality_rules
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_toxicity,
         op4_quality_rules,
         op5_simhash,
+        op6_line_dedup,
         op7_pii,
         op8_bpe,
         op9_token_files,

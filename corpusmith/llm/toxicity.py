@@ -158,35 +158,43 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
     return dict(zip(best, w.tolist(), strict=True)), b
 
 
+def _scorer(weights: dict[int, float], bias: float):
+    """text -> (score, offending sentences, worst start, worst end, worst score)."""
+    p0 = np.log1p(np.exp(bias))
+    by_word: dict[str, bool] = {}
+
+    def one(text: str) -> tuple:
+        if len(by_word) > 1_000_000:
+            by_word.clear()
+        told = set()
+        for w in set(text.split()):
+            x = by_word.get(w)
+            if x is None:
+                x = by_word[w] = any(k in weights for k in buckets(w))
+            if x:
+                told.add(w)
+        spans = sentences(text)
+        miss, worst, at, bad = 0.0, bias, spans[0], 0
+        if not told:
+            miss = len(spans) * p0
+        else:
+            for a, b in spans:
+                hit = {k for w in text[a:b].split() if w in told for k in buckets(w) if k in weights}
+                z = bias + sum(weights[k] for k in sorted(hit))
+                miss += float(np.logaddexp(0, z)) if hit else p0
+                bad += z >= 0
+                if z > worst:
+                    worst, at = z, (a, b)
+        return float(-np.expm1(-miss)), bad, *at, float(1 / (1 + np.exp(-worst)))
+
+    return one
+
+
 def _score(weights: dict[int, float], bias: float):
     def run(batches):
-        p0 = np.log1p(np.exp(bias))
-        by_word: dict[str, bool] = {}
+        one = _scorer(weights, bias)
         for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if len(by_word) > 1_000_000:
-                    by_word.clear()
-                told = set()
-                for w in set(text.split()):
-                    x = by_word.get(w)
-                    if x is None:
-                        x = by_word[w] = any(k in weights for k in buckets(w))
-                    if x:
-                        told.add(w)
-                spans = sentences(text)
-                miss, worst, at, bad = 0.0, bias, spans[0], 0
-                if not told:
-                    miss = len(spans) * p0
-                else:
-                    for a, b in spans:
-                        hit = {k for w in text[a:b].split() if w in told for k in buckets(w) if k in weights}
-                        z = bias + sum(weights[k] for k in sorted(hit))
-                        miss += float(np.logaddexp(0, z)) if hit else p0
-                        bad += z >= 0
-                        if z > worst:
-                            worst, at = z, (a, b)
-                out.append((doc, float(-np.expm1(-miss)), bad, *at, float(1 / (1 + np.exp(-worst)))))
+            out = [(doc, *one(text)) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
             yield pa.record_batch(
@@ -202,6 +210,18 @@ def score(docs: DataFrame, weights: dict[int, float], bias: float) -> DataFrame:
     return rows.mapInArrow(_score(weights, bias), SCORED)
 
 
+def keep_clean(docs: DataFrame, weights: dict[int, float], bias: float, limit: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the limit, all columns kept."""
+    where = docs.columns.index("text")
+
+    def run(batches):
+        one = _scorer(weights, bias)
+        for batch in batches:
+            yield batch.filter(pa.array([one(x or "")[0] < limit for x in batch.column(where).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     found = score(docs, *train(docs, common.table(spark, sf_dir, "labels")))
