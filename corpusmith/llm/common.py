@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN_SCRATCH: list[str] = []
 
 
@@ -30,10 +31,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it again: cuts lineage, survives lost executors."""
+    """Write df to the shared folder and read it again: cuts lineage, survives lost executors.
+
+    The write's own shuffle files are removed when it ends; nothing else can read them.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -85,3 +94,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def least_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows, those of the least hashes of key; ties by key.
+
+    A bound on the hash, from the count of rows, leaves about twice as many before they are
+    sorted, so that each task hands on its share alone.
+    """
+    h = F.xxhash64(key)
+    n = rows.count()
+    if n > 4 * most:
+        rows = rows.where(h < -(1 << 63) + int((1 << 64) * 2 * most / n))
+    return rows.orderBy(h, key).limit(most)
