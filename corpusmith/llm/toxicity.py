@@ -133,7 +133,7 @@ def fit_noisy_or(n_sentences: np.ndarray, hits: list, toxic: np.ndarray, n_featu
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> tuple[dict[int, float], float]:
     """Weights by bucket, and the bias."""
     marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
-    parts = [marked.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train) for k in (0, 1)]
+    parts = [common.least_hashes(marked.where(F.col("toxic") == k), "doc_id", max_train) for k in (0, 1)]
     chosen, _ = common.materialize(parts[0].union(parts[1]), "chosen")  # at most 2 * max_train rows
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
     picked, _ = common.materialize(rows.select("doc_id", "text", "toxic"), "training")
