@@ -242,4 +242,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE_WORDS, budget: int = BUDGET) -
     """docs with one row of each component: the row of its smallest doc_id. Rows without doc_id stay."""
     found = components(docs, size, budget)
     keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(keep, F.col("doc_id") == F.col("kept_id"), "left_semi").union(docs.where("doc_id is null"))
+    # The rows travel as one struct, so that no column of theirs can clash.
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("d"))
+    kept = rows.join(keep, F.col("d.doc_id") == F.col("kept_id"), "left_semi")
+    return kept.union(rows.where("d.doc_id is null")).select(*(F.col(f"d.`{c}`").alias(c) for c in docs.columns))
