@@ -36,6 +36,7 @@ BIAS = -11.0
 SENTENCE = re.compile(r"[^.!?\n]+")
 PREFIXES = (3, 4, 5, 6)
 STRIP = ".,;:!?\"'()[]{}*#$%&|<>"
+MARKS = str.maketrans(".!?", "   ")  # a word ends where a sentence does
 SCORED = "doc_id long, score double, n_offending int, worst_start long, worst_end long, worst_score double"
 
 _BUCKETS: dict[str, tuple[int, ...]] = {}
@@ -67,7 +68,7 @@ def _document_counts(batches):
     for batch in batches:
         n = np.zeros((2, BUCKETS), np.int64)
         for text, toxic in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            n[toxic, list({k for w in set(text.split()) for k in buckets(w)})] += 1
+            n[toxic, list({k for w in set(text.translate(MARKS).split()) for k in buckets(w)})] += 1
         t, b = np.nonzero(n)
         yield pa.record_batch([pa.array(b), pa.array(t), pa.array(n[t, b])], names=["bucket", "toxic", "n"])
 
@@ -167,7 +168,8 @@ def _scorer(weights: dict[int, float], bias: float):
         if len(by_word) > 1_000_000:
             by_word.clear()
         told = set()
-        for w in set(text.split()):
+        plain = text.translate(MARKS)
+        for w in set(plain.split()):
             x = by_word.get(w)
             if x is None:
                 x = by_word[w] = any(k in weights for k in buckets(w))
@@ -179,7 +181,7 @@ def _scorer(weights: dict[int, float], bias: float):
             miss = len(spans) * p0
         else:
             for a, b in spans:
-                hit = {k for w in text[a:b].split() if w in told for k in buckets(w) if k in weights}
+                hit = {k for w in plain[a:b].split() if w in told for k in buckets(w) if k in weights}
                 z = bias + sum(weights[k] for k in sorted(hit))
                 miss += float(np.logaddexp(0, z)) if hit else p0
                 bad += z >= 0
