@@ -165,7 +165,7 @@ def nearest(
     n = rows.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
+    sample = common.least_hashes(rows, "vec_id", sample_rows).toArrow()
     x = _matrix(sample.column("vec"), sample.num_rows)
     bases = _curves(x.shape[1], n_curves, dims, seed)
     centre = [(x @ b).mean(axis=0) for b in bases]
