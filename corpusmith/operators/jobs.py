@@ -19,7 +19,7 @@ def benchmark_jobs(spark: SparkSession, datasets: Sequence[str], acts: Sequence[
     """Datasets x acts x read counts x models in that nesting; small by construction, so a cross join."""
     if bad := [a for a in acts if a not in ACTS]:
         raise ValueError(f"unknown acts {bad}")
-    models = [("base", m) for m in base_models] + ([("pec", own_model)] if own_model else [])
+    models = [("base", m) for m in base_models] + ([("compressed", own_model)] if own_model else [])
     model = spark.createDataFrame([(*m, k) for k, m in enumerate(models)], "kind string, model_name string, model_order int")
     rows = _listed(spark, "dataset_name", datasets, "string").join(catalog(spark).select("dataset_name", "supports_pal"), "dataset_name")
     rows = rows.crossJoin(_listed(spark, "act", acts, "string")).where((F.col("act") != "pal") | F.col("supports_pal"))
@@ -32,7 +32,7 @@ def heldout_jobs(spark: SparkSession, base_models: Sequence[str], scenarios: Seq
     """Base: models x thinking x scenarios; own: scenarios x thinking."""
     repeats = {"base_no_hint": 1, "base_prompt_twice": 2}
     base = [("base", s, m, t, repeats[s]) for m in base_models for t in thinking for s in scenarios]
-    own = [("pec", s, own_model, t, None) for s in ("pec_with_hint", "pec_masked_hint") for t in thinking]
+    own = [("compressed", s, own_model, t, None) for s in ("compressed_with_hint", "compressed_masked_hint") for t in thinking]
     schema = "job_idx int, kind string, scenario string, model_name string, enable_thinking boolean, prompt_repeat_count int"
     rows = spark.createDataFrame([(k, *j) for k, j in enumerate(base + own)], schema)
     mode = F.when(F.col("enable_thinking"), "thinking_on").otherwise("thinking_off")

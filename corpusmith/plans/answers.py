@@ -197,10 +197,10 @@ def score_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("k", "strict_score", "relaxed_score")
 
 
-@query("prediction_record", with_scored("SELECT k, raw, t AS prediction_text, strict_parsed, relaxed_parsed, strict_score, relaxed_score, no_boxed, g % 2 + 1 > 1 AS use_re2 FROM scored"))
+@query("prediction_record", with_scored("SELECT k, raw, t AS prediction_text, strict_parsed, relaxed_parsed, strict_score, relaxed_score, no_boxed, g % 2 + 1 > 1 AS use_reread FROM scored"))
 def prediction_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = scored(spark, sf_dir).withColumn("use_re2", F.col("g") % 2 + 1 > 1).withColumnRenamed("t", "prediction_text")
-    return rows.select("k", "raw", "prediction_text", "strict_parsed", "relaxed_parsed", "strict_score", "relaxed_score", "no_boxed", "use_re2")
+    rows = scored(spark, sf_dir).withColumn("use_reread", F.col("g") % 2 + 1 > 1).withColumnRenamed("t", "prediction_text")
+    return rows.select("k", "raw", "prediction_text", "strict_parsed", "relaxed_parsed", "strict_score", "relaxed_score", "no_boxed", "use_reread")
 
 
 @query("end_to_end_eval", with_scored(f"SELECT *, {RATES_SQL} FROM (SELECT flag, {SUMMARY_SQL} FROM scored GROUP BY flag)"))

@@ -25,7 +25,7 @@ JOBS_SQL = (
     "CAST(read_times - 1 AS INT) AS read_times_order, CAST(model_order AS INT) AS model_order "
     f"FROM {_values([(n, k) for k, n in enumerate(NAMES)], 'dataset_name', 'dataset_name_order')} JOIN {CATALOG_SQL} d USING (dataset_name) "
     f"CROSS JOIN {_values([(a, k) for k, a in enumerate(ACTS)], 'act', 'act_order')} CROSS JOIN (VALUES (1), (2)) r(read_times) "
-    "CROSS JOIN (VALUES ('base', 0), ('pec', 1)) m(kind, model_order) WHERE act <> 'pal' OR supports_pal"
+    "CROSS JOIN (VALUES ('base', 0), ('compressed', 1)) m(kind, model_order) WHERE act <> 'pal' OR supports_pal"
 )
 
 
@@ -46,7 +46,7 @@ SCENARIOS = ("base_no_hint", "base_prompt_twice")
     "SELECT CAST(row_number() OVER (ORDER BY o, t, s) - 1 AS INT) AS job_idx, kind, scenario, 'Qwen/Qwen3-1.7B' AS model_name, enable_thinking, CAST(prompt_repeat_count AS INT) AS prompt_repeat_count, "
     "scenario || CASE WHEN enable_thinking THEN '__thinking_on' ELSE '__thinking_off' END || '__qwen_qwen3_1_7b' AS job_name FROM (VALUES "
     "(0, 0, 0, 'base', 'base_no_hint', true, 1), (0, 0, 1, 'base', 'base_prompt_twice', true, 2), (0, 1, 0, 'base', 'base_no_hint', false, 1), (0, 1, 1, 'base', 'base_prompt_twice', false, 2), "
-    "(1, 0, 0, 'pec', 'pec_with_hint', true, NULL), (1, 0, 1, 'pec', 'pec_with_hint', false, NULL), (1, 1, 0, 'pec', 'pec_masked_hint', true, NULL), (1, 1, 1, 'pec', 'pec_masked_hint', false, NULL)"
+    "(1, 0, 0, 'compressed', 'compressed_with_hint', true, NULL), (1, 0, 1, 'compressed', 'compressed_with_hint', false, NULL), (1, 1, 0, 'compressed', 'compressed_masked_hint', true, NULL), (1, 1, 1, 'compressed', 'compressed_masked_hint', false, NULL)"
     ") v(o, t, s, kind, scenario, enable_thinking, prompt_repeat_count)",
 )
 def eval_job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
