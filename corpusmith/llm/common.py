@@ -107,3 +107,10 @@ def least_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
     if n > 4 * most:
         rows = rows.where(h < -(1 << 63) + int((1 << 64) * 2 * most / n))
     return rows.orderBy(h, key).limit(most)
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches cut into smaller ones, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -105,7 +105,7 @@ class CachedEncoder:
     def _plain(self, text: str) -> bytes:
         """ids of a text without special tokens."""
         words, out = self.words, []
-        if len(words) >= self.max_entries:
+        if len(words) >= self.max_entries // 2:  # cheap to fill again from letters
             words.clear()
         for k, line in enumerate(text.split("\n")):
             if k:

@@ -46,7 +46,7 @@ def _encode(tokenizer: str, folder: str | None, end_id: int):
         from pyspark import TaskContext
 
         enc, part, at = encoder(tokenizer, folder), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in common.slices(batches):
             blobs = [enc.ids(x) + end for x in batch.column(1).to_pylist()]
             n = np.array([len(b) // 4 for b in blobs], np.int64)
             ends = np.concatenate([[0], np.cumsum(n)])
@@ -70,7 +70,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, folder
     """Encode docs(doc_id, text) and write them in the module's format, in ascending doc_id order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    ranged = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    # As many files as the scan has tasks at least, so that a part stays as small as a split.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    ranged = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ranged.mapInArrow(_encode(tokenizer, folder, end_id), FILE_SCHEMA).write.options(**WRITE_OPTIONS).parquet(path)
 
 
@@ -84,7 +86,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _checksum(batches):
-    for batch in batches:
+    for batch in common.slices(batches):
         tokens = batch.column(3)
         flat = memoryview(tokens.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
         ends = 4 * np.concatenate([[0], np.cumsum(np.array([len(x) for x in tokens]))]) if len(tokens) else [0]
