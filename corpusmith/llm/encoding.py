@@ -18,7 +18,7 @@ WS = "\t-\r \x85\xa0  -     　"  # White_Space
 PIECE = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 OTHER_WS = re.compile(rf"[{WS}]")
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?]*)")
-MAX_ENTRIES = 1_000_000
+MAX_ENTRIES = 700_000
 
 
 def byte_chars() -> dict[int, str]:
@@ -88,7 +88,7 @@ class CachedEncoder:
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            if len(self.pieces) >= self.max_entries:
+            if len(self.pieces) >= self.max_entries // 4:
                 self.pieces.clear()
             body = piece[1:] if piece[:1] == " " else piece
             m = SIMPLE.fullmatch(body)
@@ -105,7 +105,7 @@ class CachedEncoder:
     def _plain(self, text: str) -> bytes:
         """ids of a text without special tokens."""
         words, out = self.words, []
-        if len(words) >= self.max_entries // 2:  # cheap to fill again from letters
+        if len(words) >= self.max_entries // 3:  # cheap to fill again from letters
             words.clear()
         for k, line in enumerate(text.split("\n")):
             if k:

@@ -46,7 +46,7 @@ def buckets(word: str) -> tuple[int, ...]:
     """Hashed features of a word: the word, and its beginnings, which endings don't hide."""
     got = _BUCKETS.get(word)
     if got is None:
-        if len(_BUCKETS) > 300_000:
+        if len(_BUCKETS) > 150_000:
             _BUCKETS.clear()
         w = word.lower().strip(STRIP)
         names = [w, *(w[:k] + "~" for k in PREFIXES if len(w) > k)]
@@ -165,7 +165,7 @@ def _scorer(weights: dict[int, float], bias: float):
     by_word: dict[str, bool] = {}
 
     def one(text: str) -> tuple:
-        if len(by_word) > 1_000_000:
+        if len(by_word) > 300_000:
             by_word.clear()
         told = set()
         plain = text.translate(MARKS)
