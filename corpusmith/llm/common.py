@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +113,26 @@ def least_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
     return rows.orderBy(h, key).limit(most)
 
 
+def tidied(run, *caches):
+    """run(batches), after which caches are emptied and freed memory goes back to the system.
+
+    Python workers outlive a task; what an idle one keeps, the next stage lacks.
+    """
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for c in caches:
+                c.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches cut into smaller ones, so that what is made of them stays small."""
     for batch in batches:

@@ -3,7 +3,8 @@
 Both pre-tokenizers of the supported files never join a white-space boundary: a piece is
 one optional space with what follows it up to the next white space, or a run of white
 space. So each piece is encoded once per worker and remembered; the ids of a text are the
-pieces' ids in order. The cache is bounded by entries and emptied when full.
+pieces' ids in order. The caches are bounded by entries and emptied when full. Texts come in
+chunks of a bounded size; a longer text is cut where the tokenizer cuts.
 """
 
 from __future__ import annotations
@@ -13,12 +14,17 @@ import zlib
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WS = "\t-\r \x85\xa0  -     　"  # White_Space
 PIECE = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 OTHER_WS = re.compile(rf"[{WS}]")
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?]*)")
-MAX_ENTRIES = 700_000
+SPLIT_WORD = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?]*)$"
+SAFE_CUT = re.compile(rf"(?<=[^{WS}]) (?=[^{WS}])")
+MAX_ENTRIES = 200_000
+CHUNK_BYTES = 1 << 22
 
 
 def byte_chars() -> dict[int, str]:
@@ -39,6 +45,27 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return public_tokenizers.path(name)
 
 
+def _chunks(texts: pa.Array, limit: int = CHUNK_BYTES):
+    """(texts, whether they go on with the text before), each chunk of about limit bytes at most."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy().astype(np.int64)
+    begin, held = 0, 0
+    for k, size in enumerate(sizes.tolist()):
+        if held + size > limit and k > begin:
+            yield texts.slice(begin, k - begin), False
+            begin, held = k, 0
+        held += size
+        if size > limit:
+            text, at = texts[k].as_py(), 0
+            while at < len(text):
+                m = SAFE_CUT.search(text, at + limit)
+                end = m.start() if m else len(text)
+                yield pa.array([text[at:end]]), at > 0
+                at = end
+            begin, held = k + 1, 0
+    if begin < len(texts):
+        yield texts.slice(begin), False
+
+
 class CachedEncoder:
     """ids(text) as Tokenizer.encode(text, add_special_tokens=False).ids, as little-endian uint32 bytes."""
 
@@ -88,7 +115,7 @@ class CachedEncoder:
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
-            if len(self.pieces) >= self.max_entries // 4:
+            if len(self.pieces) >= self.max_entries:
                 self.pieces.clear()
             body = piece[1:] if piece[:1] == " " else piece
             m = SIMPLE.fullmatch(body)
@@ -105,7 +132,7 @@ class CachedEncoder:
     def _plain(self, text: str) -> bytes:
         """ids of a text without special tokens."""
         words, out = self.words, []
-        if len(words) >= self.max_entries // 3:  # cheap to fill again from letters
+        if len(words) >= self.max_entries:
             words.clear()
         for k, line in enumerate(text.split("\n")):
             if k:
@@ -136,6 +163,99 @@ class CachedEncoder:
             return b"".join(self._library(p) if k % 2 else self._plain(p) if p else b"" for k, p in enumerate(self.special.split(text)))
         return self._plain(text)
 
+    def _known(self, word: str, bare: bool) -> bytes | None:
+        """ids of a word between single spaces or line feeds, None where the text must be read as a whole."""
+        if not word:
+            return b"" if self.lower else None
+        if any(s in word for s in self.has_special) or word.split() != [word] or OTHER_WS.search(word):
+            return None
+        return self._piece(word if bare or self.lower else " " + word)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of an array of texts in order (uint32), and the number of each text's ids.
+
+        Texts are split and their distinct words counted in Arrow; Python sees each distinct word
+        of a chunk once, and the ids are gathered in numpy. A text with other white space than
+        single spaces and line feeds between words, or with special tokens, is read as a whole.
+        """
+        flats, counts = [], []
+        for chunk, joins in _chunks(texts):
+            flat, n = self._encode_chunk(chunk)
+            if joins:  # a part of a long text: its count belongs to the text before
+                counts[-1][-1] += n[0]
+            else:
+                counts.append(n)
+            flats.append(flat)
+        if not flats:
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
+        return np.concatenate(flats), np.concatenate(counts)
+
+    def _encode_chunk(self, chunk: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = pc.split_pattern(pc.replace_substring(chunk, "\n", " \n "), " ")
+        ends = parts.offsets.to_numpy().astype(np.int64)
+        ends = ends - ends[0]
+        words = parts.flatten().dictionary_encode()
+        names, codes = words.dictionary, words.indices.to_numpy().astype(np.int64)
+        feed = pc.index(names, "\n").as_py()
+        keys = 2 * codes  # one more for a word that begins a line
+        if not self.lower:
+            bare = np.zeros(len(codes), bool)
+            bare[ends[:-1][ends[:-1] < ends[1:]]] = True
+            bare[1:] |= codes[:-1] == feed
+            keys += bare
+        used = np.zeros(2 * len(names), bool)
+        used[keys] = True
+
+        # Most words are letters with marks after them: look up the distinct letters and marks alone.
+        split = pc.extract_regex(names, SPLIT_WORD)
+        letters, marks = (pc.struct_field(split, k) for k in (0, 1))
+        letters = (pc.utf8_lower(letters) if self.lower else letters).dictionary_encode()
+        marks = marks.dictionary_encode()
+        simple = split.is_valid().to_numpy(zero_copy_only=False)
+        blobs = [b""]  # place 0 holds nothing
+        blobs += map(self._letters, pc.binary_join_element_wise("" if self.lower else " ", letters.dictionary, "").to_pylist())
+        at_marks = len(blobs)
+        blobs += [self._letters(x) if x else b"" for x in marks.dictionary.to_pylist()]
+        first, second = np.zeros(len(used), np.int64), np.zeros(len(used), np.int64)
+        first[::2][simple] = 1 + letters.indices.drop_null().to_numpy()
+        second[::2][simple] = at_marks + marks.indices.drop_null().to_numpy()
+        rest = used.copy()
+        rest[::2] &= ~simple
+        rest = np.flatnonzero(rest)
+        odd = []
+        for k, name in zip(rest.tolist(), names.take(pa.array(rest >> 1)).to_pylist(), strict=True):
+            got = self.newline if name == "\n" else self._known(name, bool(k & 1))
+            if got is None:
+                odd.append(k)
+            elif got:
+                first[k] = len(blobs)
+                blobs.append(got)
+
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        flat, sizes = _gather(np.frombuffer(b"".join(blobs), "<u4"), sizes, np.stack([first, second], 1).ravel())
+        flat, each = _gather(flat, sizes.reshape(-1, 2).sum(axis=1), keys)
+        cum = np.concatenate([[0], np.cumsum(each)])
+        counts = cum[ends[1:]] - cum[ends[:-1]]
+        if odd:
+            strange = np.zeros(len(used), bool)
+            strange[odd] = True
+            hits = np.concatenate([[0], np.cumsum(strange[keys])])
+            pieces, at = [], 0
+            for d in np.flatnonzero(hits[ends[1:]] > hits[ends[:-1]]).tolist():
+                ids = np.frombuffer(self.ids(chunk[d].as_py()), "<u4")
+                pieces += [flat[at : cum[ends[d]]], ids]
+                at, counts[d] = cum[ends[d + 1]], len(ids)
+            flat = np.concatenate([*pieces, flat[at:]])
+        return flat, counts
+
+
+def _gather(pool: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of pool (of these sizes, one after another) at places, in their order, and their sizes."""
+    each = sizes[places]
+    cum = np.cumsum(each)
+    shift = (np.cumsum(sizes) - sizes)[places] - (cum - each)
+    return pool[np.repeat(shift, each) + np.arange(cum[-1] if len(cum) else 0)], each
+
 
 _ENCODERS: dict[tuple, CachedEncoder] = {}
 

@@ -6,6 +6,11 @@ three capacities at once: tokens, documents and attention cost (sum of squared l
 Pieces are taken longest first; of the open sequences where a piece fits under every
 constraint, the one with the least weighted residual norm takes it.
 
+The query's document capacity of 128 binds (short pieces would fill a sequence with more) and
+costs no sequence on the test tables. Its attention capacity is the cost of one full piece,
+the least that lets every piece be placed: lengths that sum to the token capacity cannot
+exceed it, so it binds only where a caller sets it lower.
+
 Scale: encoding is a map over the scan and yields one small row a piece. The pieces are
 dealt evenly into groups of about ``group_rows``, each packed in one task's memory, so
 waste is at most a few sequences a group at every input size and no key can be hot.
@@ -25,8 +30,9 @@ from corpusmith.llm import common
 from corpusmith.llm.encoding import crc, encoder
 
 CAPACITY = 2048
-MAX_DOCS = 2048
+MAX_DOCS = 128
 GROUP_ROWS = 16_000
+SLICE_ROWS = 2048
 WEIGHTS = (1.0, 0.05, 0.05)  # tokens, documents, attention cost
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -71,24 +77,25 @@ def vector_best_fit(
 
 
 def _cut(tokenizer: str, folder: str | None, end_id: int, capacity: int):
-    end, width = int(end_id).to_bytes(4, "little"), 4 * capacity
-
     def run(batches):
         enc = encoder(tokenizer, folder)
-        for batch in batches:
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = enc.ids(text) + end
-                for k, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    out.append((doc, k, at // 4, len(part) // 4, crc(part)))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+        for batch in common.slices(batches, SLICE_ROWS):
+            flat, n = enc.encode(batch.column(1))
+            ids = memoryview(np.ascontiguousarray(np.insert(flat, np.cumsum(n), end_id), "<u4")).cast("B")
+            n = n + 1
+            parts = -(-n // capacity)
+            doc = np.repeat(np.arange(len(n)), parts)
+            piece = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts)
+            start = piece * capacity
+            length = np.minimum(capacity, n[doc] - start)
+            at = 4 * ((np.cumsum(n) - n)[doc] + start)
+            sums = [crc(ids[a:b]) for a, b in zip(at.tolist(), (at + 4 * length).tolist(), strict=True)]
             yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
+                [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(sums, pa.int64())],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return run
+    return common.tidied(run)
 
 
 def _pack(capacity: int, max_docs: int, max_cost: float | None, weights: tuple):

@@ -26,7 +26,6 @@ further columns are ignored.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,11 +60,11 @@ def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
 
 def _fingerprints(size: int):
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches, 1024):
             fps = np.array([fingerprint(x, size) for x in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.record_batch([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return run
+    return common.tidied(run)
 
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
@@ -75,7 +74,7 @@ def fingerprints(docs: DataFrame, size: int = SHINGLE_WORDS) -> DataFrame:
     )
 
 
-def _pairs_within(x: np.ndarray, y: np.ndarray, same: bool, first_bit: int, spent: int, budget: int, frontier: int = 1 << 18):
+def _pairs_within(x: np.ndarray, y: np.ndarray, same: bool, first_bit: int, spent: int, budget: int, frontier: int = 1 << 15):
     """Index pairs (i, j) of sorted distinct x and y within the budget, by walking both tries together.
 
     All of x share their first first_bit bits, as do all of y; these differ in ``spent`` bits.
@@ -187,9 +186,9 @@ def _near(nodes: np.ndarray, count: np.ndarray, x: int, budget: int):
 
 
 def _walk(p: int, budget: int):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        x, y, i, j = key
-        fp, side = rows["fp"].to_numpy().view(np.uint64), rows["side"].to_numpy()
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        x, y, i, j = (k.as_py() for k in key)
+        fp, side = rows.column("fp").to_numpy().view(np.uint64), rows.column("side").to_numpy()
         left = np.sort(fp[side == 0])
         same = x == y and i == j
         right = left if same else np.sort(fp[side == 1])
@@ -199,7 +198,7 @@ def _walk(p: int, budget: int):
         links = links if same else ((a, b + len(left)) for a, b in links)
         forest = np.array(_forest(len(both), links), np.int64).reshape(-1, 2)
         signed = both.view(np.int64)
-        return pd.DataFrame({"a": signed[forest[:, 0]], "b": signed[forest[:, 1]]})
+        return pa.table({"a": pa.array(signed[forest[:, 0]], pa.int64()), "b": pa.array(signed[forest[:, 1]], pa.int64())})
 
     return run
 
@@ -213,7 +212,7 @@ def near_links(distinct: DataFrame, budget: int = BUDGET, node_rows: int = NODE_
     prefix = F.shiftrightunsigned(F.col("fp"), 64 - p) if p else F.lit(0).cast("long")
     chunks = {r["x"]: -(-r["n"] // (2 * node_rows)) for r in distinct.groupBy(prefix.alias("x")).agg(F.count("*").alias("n")).collect()}
     dealt = distinct.select("fp").mapInArrow(_deal(p, chunks, budget), "x long, y long, i long, j long, side long, fp long")
-    return dealt.groupBy("x", "y", "i", "j").applyInPandas(_walk(p, budget), "a long, b long")
+    return dealt.groupBy("x", "y", "i", "j").applyInArrow(_walk(p, budget), "a long, b long")
 
 
 def components(docs: DataFrame, size: int = SHINGLE_WORDS, budget: int = BUDGET) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from corpusmith.llm import common
 from corpusmith.llm.encoding import crc, encoder
 
+SLICE_ROWS = 2048
 FILE_SCHEMA = "doc_id long, n_tokens long, part int, local_start long, tokens array<int>"
 WRITE_OPTIONS = {
     "parquet.writer.version": "PARQUET_2_0",
@@ -40,30 +41,28 @@ WRITE_OPTIONS = {
 
 
 def _encode(tokenizer: str, folder: str | None, end_id: int):
-    end = int(end_id).to_bytes(4, "little")
-
     def run(batches):
         from pyspark import TaskContext
 
         enc, part, at = encoder(tokenizer, folder), TaskContext.get().partitionId(), 0
-        for batch in common.slices(batches):
-            blobs = [enc.ids(x) + end for x in batch.column(1).to_pylist()]
-            n = np.array([len(b) // 4 for b in blobs], np.int64)
+        for batch in common.slices(batches, SLICE_ROWS):
+            flat, n = enc.encode(batch.column(1))
+            values = np.insert(flat, np.cumsum(n), end_id).astype(np.int32)
+            n = n + 1
             ends = np.concatenate([[0], np.cumsum(n)])
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(blobs))])
             yield pa.record_batch(
                 [
                     batch.column(0),
                     pa.array(n),
                     pa.array(np.full(len(n), part, np.int32)),
                     pa.array(at + ends[:-1]),
-                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values)),
                 ],
                 names=["doc_id", "n_tokens", "part", "local_start", "tokens"],
             )
             at += int(ends[-1])
 
-    return run
+    return common.tidied(run)
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, folder: str | None = None) -> None:
@@ -86,17 +85,18 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _checksum(batches):
-    for batch in common.slices(batches):
+    for batch in common.slices(batches, SLICE_ROWS):
         tokens = batch.column(3)
-        flat = memoryview(tokens.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
-        ends = 4 * np.concatenate([[0], np.cumsum(np.array([len(x) for x in tokens]))]) if len(tokens) else [0]
-        sums = [crc(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        ends = tokens.offsets.to_numpy().astype(np.int64)
+        flat = memoryview(np.ascontiguousarray(tokens.flatten().to_numpy(zero_copy_only=False), "<i4")).cast("B")
+        ends = 4 * (ends - ends[0])
+        sums = [crc(flat[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         yield pa.record_batch([*batch.columns[:3], pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def token_digest(files: DataFrame) -> DataFrame:
     rows = files.select("doc_id", "start", "n_tokens", "tokens")
-    return rows.mapInArrow(_checksum, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(common.tidied(_checksum), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
