@@ -190,9 +190,71 @@ def test_line_edges(spark):
 
 def test_long_line_shingles(spark):
     line = "".join(chr(97 + k * k % 26) for k in range(3 * line_dedup.CHUNK + 5))
-    df = spark.createDataFrame([(1, line), (2, "é" * 5), (3, "")], "lh long, line string")
-    got = {r["lh"]: r["n"] for r in line_dedup.shingle_hashes(df, 8).groupBy("lh").agg(F.count_distinct("h").alias("n")).collect()}
-    assert got == {1: len(shingles(line)), 2: 1, 3: 1}
+    df = spark.createDataFrame([(1, line), (2, "é" * 5), (3, ""), (4, "exactly 8"), (5, line[: line_dedup.CHUNK + 7]), (6, line[: line_dedup.CHUNK + 8])], "id long, line string")
+    hashes = line_dedup.shingle_groups(df, 8).select("id", F.explode(F.array(*(f"s{k}" for k in range(line_dedup.GROUP)))).alias("h"))
+    got = {r["id"]: r["n"] for r in hashes.groupBy("id").agg(F.count_distinct("h").alias("n")).collect()}
+    assert got == {r["id"]: len(shingles(r["line"])) for r in df.collect()}
+
+
+def check_lines(spark, docs):
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in docs.items()], DOCS)
+    got = {(x["doc_id"], x["line_no"]): (x["kept_doc_id"], x["kept_line_no"]) for x in line_dedup.line_verdicts(df).collect()}
+    want = line_classes(docs)
+    assert got.keys() == want.keys()
+    return sum(got[k] != want[k] for k in want)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_line_families(spark, seed):
+    """Families of variants, some near each other, that share buckets with their least line and yet aren't near it."""
+    r = np.random.default_rng(seed)
+    words = ["".join(r.choice(list("abcdefghijklmnop"), 5)) for _ in range(300)]
+    lines = []
+    for _ in range(10):
+        base = list(r.choice(words, 24))
+        for _ in range(40):
+            line = list(base)
+            for at in r.integers(0, 24, r.integers(1, 5)):
+                line[at] = str(r.choice(words))
+            lines.append(" ".join(line))
+    assert check_lines(spark, {k: x for k, x in enumerate(lines)}) == 0
+
+
+def test_large_bucket(spark, monkeypatch):
+    """One bucket of many lines in blocks: nothing is lost at block ends."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 7)
+    r = np.random.default_rng(5)
+    base = "".join(r.choice(list("abcdefghij"), 150))
+    lines = []
+    for k in range(90):
+        cut = int(r.integers(20, 60))
+        lines.append(base[:-cut] + "".join(r.choice(list("klmnopqrst"), cut)))
+        if k % 3 == 0:
+            lines.append(lines[-1] + "x")
+    assert check_lines(spark, {k: x for k, x in enumerate(lines)}) == 0
+
+
+def test_agreement(spark):
+    r = np.random.default_rng(1)
+    rows = []
+    for _ in range(200):
+        a = r.integers(0, 256, 24)
+        b = np.where(r.random(24) < 0.5, a, r.integers(0, 256, 24))
+        pack = lambda v: [int(sum(int(x) << 8 * i for i, x in enumerate(v[at : at + 6]))) for at in range(0, 24, 6)]
+        rows.append((*pack(a), *pack(b), int((a == b).sum())))
+    df = spark.createDataFrame(rows, ", ".join([f"a{k} long" for k in range(4)] + [f"b{k} long" for k in range(4)]) + ", want int")
+    assert df.where(line_dedup.agreement(24, "a", "b") != F.col("want")).count() == 0
+    assert line_dedup.least_agreement(24, 0.8) == 11
+
+
+def test_short_line_recall(spark):
+    """Pairs of 5 distinct shingles that share 4 of the 6 in all are no links; of 9 and 8 in common they are."""
+    r = np.random.default_rng(2)
+    docs = {}
+    for k in range(300):
+        line = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 16))
+        docs[2 * k], docs[2 * k + 1] = line, line[:-1]  # 9 and 8 shingles: similarity 8 / 9
+    assert check_lines(spark, docs) <= 2
 
 
 # Nearest neighbours.
