@@ -234,6 +234,17 @@ def test_large_bucket(spark, monkeypatch):
     assert check_lines(spark, {k: x for k, x in enumerate(lines)}) == 0
 
 
+def test_long_lines(spark, monkeypatch):
+    """Lines over the bound are compared shingle by shingle, with the same result."""
+    monkeypatch.setattr(line_dedup, "LONG", 100)
+    r = np.random.default_rng(8)
+    lines = []
+    for _ in range(12):
+        base = "".join(r.choice(list("abcdefghij é\U0001f600"), int(r.integers(60, 300))))
+        lines += [base, base[:40] + "?" + base[41:], base + base[:30], base[: len(base) // 2] + "z" * 20]
+    assert check_lines(spark, dict(enumerate(lines))) == 0
+
+
 def test_agreement(spark):
     r = np.random.default_rng(1)
     rows = []
