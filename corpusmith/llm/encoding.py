@@ -22,9 +22,10 @@ PIECE = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
 OTHER_WS = re.compile(rf"[{WS}]")
 SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?]*)")
 SPLIT_WORD = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?]*)$"
+LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?]+")
 SAFE_CUT = re.compile(rf"(?<=[^{WS}]) (?=[^{WS}])")
-MAX_ENTRIES = 200_000
-CHUNK_BYTES = 1 << 22
+MAX_ENTRIES = 500_000
+CHUNK_BYTES = 6 << 20
 
 
 def byte_chars() -> dict[int, str]:
@@ -80,25 +81,21 @@ class CachedEncoder:
         self.max_entries = max_entries
         self.words: dict[str, bytes] = {}  # a word after one space
         self.pieces: dict[str, bytes] = {}  # a piece as it stands
-        self.letters: dict[str, bytes] = {}
         self.to_chars = {b: c for b, c in byte_chars().items()}
         special = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")")
         self.has_special = special
         self.newline = b"" if self.lower else self._library("\n")
+        self.odd = "^$|" + "|".join([rf"[{WS}\x1c-\x1f]", *(re.escape(x).replace("<", r"\x{3c}").replace(">", r"\x{3e}") for x in special)])
+        self._forget()
 
     def _library(self, s: str) -> bytes:
         return np.array(self.tok.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _letters(self, s: str) -> bytes:
         """ids of one pre-token, straight from the library's model."""
-        got = self.letters.get(s)
-        if got is None:
-            if len(self.letters) >= self.max_entries:
-                self.letters.clear()
-            chars = s.replace(" ", "\u0120") if s.isascii() else "".join(map(self.to_chars.__getitem__, s.encode()))
-            got = self.letters[s] = array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
-        return got
+        chars = s.replace(" ", "\u0120") if s.isascii() else "".join(map(self.to_chars.__getitem__, s.encode()))
+        return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
 
     def _word(self, w: str) -> bytes | None:
         """ids of a word after a space; None where white space of another kind is in it."""
@@ -163,14 +160,6 @@ class CachedEncoder:
             return b"".join(self._library(p) if k % 2 else self._plain(p) if p else b"" for k, p in enumerate(self.special.split(text)))
         return self._plain(text)
 
-    def _known(self, word: str, bare: bool) -> bytes | None:
-        """ids of a word between single spaces or line feeds, None where the text must be read as a whole."""
-        if not word:
-            return b"" if self.lower else None
-        if any(s in word for s in self.has_special) or word.split() != [word] or OTHER_WS.search(word):
-            return None
-        return self._piece(word if bare or self.lower else " " + word)
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an array of texts in order (uint32), and the number of each text's ids.
 
@@ -206,39 +195,36 @@ class CachedEncoder:
         used = np.zeros(2 * len(names), bool)
         used[keys] = True
 
-        # Most words are letters with marks after them: look up the distinct letters and marks alone.
+        # Most words are letters with marks after them: these are looked up apart.
         split = pc.extract_regex(names, SPLIT_WORD)
         letters, marks = (pc.struct_field(split, k) for k in (0, 1))
-        letters = (pc.utf8_lower(letters) if self.lower else letters).dictionary_encode()
-        marks = marks.dictionary_encode()
-        simple = split.is_valid().to_numpy(zero_copy_only=False)
-        blobs = [b""]  # place 0 holds nothing
-        blobs += map(self._letters, pc.binary_join_element_wise("" if self.lower else " ", letters.dictionary, "").to_pylist())
-        at_marks = len(blobs)
-        blobs += [self._letters(x) if x else b"" for x in marks.dictionary.to_pylist()]
+        body = pc.coalesce(pc.utf8_lower(letters) if self.lower else letters, names)
+        odd = pc.match_substring_regex(names, self.odd).to_numpy(zero_copy_only=False)
+        if feed >= 0:
+            odd[feed] = False
+        spaced, bare = used[::2].copy(), used[1::2].copy()
+        for x in (spaced, bare):
+            x &= ~odd
+            if feed >= 0:
+                x[feed] = False
         first, second = np.zeros(len(used), np.int64), np.zeros(len(used), np.int64)
-        first[::2][simple] = 1 + letters.indices.drop_null().to_numpy()
-        second[::2][simple] = at_marks + marks.indices.drop_null().to_numpy()
-        rest = used.copy()
-        rest[::2] &= ~simple
-        rest = np.flatnonzero(rest)
-        odd = []
-        for k, name in zip(rest.tolist(), names.take(pa.array(rest >> 1)).to_pylist(), strict=True):
-            got = self.newline if name == "\n" else self._known(name, bool(k & 1))
-            if got is None:
-                odd.append(k)
-            elif got:
-                first[k] = len(blobs)
-                blobs.append(got)
-
-        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-        flat, sizes = _gather(np.frombuffer(b"".join(blobs), "<u4"), sizes, np.stack([first, second], 1).ravel())
+        heads = pc.filter(body, pa.array(spaced))
+        heads = heads if self.lower else pc.binary_join_element_wise(" ", heads, "")
+        some = pa.concat_arrays([heads, pc.filter(body, pa.array(bare)), pc.fill_null(marks, ""), pa.array(["\n"])])
+        places = self._places(some)
+        first[::2][spaced] = places[: len(heads)]
+        first[1::2][bare] = places[len(heads) : len(some) - len(names) - 1]
+        second[::2] = second[1::2] = places[len(some) - len(names) - 1 : -1]
+        if feed >= 0:
+            first[2 * feed : 2 * feed + 2], second[2 * feed : 2 * feed + 2] = places[-1], 0
+        strange = np.repeat(odd, 2)
+        first[strange] = second[strange] = 0
+
+        flat, sizes = _gather(self.pool, self.sizes, np.stack([first, second], 1).ravel())
         flat, each = _gather(flat, sizes.reshape(-1, 2).sum(axis=1), keys)
         cum = np.concatenate([[0], np.cumsum(each)])
         counts = cum[ends[1:]] - cum[ends[:-1]]
-        if odd:
-            strange = np.zeros(len(used), bool)
-            strange[odd] = True
+        if odd.any() and not self.blank_only(names, odd):
             hits = np.concatenate([[0], np.cumsum(strange[keys])])
             pieces, at = [], 0
             for d in np.flatnonzero(hits[ends[1:]] > hits[ends[:-1]]).tolist():
@@ -248,6 +234,34 @@ class CachedEncoder:
             flat = np.concatenate([*pieces, flat[at:]])
         return flat, counts
 
+    def blank_only(self, names: pa.Array, odd: np.ndarray) -> bool:
+        """Whether empty words alone are odd and mean nothing."""
+        return self.lower and names.filter(pa.array(odd)).to_pylist() == [""]
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Place of each piece's ids in the pool; new pieces are encoded and put there."""
+        pieces = pieces.dictionary_encode()
+        names = pieces.dictionary
+        if len(self.keys) > self.max_entries:
+            self._forget()
+        at = pc.index_in(names, value_set=self.keys)
+        new = names.filter(at.is_null())
+        if len(new):
+            begin = len(self.keys)
+            blobs = [self._letters(x) if LETTERS.fullmatch(x) else self._library(x) for x in new.to_pylist()]
+            self.keys = pa.concat_arrays([self.keys, new])
+            self.sizes = np.concatenate([self.sizes, np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4])
+            self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(blobs), "<u4")])
+            found = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+            found[found < 0] = begin + np.arange(len(new))
+        else:
+            found = at.to_numpy(zero_copy_only=False).astype(np.int64)
+        return found[pieces.indices.to_numpy()]
+
+    def _forget(self) -> None:
+        """Empty the cache of pieces but for the empty one at place 0."""
+        self.keys, self.sizes, self.pool = pa.array([""]), np.zeros(1, np.int64), np.empty(0, "<u4")
+
 
 def _gather(pool: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs of pool (of these sizes, one after another) at places, in their order, and their sizes."""
