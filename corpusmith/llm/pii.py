@@ -344,7 +344,7 @@ def mask(docs: DataFrame) -> DataFrame:
     size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches, 1024):
             texts = [_masked(x, crf) for x in batch.column(where).to_pylist()]
             batch = batch.set_column(where, batch.schema.field(where), pa.array(texts, batch.schema.field(where).type))
             if size is not None:
@@ -352,7 +352,7 @@ def mask(docs: DataFrame) -> DataFrame:
                 batch = batch.set_column(size, f, pa.array([None if x is None else len(x) for x in texts], f.type))
             yield batch
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.tidied(run), schema)
 
 
 def base_digest(c: str = "base"):

@@ -93,7 +93,7 @@ def _occurrences(features: dict[int, int]):
                 names=["doc_id", "toxic", "n_sentences", "hits"],
             )
 
-    return run
+    return common.tidied(run, _BUCKETS)
 
 
 def fit_noisy_or(n_sentences: np.ndarray, hits: list, toxic: np.ndarray, n_features: int, rounds: int = 400, rate: float = 0.1, l2: float = 1e-4):
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_fe
     size = {r["toxic"]: r["n"] for r in picked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
         return {}, BIAS
-    counts = picked.mapInArrow(_document_counts, "bucket long, toxic long, n long").groupBy("bucket", "toxic").agg(F.sum("n").alias("n")).toPandas()
+    counts = picked.mapInArrow(common.tidied(_document_counts, _BUCKETS), "bucket long, toxic long, n long").groupBy("bucket", "toxic").agg(F.sum("n").alias("n")).toPandas()
     n = np.zeros((2, BUCKETS))
     n[counts["toxic"], counts["bucket"]] = counts["n"]
     share = (n + 0.5) / np.array([[size[0] + 1], [size[1] + 1]])
@@ -195,7 +195,7 @@ def _scorer(weights: dict[int, float], bias: float):
 def _score(weights: dict[int, float], bias: float):
     def run(batches):
         one = _scorer(weights, bias)
-        for batch in batches:
+        for batch in common.slices(batches, 1024):
             out = [(doc, *one(text)) for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             cols = list(zip(*out, strict=True)) if out else [[]] * 6
             kinds = (pa.int64(), pa.float64(), pa.int32(), pa.int64(), pa.int64(), pa.float64())
@@ -204,7 +204,7 @@ def _score(weights: dict[int, float], bias: float):
                 names=["doc_id", "score", "n_offending", "worst_start", "worst_end", "worst_score"],
             )
 
-    return run
+    return common.tidied(run, _BUCKETS)
 
 
 def score(docs: DataFrame, weights: dict[int, float], bias: float) -> DataFrame:
@@ -218,10 +218,10 @@ def keep_clean(docs: DataFrame, weights: dict[int, float], bias: float, limit: f
 
     def run(batches):
         one = _scorer(weights, bias)
-        for batch in batches:
+        for batch in common.slices(batches, 1024):
             yield batch.filter(pa.array([one(x or "")[0] < limit for x in batch.column(where).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(common.tidied(run, _BUCKETS), docs.schema)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
