@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmith.functions.text import CUES, NUMBER, all_numbers, boxed_all, first, last, strip, words
 
 LABELS = ("A", "B", "C", "D", "E")
+#: The patterns of answers.
 DATE = r"((?:0?[1-9]|1[0-2])/(?:0?[1-9]|[12][0-9]|3[01])/[0-9]{4})"
 
 
@@ -68,36 +69,52 @@ def date_strict(t: Column) -> Column:
     return _first_known(boxed_all(t), normalize_date)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """2 if equal, else shared distinct tokens over the longer token list."""
-    x, y = words(a), words(b)
+def bound(of, **columns: Column) -> Column:
+    """of(s) with the columns as fields of s, each computed once: a lambda's variable isn't repeated as an expression is."""
+    return F.get(F.transform(F.array(F.struct(*(c.alias(k) for k, c in columns.items()))), of), 0)
+
+
+def _share(a: Column, x: Column, b: Column, y: Column) -> Column:
+    """Similarity of texts a and b with words x and y."""
     share = F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))
     return F.when(a == b, F.lit(2.0)).when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(share)
 
 
+def similarity(a: Column, b: Column) -> Column:
+    """2 if equal, else shared distinct tokens over the longer token list."""
+    return bound(lambda s: _share(s["a"], s["x"], s["b"], s["y"]), a=a, x=words(a), b=b, y=words(b))
+
+
 def best_match(options: Column, text: Column) -> Column:
     """Place (from 1) of the first most similar option."""
-    scores = F.transform(options, lambda o: similarity(o, text))
-    return F.array_position(scores, F.array_max(scores))
+    split = F.transform(options, lambda o: F.struct(o.alias("o"), words(o).alias("x")))
+
+    def best(s: Column) -> Column:
+        scored = F.transform(split, lambda o, i: F.struct(_share(o["o"], o["x"], s["t"], s["y"]).alias("score"), (-1 - i).alias("place")))
+        top = F.array_max(F.filter(scored, lambda z: z["score"].isNotNull()))
+        return -top["place"]
+
+    return bound(best, t=text, y=words(text)).cast("long")
 
 
 def bare_choice(c: Column) -> Column:
     return last(F.regexp_extract_all(c, F.lit(r"(?<![a-zA-Z])([ABCDE])(?![a-zA-Z])"), F.lit(1)))
 
 
-def _choice(box: Column, place: Column, options: Column, labels: Column) -> Column:
-    shown = last(F.regexp_extract_all(strip(place), F.lit(r"\(([A-E])\)"), F.lit(1)))
-    return F.coalesce(shown, bare_choice(strip(place)), F.try_element_at(labels, best_match(options, place).cast("int")))
+def _choice(place: Column, options: Column, labels: Column) -> Column:
+    def pick(s: Column) -> Column:
+        shown = last(F.regexp_extract_all(s["bare"], F.lit(r"\(([A-E])\)"), F.lit(1)))
+        return F.coalesce(shown, bare_choice(s["bare"]), F.try_element_at(labels, best_match(options, s["place"]).cast("int")))
+
+    return bound(pick, place=place, bare=strip(place))
 
 
 def choice_relaxed(t: Column, options: Column, labels: Column) -> Column:
-    box = last(boxed_all(t))
-    return _choice(box, F.coalesce(box, F.substring_index(t, "\n", -1)), options, labels)
+    return _choice(F.coalesce(last(boxed_all(t)), F.substring_index(t, "\n", -1)), options, labels)
 
 
 def choice_strict(t: Column, options: Column, labels: Column) -> Column:
-    box = last(boxed_all(t))
-    return F.when(box.isNotNull(), _choice(box, box, options, labels))
+    return bound(lambda s: F.when(s["box"].isNotNull(), _choice(s["box"], options, labels)), box=last(boxed_all(t)))
 
 
 def flat_labels() -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmith.functions.stemming import stem
 from corpusmith.functions.text import normalize_text, words
 
 
@@ -14,13 +18,10 @@ def exact_match(ref: Column, pred: Column) -> Column:
     return (normalize_text(ref) == normalize_text(pred)).cast("double")
 
 
-def token_overlap(r: Column, p: Column) -> Column:
-    """Size of the multiset intersection of two token arrays."""
-    return F.aggregate(
-        F.array_distinct(r),
-        F.lit(0),
-        lambda n, t: n + F.least(F.size(F.filter(r, lambda x: x == t)), F.size(F.filter(p, lambda x: x == t))),
-    )
+@F.pandas_udf(T.IntegerType())
+def token_overlap(r: pd.Series, p: pd.Series) -> pd.Series:
+    """Size of the multiset intersection of two token arrays, linear in both."""
+    return pd.Series([None if a is None or b is None else (Counter(a) & Counter(b)).total() for a, b in zip(r, p, strict=True)], dtype="Int32")
 
 
 def token_f1(ref: Column, pred: Column) -> Column:
@@ -31,16 +32,6 @@ def token_f1(ref: Column, pred: Column) -> Column:
     return F.when((F.size(r) == 0) & (F.size(p) == 0), F.lit(1.0)).when(none, F.lit(0.0)).otherwise(f1)
 
 
-def _stem(w: str) -> str:
-    """Common English endings off words of over three letters."""
-    if len(w) <= 3:
-        return w
-    for end, new in (("sses", "ss"), ("ies", "i"), ("ing", ""), ("ed", ""), ("ly", ""), ("s", "")):
-        if w.endswith(end) and len(w) - len(end) + len(new) >= 3 and not w.endswith("ss"):
-            return w[: len(w) - len(end)] + new
-    return w
-
-
 def lcs_length(a: list[str], b: list[str]) -> int:
     row = [0] * (len(b) + 1)
     for x in a:
@@ -50,22 +41,30 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
+def rouge_tokens(s: str) -> list[str]:
+    """Runs of ASCII letters and digits in lower case; those of over three characters by their stem."""
+    return [stem(w) if len(w) > 3 else w for w in re.findall("[a-z0-9]+", s.lower())]
+
+
 @F.pandas_udf(T.DoubleType())
 def rouge_l_f1(ref: pd.Series, pred: pd.Series) -> pd.Series:
     """F1 of the longest common subsequence of stemmed words; both blank 1, one blank 0."""
-    import re
-
     out = []
     for a, b in zip(ref.fillna(""), pred.fillna(""), strict=True):
         if not a.strip() or not b.strip():
             out.append(1.0 if not a.strip() and not b.strip() else 0.0)
             continue
-        x, y = ([_stem(w) for w in re.findall("[a-z0-9]+", s.lower())] for s in (a, b))
+        x, y = rouge_tokens(a), rouge_tokens(b)
         n = lcs_length(x, y)
         out.append(2 * n / (len(x) + len(y)) if n else 0.0)
     return pd.Series(out)
 
 
+def metric_bundle(ref: Column, pred: Column) -> dict[str, Column]:
+    """All metrics of a reference and a prediction by name."""
+    return {"exact_match": exact_match(ref, pred), "token_f1": token_f1(ref, pred), "rouge_l_f1": rouge_l_f1(ref, pred)}
+
+
 def average(c: Column) -> Column:
     """Mean; 0 for no rows."""
     return F.coalesce(F.avg(c), F.lit(0.0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 #: What Python's str.strip and str.split take for white space.
 SPACE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0                　"
+#: The patterns of numbers, cue words and boxes in answers.
 NUMBER = r"[\-+]?\d*[\.,/]?\d+"
 CUES = r"(?i)(?:final answer|answer is|therefore|thus|hence|so|result(?: is)?|we get)\D*(" + NUMBER + ")"
 BOXED = r"(?s)boxed\{(.*?)\}"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -116,9 +119,8 @@ def _first_true(entry: dict, *names: str):
     return next((entry[n] for n in names if entry.get(n)), None)
 
 
-@F.udf(T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("sentences", T.ArrayType(T.StringType()))])))
-def context_from_json(text):
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("title", T.StringType()), T.StructField("sentences", T.ArrayType(T.StringType()))])))
+def context_from_json(texts: pd.Series) -> pd.Series:
     """Loose context as JSON text to (title, sentences); for sources whose entries differ in type."""
-    import json
-
-    return context_entries(json.loads(text)) if text else []
+    entry = lambda e: {"title": e[0], "sentences": e[1]}
+    return pd.Series([[entry(e) for e in context_entries(json.loads(t))] if t else [] for t in texts])

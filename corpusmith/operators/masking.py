@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import inspect
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmith.functions.text import words
@@ -21,9 +23,20 @@ def is_entity(token: Column) -> Column:
     return token.rlike("[A-Z0-9]")
 
 
-def mask_tokens(text: Column, row: Column, prob: float, seed: int = 42) -> Column:
-    """Candidate tokens masked with the given probability; tokens joined by single spaces."""
-    return F.array_join(F.transform(words(text), lambda t, i: F.when(is_entity(t) & (draw(seed, row, i) < prob), F.lit(MASK)).otherwise(t)), " ")
+def mask_tokens(text: Column, row: Column, prob: float | Column, seed: int = 42, candidate=is_entity) -> Column:
+    """Candidate tokens masked with the given probability; tokens joined by single spaces.
+
+    prob may be a column, so that it can change from row to row (a schedule); candidate says of
+    a token whether it may be masked: a column function, or a pandas UDF that asks a tagger.
+    """
+    return F.array_join(F.transform(words(text), lambda t, i: F.when(candidate(t) & (draw(seed, row, i) < prob), F.lit(MASK)).otherwise(t)), " ")
+
+
+def apply_masker(df: DataFrame, masker, text: str, *extra: str, out: str = "masked") -> DataFrame:
+    """df with masker's text. masker: a function of the text column, or of it and the extra columns (an item's other fields)."""
+    takes = len(inspect.signature(masker).parameters)
+    args = [F.col(c) for c in (text, *extra)][: max(1, takes)]
+    return df.withColumn(out, masker(*args))
 
 
 def target_probability(index: Column, n: Column, earlier: float, last: float) -> Column:

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, NumericType
 
 from corpusmith.functions.metrics import average
 from corpusmith.operators.prompts import ARC
@@ -46,9 +47,10 @@ def arc_total(summaries: DataFrame, *keys: str) -> DataFrame:
 
 
 def metric_means(records: DataFrame, *keys: str) -> DataFrame:
+    """Means of what metric columns the records have."""
     return records.groupBy(*keys).agg(
         F.count("*").alias("num_samples"),
-        *(average(F.col(c)).alias(c) for c in ("exact_match", "token_f1")),
+        *(average(F.col(c)).alias(c) for c in ("exact_match", "token_f1", "rouge_l_f1") if c in records.columns),
     )
 
 
@@ -60,3 +62,29 @@ def union_sorted(frames: list[DataFrame]) -> DataFrame:
 
 def no_boxed(raw: Column, act: Column) -> Column:
     return ((act != "pal") & (raw != "") & ~F.lower(raw).contains("boxed")).cast("int")
+
+
+#: Names of training outputs and the names that logs have for them.
+LOSSES = {
+    "answer_loss": "loss_ans",
+    "mh_align_loss": "loss_align",
+    "rationale_loss": "loss_rat",
+    "teacher_relevance_entropy": "teacher_rel_entropy",
+    "student_relevance_entropy": "student_rel_entropy",
+    "rationale_top1_hit": "teacher_student_top1_hit",
+    "rationale_top3_overlap": "teacher_student_top3_overlap",
+    "gate_l1_loss": "gate_l1_loss",
+    "projector_raw_l2_loss": "projector_raw_l2_loss",
+}
+
+
+def loss_metrics(outputs: DataFrame, *keys: str) -> DataFrame:
+    """keys and the known outputs under their log names as doubles. Numbers stay, lists of one number give it, all else is null."""
+
+    def scalar(c: str) -> Column:
+        kind = outputs.schema[c].dataType
+        if isinstance(kind, ArrayType):
+            return F.when(F.size(c) == 1, F.get(F.col(c), 0).cast("double"))
+        return F.col(c).cast("double") if isinstance(kind, NumericType) else F.lit(None).cast("double")
+
+    return outputs.select(*keys, *(scalar(c).alias(name) for c, name in LOSSES.items() if c in outputs.columns))

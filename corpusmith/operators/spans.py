@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: The sentence break, and lengths in characters (a short span, the least of it, a line that may be cut, a heading).
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
+SHORT, LEAST, LONG_LINE, HEADING = 24, 8, 80, 40
 
 
 def _trimmed(text: str, a: int, b: int) -> tuple[int, int] | None:
@@ -19,12 +21,12 @@ def _trimmed(text: str, a: int, b: int) -> tuple[int, int] | None:
 
 
 def _heads_next(s: str) -> bool:
-    return (s.endswith(":") and len(s) <= 40) or (len(s) >= 2 and s[0] == "[" and s[-1] == "]")
+    return (s.endswith(":") and len(s) <= HEADING) or (len(s) >= 2 and s[0] == "[" and s[-1] == "]")
 
 
-def segment(text: str | None, min_chars: int = 24) -> list[tuple[int, int]]:
+def segment(text: str | None, min_chars: int = SHORT) -> list[tuple[int, int]]:
     """Spans of a prompt: lines, long ones by sentence; a heading joins what follows; short spans join."""
-    text, least = text or "", max(8, int(min_chars))
+    text, least = text or "", max(LEAST, int(min_chars))
     spans: list[tuple[int, int]] = []
     at = 0
     for line in text.split("\n"):
@@ -33,7 +35,7 @@ def segment(text: str | None, min_chars: int = 24) -> list[tuple[int, int]]:
         if whole is None:
             continue
         body = text[slice(*whole)]
-        if len(body) < 80 or _heads_next(body) or not re.search("[.!?]", body):
+        if len(body) < LONG_LINE or _heads_next(body) or not re.search("[.!?]", body):
             spans.append(whole)
             continue
         cuts = [0, *(x for m in SENTENCE_END.finditer(body) for x in m.span()), len(body)]
@@ -47,7 +49,7 @@ def segment(text: str | None, min_chars: int = 24) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     size = lambda s: len(text[slice(*s)].strip())
     for s in joined:
-        if out and (size(out[-1]) < least or size(s) < max(8, least // 2)):
+        if out and (size(out[-1]) < least or size(s) < max(LEAST, least // 2)):
             out[-1] = (out[-1][0], s[1])
         else:
             out.append(s)
@@ -78,16 +80,39 @@ def substring_starts(text: Column, part: Column) -> Column:
 
 
 def token_spans(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Overlap join within a key: tokens (tok, tok_start, tok_end) to spans (span, start, end); first token and end, exclusive."""
-    hit = (F.col("tok_start") < F.col("end")) & (F.col("tok_end") > F.col("start")) & (F.col("tok_end") > F.col("tok_start"))
-    return tokens.join(spans, key).where(hit).groupBy(key, "span").agg(F.min("tok").alias("first_tok"), (F.max("tok") + 1).alias("end_tok"))
+    """Overlap join within a key: tokens (tok, tok_start, tok_end) to spans (span, start, end); first token and end, exclusive.
+
+    One sweep of a key's places in order, linear in tokens and spans; spans may overlap, tokens
+    don't and stand in the order of tok. Tokens and spans without a character overlap nothing.
+    """
+    none = F.lit(None)
+    marks = tokens.where("tok_end > tok_start").select(
+        key, F.col("tok_start").alias("at"), F.lit(2).alias("kind"), "tok", F.col("tok_end").alias("until"), none.cast("long").alias("span")
+    )
+    ends = F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(0).alias("kind")), F.struct(F.col("end").alias("at"), F.lit(1).alias("kind"))))
+    bounds = spans.where(F.col("end") > F.col("start")).select(key, F.col("span").cast("long").alias("span"), ends.alias("e"))
+    bounds = bounds.select(key, "e.at", "e.kind", none.cast(tokens.schema["tok"].dataType).alias("tok"), none.cast(tokens.schema["tok_end"].dataType).alias("until"), "span")
+    order = Window.partitionBy(key).orderBy("at", "kind")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    swept = marks.unionByName(bounds).select(
+        key, "span", "kind", "at",
+        F.last("tok", ignorenulls=True).over(so_far).alias("before"),
+        F.last("until", ignorenulls=True).over(so_far).alias("reach"),
+        F.expr(f"lead(tok, 1) IGNORE NULLS OVER (PARTITION BY `{key}` ORDER BY at, kind)").alias("after"),
+    ).where("span IS NOT NULL")
+    first = F.when(F.col("reach") > F.col("at"), F.col("before")).otherwise(F.col("after"))
+    found = swept.groupBy(key, "span").agg(
+        F.max(F.when(F.col("kind") == 0, first)).alias("first_tok"), (F.max(F.when(F.col("kind") == 1, F.col("before"))) + 1).alias("end_tok")
+    )
+    return found.where("first_tok < end_tok").withColumn("span", F.col("span").cast(spans.schema["span"].dataType))
 
 
 def token_targets(tokens: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """The greatest target index whose span overlaps each token, null for none."""
-    hit = (F.col("tok_start") < F.col("end")) & (F.col("tok_end") > F.col("start")) & (F.col("tok_end") > F.col("tok_start"))
-    best = tokens.join(spans, key).where(hit).groupBy(key, "tok").agg(F.max("target").alias("target"))
-    return tokens.join(best, [key, "tok"], "left")
+    """The greatest target index whose span overlaps each token, null for none. spans: span, start, end, target."""
+    found = token_spans(tokens, spans, key).join(spans.select(key, "span", "target"), [key, "span"])
+    best = found.select(key, F.explode(F.sequence("first_tok", F.col("end_tok") - 1)).alias("tok"), "target").groupBy(key, "tok").agg(F.max("target").alias("target"))
+    rows = tokens.join(best, [key, "tok"], "left")
+    return rows.withColumn("target", F.when(F.col("tok_end") > F.col("tok_start"), F.col("target")))
 
 
 def islands(df: DataFrame, key: str, pos: str, value: str) -> DataFrame:

@@ -300,6 +300,19 @@ def rouge_l(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("conv_id", "turn", metrics.rouge_l_f1("ref", "pred").alias("rouge_l_f1"))
 
 
+@query("metric_bundle")
+def metric_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.metric_bundle(F.col("ref"), F.col("pred"))
+    return pairs(spark, sf_dir).select("conv_id", "turn", *(F.round(c, 9).alias(n) for n, c in found.items()))
+
+
+@query("metric_bundle_means")
+def metric_bundle_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.metric_bundle(F.col("ref"), F.col("pred"))
+    rows = pairs(spark, sf_dir).select("turn", *(c.alias(n) for n, c in found.items()))
+    return reports.metric_means(rows, "turn").withColumns({c: F.round(c, 9) for c in found})
+
+
 @query(
     "aggregate_metrics",
     f"WITH {PAIRS_SQL} SELECT turn, count(*) AS num_samples, coalesce(avg({EM}), 0.0) AS exact_match, round(coalesce(avg({F1}), 0.0), 9) AS token_f1 FROM pairs GROUP BY turn",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmith.operators import jobs, prompts, sampling, spans
@@ -98,7 +98,7 @@ def zip_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "row_idx")
 
 
-# Tokens and spans: words of a document's first 40, and its lines.
+# Tokens and spans: a document's words and its lines.
 WORDS_SQL = (
     "toks AS (SELECT doc_id, i - 1 AS tok, s AS tok_start, s + length(w) AS tok_end FROM (SELECT doc_id, i, w, CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s "
     "FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM documents)))"
@@ -107,18 +107,21 @@ SPANS_SQL = (
     "spans AS (SELECT doc_id, i - 1 AS span, s AS a, s + length(w) AS b FROM (SELECT doc_id, i, w, CAST(coalesce(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS s "
     "FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS w, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)))"
 )
-HIT_SQL = "t.tok_start < s.b AND t.tok_end > s.a AND t.tok_end > t.tok_start"
+#: Tokens and spans don't overlap among themselves, so a span's tokens go from the first that ends after its start to the last that starts before its end.
+JOINED_SQL = (
+    "joined AS (SELECT s.doc_id, s.span, f.tok AS first_tok, l.tok + 1 AS end_tok FROM (SELECT * FROM spans WHERE b > a) s "
+    "ASOF JOIN (SELECT * FROM toks WHERE tok_end > tok_start) f ON s.doc_id = f.doc_id AND s.a < f.tok_end "
+    "ASOF JOIN (SELECT * FROM toks WHERE tok_end > tok_start) l ON s.doc_id = l.doc_id AND s.b > l.tok_start WHERE f.tok <= l.tok)"
+)
+COVERED_SQL = "covered AS (SELECT doc_id, span, unnest(generate_series(first_tok, end_tok - 1)) AS tok FROM joined)"
 
 
 def _offsets(df: DataFrame, sep: str, idx: str, a: str, b: str) -> DataFrame:
-    """Offsets of the parts of a text between separators, by one fold over the parts: no window, no shuffle."""
-    parts = F.split("text", sep)
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<a:bigint,b:bigint>>").alias("out"))
-    step = lambda s, w: F.struct(
-        (s["at"] + F.length(w) + 1).alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("a"), (s["at"] + F.length(w)).alias("b")))).alias("out")
-    )
-    found = df.select("doc_id", F.posexplode(F.aggregate(parts, state, step)["out"]).alias("p", "s"))
-    return found.select("doc_id", F.col("p").cast("long").alias(idx), F.col("s.a").alias(a), F.col("s.b").alias(b))
+    """Offsets of the parts of a text between separators: lengths alone are shuffled, and summed in order."""
+    parts = df.select("doc_id", F.posexplode(F.transform(F.split("text", sep), F.length)).alias(idx, "n"))
+    before = Window.partitionBy("doc_id").orderBy(idx).rowsBetween(Window.unboundedPreceding, -1)
+    rows = parts.select("doc_id", F.col(idx).cast("long").alias(idx), F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)).alias(a), "n")
+    return rows.select("doc_id", idx, a, (F.col(a) + F.col("n")).alias(b))
 
 
 def tokens_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,15 +132,15 @@ def spans_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _offsets(table(spark, sf_dir, "documents"), "\n", "span", "start", "end")
 
 
-@query("overlap_join_spans", f"WITH {WORDS_SQL}, {SPANS_SQL} SELECT doc_id, span, min(tok) AS first_tok, max(tok) + 1 AS end_tok FROM toks t JOIN spans s USING (doc_id) WHERE {HIT_SQL} GROUP BY doc_id, span")
+@query("overlap_join_spans", f"WITH {WORDS_SQL}, {SPANS_SQL}, {JOINED_SQL} SELECT * FROM joined")
 def overlap_join_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.token_spans(tokens_of(spark, sf_dir), spans_of(spark, sf_dir), "doc_id")
 
 
 @query(
     "token_target_max",
-    f"WITH {WORDS_SQL}, {SPANS_SQL}, best AS (SELECT doc_id, tok, max(span % 3) AS target FROM toks t JOIN spans s USING (doc_id) WHERE {HIT_SQL} AND span % 2 = 1 GROUP BY doc_id, tok) "
-    "SELECT doc_id, tok, target FROM toks LEFT JOIN best USING (doc_id, tok)",
+    f"WITH {WORDS_SQL}, {SPANS_SQL}, {JOINED_SQL}, {COVERED_SQL}, best AS (SELECT doc_id, tok, max(span % 3) AS target FROM covered WHERE span % 2 = 1 GROUP BY doc_id, tok) "
+    "SELECT doc_id, tok, CASE WHEN tok_end > tok_start THEN target END AS target FROM toks LEFT JOIN best USING (doc_id, tok)",
 )
 def token_target_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = spans_of(spark, sf_dir).where("span % 2 = 1").withColumn("target", F.col("span") % 3)
@@ -158,8 +161,7 @@ def mean_topk_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "span_sum",
-    f"WITH {WORDS_SQL}, {SPANS_SQL}, joined AS (SELECT doc_id, span, min(tok) AS f, max(tok) + 1 AS e FROM toks t JOIN spans s USING (doc_id) WHERE {HIT_SQL} GROUP BY doc_id, span), "
-    "sums AS (SELECT doc_id, span, sum(tok_end - tok_start) AS v FROM joined j JOIN toks t USING (doc_id) WHERE t.tok >= f AND t.tok < e GROUP BY doc_id, span) "
+    f"WITH {WORDS_SQL}, {SPANS_SQL}, {JOINED_SQL}, {COVERED_SQL}, sums AS (SELECT doc_id, span, sum(tok_end - tok_start) AS v FROM covered JOIN toks USING (doc_id, tok) GROUP BY doc_id, span) "
     "SELECT doc_id, span, CAST(coalesce(v, 0) AS BIGINT) AS score FROM spans LEFT JOIN sums USING (doc_id, span)",
 )
 def span_sum(spark: SparkSession, sf_dir: str) -> DataFrame:

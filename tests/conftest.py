@@ -23,8 +23,3 @@ def spark(tmp_path_factory):
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-def one(spark, column):
-    """Value of a column over no table."""
-    return spark.range(1).select(column.alias("x")).first()["x"]

@@ -1,7 +1,7 @@
 import math
 
 import pytest
-from conftest import one
+from helpers_core import one
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

@@ -24,11 +24,12 @@ def con():
 def cell(v):
     if v is None or isinstance(v, float) and math.isnan(v):
         return "NULL"
-    return repr(round(float(v), 9)) if isinstance(v, float) else str(v)
+    return repr(round(v, 9)) if isinstance(v, float) else str(v)
 
 
-def rows(df):
-    return sorted(tuple(map(cell, r)) for r in df[sorted(df.columns)].values.tolist())
+def rows(names, found):
+    order = sorted(range(len(names)), key=names.__getitem__)
+    return sorted(tuple(cell(r[k]) for k in order) for r in found)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -40,7 +41,7 @@ def test_query(spark, con, name):
     ran = con.execute(ORACLE_SQL[name])
     kinds = {d[0]: str(d[1]) for d in ran.description}
     assert {c: TYPES[t] for c, t in found.dtypes} == kinds
-    assert rows(found.toPandas()) == rows(ran.df())
+    assert rows(found.columns, found.collect()) == rows(list(kinds), ran.fetchall())
 
 
 def test_entry(spark):
