@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+ROWS_A_TASK, EDGES_A_TASK = 20_000, 100_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN_SCRATCH: list[str] = []
 
@@ -21,11 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """Folder that the driver and all executors share: spark.checkpoint.dir. One of our own only on a single machine, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
-    if not _OWN_SCRATCH:  # a single machine, as in tests
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN_SCRATCH:
         _OWN_SCRATCH.append(tempfile.mkdtemp(prefix="corpusmith-"))
     return f"file://{_OWN_SCRATCH[0]}"
 
@@ -34,17 +37,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/corpusmith-{uuid.uuid4().hex}-{name}"
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def few(df: DataFrame, rows: int, per_task: int = ROWS_A_TASK) -> DataFrame:
+    """df, of about so many rows, made by no more tasks than have per_task rows each.
+
+    Only small tables are affected: they would else be written as a file for each shuffle
+    partition. Beyond shuffle.partitions * per_task rows df stays as it is.
+    """
+    n = max(1, -(-rows // per_task))
+    return df.coalesce(n) if n < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None, per_task: int = ROWS_A_TASK) -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors.
 
     The write's own shuffle files are removed when it ends; nothing else can read them.
+    rows: about how many rows it has, where that is known (see few).
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        (df if rows is None else few(df, rows, per_task)).write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
@@ -59,17 +73,18 @@ def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """Distributed union-find over edges(a long, b long): (node, component) for each node of an edge.
 
     component is the smallest node id reachable. Alternates large-star and small-star
     contraction until no edge changes; each round is written to the shared folder, so
     lineage stays short. DataFrame operations only. An empty input gives an empty result.
+    rows: about how many edges there are, where that is known.
     Self-loops and repeated edges are harmless; edges with a null end are ignored.
     """
     spark = edges.sparkSession
     cur, path = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
+        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", rows, EDGES_A_TASK
     )
     old = None
     for _ in range(max_rounds):
@@ -90,7 +105,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        nxt, nxt_path = materialize(small, "edges")
+        nxt, nxt_path = materialize(small, "edges", 2 * n, EDGES_A_TASK)
         drop_path(spark, path)
         cur, path = nxt, nxt_path
     else:

@@ -218,17 +218,16 @@ def near_links(distinct: DataFrame, budget: int = BUDGET, node_rows: int = NODE_
 def components(docs: DataFrame, size: int = SHINGLE_WORDS, budget: int = BUDGET) -> DataFrame:
     """doc_id, fp and component_id (the smallest doc_id reachable) of each row."""
     prints, _ = common.materialize(fingerprints(docs, size), "fingerprints")
-    reps, _ = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    joined = common.connected_components(near_links(reps, budget))
-    merged, _ = common.materialize(
-        joined.join(reps, joined.node == reps.fp).select("fp", "component", "rep"), "components"
-    )
+    n = prints.count()
+    reps, reps_path = common.materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct", n)
+    joined = common.connected_components(near_links(reps, budget), rows=n)
+    merged, merged_path = common.materialize(joined.join(reps, joined.node == reps.fp).select("fp", "component", "rep"), "components", n)
     least = merged.groupBy("component").agg(F.min("rep").alias("least"))
     found = merged.join(least, "component").select("fp", "least")
-    labels, _ = common.materialize(
-        reps.join(found, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "labels"
-    )
-    return prints.join(labels, "fp").select("doc_id", "fp", F.col("component_id"))
+    labels, _ = common.materialize(reps.join(found, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "labels", n)
+    for path in (reps_path, merged_path):
+        common.drop_path(docs.sparkSession, path)
+    return common.few(prints.join(labels, "fp").select("doc_id", "fp", "component_id"), n)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
