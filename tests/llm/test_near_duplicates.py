@@ -191,7 +191,7 @@ def test_line_edges(spark):
 def test_long_line_shingles(spark):
     line = "".join(chr(97 + k * k % 26) for k in range(3 * line_dedup.CHUNK + 5))
     df = spark.createDataFrame([(1, line), (2, "é" * 5), (3, ""), (4, "exactly 8"), (5, line[: line_dedup.CHUNK + 7]), (6, line[: line_dedup.CHUNK + 8])], "id long, line string")
-    hashes = line_dedup.shingle_groups(df, 8).select("id", F.explode(F.array(*(f"s{k}" for k in range(line_dedup.GROUP)))).alias("h"))
+    hashes = line_dedup.shingle_groups(df, 8).select("id", F.explode(F.array(*(f"s{k}" for k in range(line_dedup.STEP)))).alias("h"))
     got = {r["id"]: r["n"] for r in hashes.groupBy("id").agg(F.count_distinct("h").alias("n")).collect()}
     assert got == {r["id"]: len(shingles(r["line"])) for r in df.collect()}
 
@@ -221,8 +221,8 @@ def test_line_families(spark, seed):
 
 
 def test_large_bucket(spark, monkeypatch):
-    """One bucket of many lines in blocks: nothing is lost at block ends."""
-    monkeypatch.setattr(line_dedup, "BLOCK", 7)
+    """Buckets over the bound are refined; what is near there stays together."""
+    monkeypatch.setattr(line_dedup, "GROUP", 12)
     r = np.random.default_rng(5)
     base = "".join(r.choice(list("abcdefghij"), 150))
     lines = []
