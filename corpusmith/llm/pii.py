@@ -6,13 +6,16 @@ chunks between white space; a stretch is a run of chunks that hold a digit, an a
 written-out sign. Candidate segments are 1 to ``MAX_CHUNKS`` chunks of a stretch, scored
 by features of the whole span (digit count, grouping, signs, checks, left neighbour);
 dynamic programming over segments of bounded length chooses boundaries and types jointly,
-chunks of a base span being closed to it. A found segment is kept where its marginal odds
-pass ``MARGIN``, so that plain numbers stay.
+chunks of a base span being closed to it. A segment of the best path is kept where its
+marginal odds (its probability under the field, by forward and backward sums, against all
+else) pass ``ODDS``, so that plain numbers stay.
 
 Training is on generated stretches: personal data in many spellings, and look-alikes
 (dates, amounts, versions, identifiers) as background; seeded, thus the same everywhere.
 
-Scale: a map over the scan, no shuffle; the model is a few hundred numbers.
+Scale: a map over the scan, no shuffle; the model is a few hundred numbers. The work is linear
+in a text's length: patterns can't backtrack beyond a span, and a stretch costs its chunks
+times ``MAX_CHUNKS``.
 
 Cases: a null or empty text has no spans; repeated rows are searched each; an empty table
 gives no rows; further columns are not carried along.
@@ -23,7 +26,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +39,7 @@ from corpusmith.llm import common
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_CHUNKS = 5
-MARGIN = 2.0
+ODDS = 4.0
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -42,7 +47,8 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 HINT = re.compile(r"[0-9@]|\b(?:at|dot)\b")
 CHUNK = re.compile(r"\S+")
-ANCHOR = re.compile(r"[0-9@]|^[\[({<]?(?:at|dot|AT|DOT)[\])}>]?$")
+ANCHOR = re.compile(r"[0-9@]|[\[({<](?:at|dot|AT|DOT)[\])}>]|^(?:at|dot|AT|DOT)$")
+TELLING = re.compile(r"[0-9@]|\S[\[({<](?:at|dot|AT|DOT)[\])}>]")
 EDGE = ".,;:!?\"'<>[]{}"
 
 
@@ -87,8 +93,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 CUES = {"email": 0, "mail": 0, "e-mail": 0, "ip": 1, "host": 1, "server": 1, "card": 2, "visa": 2, "credit": 2, "tel": 3, "phone": 3, "call": 3, "fax": 3, "mobile": 3}
 
 
+#: Written-out or bracketed signs, in text whose white space is collapsed.
+AT_SIGN = re.compile(r" ?[\[({<] ?at ?[\])}>] ?| at | ?@ ?")
+DOT_SIGN = re.compile(r" ?[\[({<] ?dot ?[\])}>] ?| dot ")
+ADDRESS = re.compile(r"[\w.%+-]++@[\w-]++(?:\.[\w-]++)+")
+
+
+def is_address(low: str) -> bool:
+    """Whether a lower-case span with collapsed white space is an address once its signs are put in."""
+    return bool(ADDRESS.fullmatch(DOT_SIGN.sub(".", AT_SIGN.sub("@", low))))
+
+
 def span_features(s: str, left: str) -> list[str]:
     """Features of a whole candidate span; left is the chunk before it."""
+    s = " ".join(s.split())
     d = _digits(s)
     groups = re.findall(r"[0-9]+", s)
     lens = tuple(map(len, groups))
@@ -105,7 +123,7 @@ def span_features(s: str, left: str) -> list[str]:
         f.append(f"octets:{all(len(g) <= 3 and int(g) <= 255 for g in groups)}:{seps}")
     if s[:1] in "+(" or d[:2] == "00":
         f.append(f"intl:{s[:1] if s[:1] in '+(' else '00'}:{9 <= len(d) <= 15}")
-    if re.fullmatch(r"[\w.%+-]+\s*[\[({<]?\s*(?:at|@)\s*[\])}>]?\s*[\w-]+(?:\s*[\[({<]?\s*(?:dot|\.)\s*[\])}>]?\s*[\w-]+)+", low):
+    if is_address(low):
         f.append(f"address:{'@' in s}:{bool(re.search(r'[\[({<]', s))}:{low.endswith(('com', 'org', 'net', 'edu', 'de', 'fr', 'es'))}")
     cue = CUES.get(left.lower().strip(EDGE + "()"))
     f.append(f"cue:{cue}")
@@ -125,10 +143,13 @@ class SemiMarkovCRF:
                 out += self.w[f]
         return out
 
-    def lattice(self, chunks: list[str], left: str, joined) -> dict[tuple[int, int], tuple[list[str], np.ndarray]]:
+    def lattice(self, chunks: list[str], left: str, joined, closed: list[bool] | None = None) -> dict[tuple[int, int], tuple[list[str], np.ndarray]]:
+        """Features and scores by kind of each segment that holds no closed chunk."""
         out = {}
         for i in range(len(chunks)):
             for j in range(i + 1, min(len(chunks), i + MAX_CHUNKS) + 1):
+                if closed and closed[j - 1]:
+                    break
                 feats = span_features(joined(i, j), chunks[i - 1] if i else left)
                 out[i, j] = feats, self.scores(feats)
         return out
@@ -138,9 +159,9 @@ class SemiMarkovCRF:
         a, b = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
         a[0], b[n] = 0.0, 0.0
         for j in range(1, n + 1):
-            a[j] = np.logaddexp.reduce([a[j - 1], *(a[i] + x for i in range(max(0, j - MAX_CHUNKS), j) for x in lat[i, j][1])])
+            a[j] = np.logaddexp.reduce([a[j - 1], *(a[i] + x for i in range(max(0, j - MAX_CHUNKS), j) if (i, j) in lat for x in lat[i, j][1])])
         for i in range(n - 1, -1, -1):
-            b[i] = np.logaddexp.reduce([b[i + 1], *(b[j] + x for j in range(i + 1, min(n, i + MAX_CHUNKS) + 1) for x in lat[i, j][1])])
+            b[i] = np.logaddexp.reduce([b[i + 1], *(b[j] + x for j in range(i + 1, min(n, i + MAX_CHUNKS) + 1) if (i, j) in lat for x in lat[i, j][1])])
         return {(i, j): np.exp(a[i] + s + b[j] - a[n]) for (i, j), (_, s) in lat.items()}
 
     def fit(self, data: list, rounds: int = 5, rate: float = 0.3, l2: float = 1e-3) -> SemiMarkovCRF:
@@ -166,27 +187,35 @@ class SemiMarkovCRF:
         return self
 
     def decode(self, chunks: list[str], left: str, joined, closed: list[bool]) -> list[tuple[int, int, int]]:
-        """Best segments (i, j, kind) by dynamic programming; none holds a closed chunk."""
-        n = len(chunks)
-        best, back = [0.0] * (n + 1), [None] * (n + 1)
-        for j in range(1, n + 1):
-            best[j] = best[j - 1]
-            for i in range(max(0, j - MAX_CHUNKS), j):
-                if any(closed[i:j]):
-                    continue
-                s = self.scores(span_features(joined(i, j), chunks[i - 1] if i else left))
-                k = int(np.argmax(s))
-                if s[k] > MARGIN and best[i] + s[k] > best[j]:
-                    best[j], back[j] = best[i] + s[k], (i, k)
-        out, j = [], n
-        while j:
-            if back[j] is None:
-                j -= 1
-            else:
-                i, k = back[j]
-                out.append((i, j, k))
-                j = i
-        return out[::-1]
+        """Segments (i, j, kind) of the best path whose marginal odds pass; none holds a closed chunk."""
+        lat = self.lattice(chunks, left, joined, closed)
+        found = best_path(len(chunks), lat)
+        if not found:
+            return []
+        p = self.marginals(len(chunks), lat)
+        return [(i, j, k) for i, j, k in found if p[i, j][k] > ODDS * (1 - p[i, j][k])]
+
+
+def best_path(n: int, lat: dict) -> list[tuple[int, int, int]]:
+    """Segments (i, j, kind) of the greatest total score, by dynamic programming; chunks outside of them score 0."""
+    best, back = [0.0] * (n + 1), [None] * (n + 1)
+    for j in range(1, n + 1):
+        best[j] = best[j - 1]
+        for i in range(max(0, j - MAX_CHUNKS), j):
+            if (i, j) in lat:
+                k = int(np.argmax(lat[i, j][1]))
+                total = best[i] + lat[i, j][1][k]
+                if total > best[j]:
+                    best[j], back[j] = total, (i, k)
+    out, j = [], n
+    while j:
+        if back[j] is None:
+            j -= 1
+        else:
+            i, k = back[j]
+            out.append((i, j, k))
+            j = i
+    return out[::-1]
 
 
 def _luhn_number(r: random.Random, n: int) -> str:
@@ -262,6 +291,12 @@ def find_spans(text: str, crf: SemiMarkovCRF) -> tuple[list[tuple[int, int, int]
     base = base_spans(text)
     chunks = [m.span() for m in CHUNK.finditer(text)] if ANCHORS.search(text) else []
     hot = [bool(ANCHOR.search(text[a:b])) for a, b in chunks]
+    starts, reach = [s for s, _, _ in base], list(accumulate((e for _, e, _ in base), max))
+
+    def in_base(a: int, b: int) -> bool:
+        k = bisect_left(starts, b)
+        return k > 0 and reach[k - 1] > a
+
     added, k, n = [], 0, len(chunks)
     while k < n:
         if not hot[k]:
@@ -273,8 +308,8 @@ def find_spans(text: str, crf: SemiMarkovCRF) -> tuple[list[tuple[int, int, int]
         begin = k - 1 if k and _written(text, chunks[k]) else k
         # A written-out sign alone is an everyday word.
         stretch = chunks[begin:end]
-        if any("0" <= c <= "9" or c == "@" for a, b in stretch for c in text[a:b]) or sum(_written(text, c) for c in stretch) > 1:
-            closed = [any(s < b and a < e for s, e, _ in base) for a, b in stretch]
+        if any(TELLING.search(text[a:b]) for a, b in stretch) or sum(_written(text, c) for c in stretch) > 1:
+            closed = [in_base(a, b) for a, b in stretch]
             if not all(closed):
                 cut = lambda i, j, s=stretch: _trim(text, s[i][0], s[j - 1][1])
                 words = [text[a:b] for a, b in stretch]
@@ -285,7 +320,7 @@ def find_spans(text: str, crf: SemiMarkovCRF) -> tuple[list[tuple[int, int, int]
     return base, sorted(base + added, key=lambda s: (s[0], s[2], s[1]))
 
 
-ANCHORS = re.compile(r"[0-9@]|(?:^|\s)[\[({<]?(?:at|AT)[\])}>]?\s+\S+\s+[\[({<]?(?:dot|DOT)[\])}>]?(?:\s|$)")
+ANCHORS = re.compile(r"[0-9@]|[\[({<](?:at|dot|AT|DOT)[\])}>]|(?:^|\s)[\[({<]?(?:at|AT)[\])}>]?\s+\S+\s+[\[({<]?(?:dot|DOT)[\])}>]?(?:\s|$)")
 
 
 def _written(text: str, span: tuple[int, int]) -> bool:
@@ -306,7 +341,7 @@ def joined_spans(spans: list[tuple[int, int, int]]) -> str:
 
 def _find(crf: SemiMarkovCRF):
     def run(batches):
-        for batch in batches:
+        for batch in common.slices(batches, 1024):
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 base, spans = find_spans(text, crf)
