@@ -16,13 +16,17 @@ Projections' means and spreads come from a bounded sample (``sample_rows`` least
 every row is indexed.
 
 Cases: vectors that are null, zero or hold null or non-finite components take no part, nor
-do those of another than the commonest dimension, nor rows without vec_id; rows that repeat
-a vec_id count once, with the least vector; an empty table gives no rows; further columns
-are not carried along.
+do rows without vec_id. Vectors are neighbours within their dimension: one that at least
+``COMMON`` of the rows have (100 dimensions at most) is searched by its own orderings, the
+rows of rarer ones are compared in blocks with all of their dimension. Rows that repeat a
+vec_id count once, with the least vector; an empty table gives no rows; further columns are
+not carried along.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,6 +40,7 @@ BITS = 4
 WINDOW = 0.05
 BLOCK_ROWS = 16_384
 SAMPLE_ROWS = 4096
+COMMON = 0.01
 K = 20
 FOUND = "query_id long, vec_id long, score double"
 
@@ -66,14 +71,12 @@ def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def valid_vectors(vectors: DataFrame) -> DataFrame:
-    """vec_id and vec: each id once, usable vectors of the commonest dimension."""
+    """vec_id and vec: each id once, usable vectors. A written table."""
     v = F.col("embedding")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(good, F.lit(False)))
     rows = rows.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("vec"))
-    rows, _ = common.materialize(rows, "vectors")
-    size = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("vec") == (size["d"] if size else 0))
+    return common.materialize(rows, "vectors")[0]
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
@@ -146,25 +149,10 @@ def _best(reach: int, k: int):
     return run
 
 
-def nearest(
-    vectors: DataFrame,
-    is_query=None,
-    k: int = K,
-    n_curves: int = N_CURVES,
-    dims: int = DIMS,
-    bits: int = BITS,
-    window: float = WINDOW,
-    block_rows: int = BLOCK_ROWS,
-    sample_rows: int = SAMPLE_ROWS,
-    seed: int = 11,
+def _by_curves(
+    rows: DataFrame, n: int, is_query, k: int, n_curves: int, dims: int, bits: int, window: float, block_rows: int, sample_rows: int, seed: int
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query, by largest inner product."""
-    spark = vectors.sparkSession
-    is_query = F.pmod(F.col("vec_id"), F.lit(20)) == 0 if is_query is None else is_query
-    rows = valid_vectors(vectors)
-    n = rows.count()
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    """query_id, vec_id and score of what the windows of all orderings hold of rows of one dimension, the k best of each block."""
     sample = common.least_hashes(rows, "vec_id", sample_rows).toArrow()
     x = _matrix(sample.column("vec"), sample.num_rows)
     bases = _curves(x.shape[1], n_curves, dims, seed)
@@ -179,21 +167,60 @@ def nearest(
     before = Window.partitionBy("curve").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = places.groupBy("curve", "part").agg(F.count("*").alias("n")).select("curve", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     ranked = places.join(F.broadcast(offsets), ["curve", "part"]).select("curve", "vec_id", (F.col("base") + F.col("idx")).alias("rank"))
-    ranked = ranked.join(rows, "vec_id")
+    return _in_blocks(ranked.join(rows, "vec_id"), F.lit(n), reach, is_query, k, block_rows)
+
+
+def _by_all(rows: DataFrame, is_query, k: int, block_rows: int) -> DataFrame:
+    """The same from all rows of a query's dimension, for rows of rare dimensions."""
+    d = F.size("vec").alias("curve")
+    rank = F.row_number().over(Window.partitionBy(d).orderBy("vec_id")) - 1
+    ranked = rows.select(d, "vec_id", "vec", rank.cast("long").alias("rank"))
+    sizes = ranked.groupBy("curve").agg(F.count("*").alias("n"))
+    return _in_blocks(ranked.join(sizes, "curve"), F.col("n"), 1 << 60, is_query, k, block_rows)
+
 
+def _in_blocks(ranked: DataFrame, n, reach: int, is_query, k: int, block_rows: int) -> DataFrame:
+    """Each query (of n rows of its curve) with the rows within reach of its rank, in groups of a block of rows and one of queries."""
     ask_rows = 20 * block_rows
-    block = lambda r, size: F.floor(F.least(F.greatest(r, F.lit(0)), F.lit(n - 1)) / size)
-    rank = F.col("rank")
+    last = n.cast("long") - 1
+    rank = F.col("rank").cast("long")
+    near = F.least(F.lit(reach).cast("long"), last)
+    block = lambda r, size: F.floor(F.least(F.greatest(r, F.lit(0).cast("long")), last) / size)
     own = ranked.select(
-        "curve", block(rank, block_rows).alias("rb"), F.explode(F.sequence(block(rank - reach, ask_rows), block(rank + reach, ask_rows))).alias("qb"),
-        F.lit(False).alias("asks"), "rank", "vec_id", "vec",
+        "curve", block(rank, block_rows).alias("rb"), F.explode(F.sequence(block(rank - near, ask_rows), block(rank + near, ask_rows))).alias("qb"),
+        F.lit(False).alias("asks"), rank.alias("rank"), "vec_id", "vec",
     )
     asks = ranked.where(is_query).select(
-        "curve", F.explode(F.sequence(block(rank - reach, block_rows), block(rank + reach, block_rows))).alias("rb"), block(rank, ask_rows).alias("qb"),
-        F.lit(True).alias("asks"), "rank", "vec_id", "vec",
+        "curve", F.explode(F.sequence(block(rank - near, block_rows), block(rank + near, block_rows))).alias("rb"), block(rank, ask_rows).alias("qb"),
+        F.lit(True).alias("asks"), rank.alias("rank"), "vec_id", "vec",
     )
-    found = own.union(asks).groupBy("curve", "rb", "qb").applyInArrow(_best(reach, k), FOUND)
-    merged = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return own.union(asks).groupBy("curve", "rb", "qb").applyInArrow(_best(reach, k), FOUND)
+
+
+def nearest(
+    vectors: DataFrame,
+    is_query=None,
+    k: int = K,
+    n_curves: int = N_CURVES,
+    dims: int = DIMS,
+    bits: int = BITS,
+    window: float = WINDOW,
+    block_rows: int = BLOCK_ROWS,
+    sample_rows: int = SAMPLE_ROWS,
+    seed: int = 11,
+) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query, by largest inner product."""
+    spark = vectors.sparkSession
+    is_query = F.pmod(F.col("vec_id"), F.lit(20)) == 0 if is_query is None else is_query
+    rows = valid_vectors(vectors)
+    n = rows.count()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sizes = rows.groupBy(F.size("vec").alias("d")).count().where(F.col("count") >= max(2, COMMON * n)).orderBy(F.desc("count"), "d").collect()
+    found = [_by_curves(rows.where(F.size("vec") == x["d"]), x["count"], is_query, k, n_curves, dims, bits, window, block_rows, sample_rows, seed) for x in sizes]
+    if sum(x["count"] for x in sizes) < n:
+        found.append(_by_all(rows.where(~F.size("vec").isin([x["d"] for x in sizes])), is_query, k, block_rows))
+    merged = reduce(DataFrame.union, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
