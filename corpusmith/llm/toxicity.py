@@ -8,7 +8,8 @@ probabilities then locate the offending sentences.
 Fitting uses at most ``max_train`` labelled documents of each class (the least hashes of
 doc_id) outside the held-out fold. Their word counts by class are summed in Spark; the
 ``max_features`` most telling words alone get a weight, and only their occurrences go to
-the driver. Scoring is a map over the scan, no shuffle.
+the driver; texts of over ``max_chars`` teach nothing, so these are bounded too. Scoring is
+a map over the scan of all whole texts, no shuffle.
 
 Cases: a null or empty text is one empty sentence and gets the bias's probability; repeated
 rows are scored each; labels that repeat a doc_id count as their greatest value; no labels,
@@ -31,6 +32,7 @@ from corpusmith.llm import common
 BUCKETS = 1 << 18
 MAX_TRAIN = 4000
 MAX_FEATURES = 512
+MAX_CHARS = 100_000  # of a text to learn from
 FOLDS = 5
 BIAS = -11.0
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -131,13 +133,24 @@ def fit_noisy_or(n_sentences: np.ndarray, hits: list, toxic: np.ndarray, n_featu
     return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> tuple[dict[int, float], float]:
-    """Weights by bucket, and the bias."""
+def train(docs: DataFrame, labels: DataFrame, **bounds: int) -> tuple[dict[int, float], float]:
+    """Weights by bucket, and the bias. bounds: max_train, max_features and max_chars."""
+    paths: list[str] = []
+    try:
+        return _train(docs, labels, paths, **bounds)
+    finally:
+        for path in paths:
+            common.drop_path(docs.sparkSession, path)
+
+
+def _train(docs: DataFrame, labels: DataFrame, paths: list[str], max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, max_chars: int = MAX_CHARS) -> tuple[dict[int, float], float]:
     marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out())
     parts = [common.least_hashes(marked.where(F.col("toxic") == k), "doc_id", max_train) for k in (0, 1)]
-    chosen, _ = common.materialize(parts[0].union(parts[1]), "chosen")  # at most 2 * max_train rows
+    chosen, chosen_path = common.materialize(parts[0].union(parts[1]), "chosen")  # at most 2 * max_train rows
+    paths.append(chosen_path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), common.text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
-    picked, _ = common.materialize(rows.select("doc_id", "text", "toxic"), "training")
+    picked, path = common.materialize(rows.where(F.length("text") <= max_chars).select("doc_id", "text", "toxic"), "training")
+    paths.append(path)
     size = {r["toxic"]: r["n"] for r in picked.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(size) < 2:
         return {}, BIAS
