@@ -316,12 +316,34 @@ def test_vector_edges(spark):
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
     ids = np.arange(45)
     want = brute(ids, np.array([[float(k % 5), 1.0, 0.5] for k in ids]))
-    assert got == want
+    assert got == want  # 20 has two vectors, of which the least counts; 200 has none beside it in its dimension
     few = df.where("vec_id in (0, 1, 2)")
     assert [(r["query_id"], r["rank"], r["vec_id"]) for r in hilbert_ann.nearest(few).orderBy("rank").collect()] == [(0, 1, 1), (0, 2, 2)]
     assert hilbert_ann.nearest(df.limit(0)).count() == 0
 
 
+def test_dimensions(spark, monkeypatch):
+    """Vectors of every dimension find their neighbours in it, common or rare."""
+    r = np.random.default_rng(12)
+    dims = {7: 300, 5: 90, 3: 41, 2: 2, 1: 1}
+    vecs, at = {}, 0
+    for d, n in dims.items():
+        for _ in range(n):
+            vecs[at] = r.normal(size=d)
+            at += 1
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in vecs.items()], "vec_id long, embedding array<double>")
+    want = {}
+    for d in dims:
+        ids = np.array([k for k, v in vecs.items() if len(v) == d])
+        want |= {int(q): [i for i, _ in f] for q, f in brute(ids, np.stack([vecs[k] for k in ids])).items() if f}
+    for share in (0.01, 0.15, 2.0):  # all but the last two searched by orderings, the two commonest, none
+        monkeypatch.setattr(hilbert_ann, "COMMON", share)
+        got = {}
+        for x in hilbert_ann.nearest(df, block_rows=32, window=1.0).orderBy("query_id", "rank").collect():
+            got.setdefault(x["query_id"], []).append(x["vec_id"])
+        assert got == want
+
+
 # Pipeline.
 def test_pipeline(spark):
     import corpus_pipeline

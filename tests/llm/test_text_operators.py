@@ -2,10 +2,13 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import empty, messy, texts
 from hypothesis import given, settings
@@ -36,8 +39,26 @@ FUZZ = st.lists(st.sampled_from([*"abAB '.\n\t1é\u3000ß\U0001f600\x85\x1c", "<
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_cached_encoder(name):
     tok, enc = library(name), encoding.CachedEncoder(name, max_entries=50)
-    for t in [*ODD, *(x or "" for x in texts())]:
+    hard = [*ODD, *(x or "" for x in texts())]
+    for t in hard:
         assert enc.ids(t) == library_ids(tok, t)
+    check_chunks(enc, tok, hard)
+    check_chunks(enc, tok, [])
+    check_chunks(enc, tok, ["", None])
+
+
+def check_chunks(enc, tok, docs):
+    flat, n = enc.encode(pa.array([x or "" for x in docs], pa.string()))
+    want = [library_ids(tok, x) for x in docs]
+    assert n.tolist() == [len(x) // 4 for x in want] and flat.astype("<u4").tobytes() == b"".join(want)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_long_texts_in_parts(name, monkeypatch):
+    tok, enc = library(name), encoding.CachedEncoder(name)
+    for limit in (1, 37, 1000):
+        monkeypatch.setattr(encoding._chunks, "__defaults__", (limit,))
+        check_chunks(enc, tok, ["a b", "x" * 50, " ".join(f"word{k},  é <|endoftext|>\nz" for k in range(60)), "", "last one"])
 
 
 @settings(max_examples=60, deadline=None)
@@ -45,6 +66,7 @@ def test_cached_encoder(name):
 def test_encoders_agree(text):
     want = library_ids(_tok(), text)
     assert _enc().ids(text) == want
+    check_chunks(_enc(), _tok(), [text, "a", text])
     assert bpe.coder("byte_bpe_50k.json").encode_batch([text]) == [want]
 
 
@@ -82,7 +104,7 @@ def test_bpe_query(spark):
 
     found = {r["doc_id"]: r for r in QUERIES["op8_bpe"](spark, SF).collect()}
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
-        ids = library_ids(_tok(), r["text"]) if len(r["text"]) < 3000 else _enc().ids(r["text"])
+        ids = library_ids(_tok(), r["text"])
         assert found[r["doc_id"]]["ids_sha256"] == hashlib.sha256(ids).hexdigest()
         assert found[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
 
@@ -109,7 +131,92 @@ def test_token_files(spark, tmp_path):
     assert token_files.token_digest(token_files.read_tokens(spark, str(tmp_path / "none"))).count() == 0
 
 
+def test_token_files_query(spark):
+    from corpusmith.llm.queries import QUERIES
+
+    found = {r["doc_id"]: r for r in QUERIES["op9_token_files"](spark, SF).collect()}
+    at = 0
+    for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect():
+        ids = library_ids(_tok(), r["text"]) + (2).to_bytes(4, "little")
+        got = found.pop(r["doc_id"])
+        assert (got["start"], got["n_tokens"], got["ids_crc32"]) == (at, len(ids) // 4, zlib.crc32(ids))
+        at += len(ids) // 4
+    assert not found
+
+
 # Packing.
+def fewest(lengths, capacity, max_docs, max_cost):
+    """Fewest sequences by trying all ways."""
+    best = [len(lengths)]
+
+    def put(k, seqs):
+        if len(seqs) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(seqs)
+            return
+        x = lengths[k]
+        for s in seqs:
+            if len(s) < max_docs and sum(s) + x <= capacity and sum(y * y for y in s) + x * x <= max_cost:
+                s.append(x)
+                put(k + 1, seqs)
+                s.pop()
+        put(k + 1, [*seqs, [x]])
+
+    put(0, [])
+    return best[0]
+
+
+def plain_best_fit(lengths, capacity, max_docs, max_cost, weights):
+    """Members of each sequence by the same rule, without arrays."""
+    seqs = []
+    scale = [w / c**2 for w, c in zip(weights, (capacity, max_docs, max_cost), strict=True)]
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        x = lengths[i]
+        fits = []
+        for k, s in enumerate(seqs):
+            left = (capacity - sum(lengths[j] for j in s) - x, max_docs - len(s) - 1, max_cost - sum(lengths[j] ** 2 for j in s) - x * x)
+            if min(left) >= 0 and 2 * x <= capacity:
+                fits.append((sum(w * v * v for w, v in zip(scale, left, strict=True)), k))
+        if fits:
+            seqs[min(fits)[1]].append(i)
+        else:
+            seqs.append([i])
+    return seqs
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 30), min_size=1, max_size=8), st.integers(1, 4), st.sampled_from([200.0, 450.0, 900.0]))
+def test_packing_against_all_ways(lengths, max_docs, max_cost):
+    lengths = [x for x in lengths if x * x <= max_cost] or [1]
+    seq, _ = packing.vector_best_fit(np.array(lengths, np.int64), 30, max_docs, max_cost)
+    n = len(set(seq.tolist()))
+    least = fewest(lengths, 30, max_docs, max_cost)
+    assert least <= n <= 2 * least
+    plain = plain_best_fit(lengths, 30, max_docs, max_cost, packing.WEIGHTS)
+    assert n == len(plain)
+
+
+def test_packing_query(spark):
+    from corpusmith.llm.queries import QUERIES
+
+    tok = library("word_bpe_49k.json")
+    ids_of = {r["doc_id"]: library_ids(tok, r["text"]) + bytes(4) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = QUERIES["op10_best_fit_packing"](spark, SF).collect()
+    at, by_seq = Counter(), {}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["piece"])):
+        assert r["start"] == at[r["doc_id"]] == 2048 * r["piece"]
+        at[r["doc_id"]] += r["length"]
+        assert zlib.crc32(ids_of[r["doc_id"]][4 * r["start"] : 4 * (r["start"] + r["length"])]) == r["ids_crc32"]
+        by_seq.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert {k: len(v) // 4 for k, v in ids_of.items()} == at
+    for places in by_seq.values():
+        places.sort()
+        assert [p for p, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
+        assert len(places) <= packing.MAX_DOCS
+    assert len(by_seq) <= -(-sum(at.values()) // 2048) + 3
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60), st.integers(1, 5))
 def test_vector_best_fit(lengths, max_docs):
@@ -189,6 +296,71 @@ def test_field_adds_spans():
         assert set(base) <= set(spans) and [s for s in spans if s not in base] == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 6), st.randoms(use_true_random=False))
+def test_best_path(n, r):
+    """Dynamic programming against all segmentations."""
+    lat = {(i, j): ([], np.array([r.uniform(-3, 2) for _ in range(4)])) for i in range(n) for j in range(i + 1, min(n, i + pii.MAX_CHUNKS) + 1) if r.random() < 0.8}
+
+    def ways(at):
+        if at == n:
+            yield ()
+            return
+        yield from ways(at + 1)
+        for j in range(at + 1, n + 1):
+            if (at, j) in lat:
+                for rest in ways(j):
+                    for k in range(4):
+                        yield ((at, j, k), *rest)
+
+    worth = lambda w: sum(lat[i, j][1][k] for i, j, k in w)
+    every = list(ways(0))
+    found = pii.best_path(n, lat)
+    assert tuple(found) in every and abs(worth(found) - max(map(worth, every))) < 1e-9
+    p = pii.SemiMarkovCRF().marginals(n, lat)
+    z = sum(np.exp(worth(w)) for w in every)
+    for (i, j), q in p.items():
+        for k in range(4):
+            assert abs(q[k] - sum(np.exp(worth(w)) for w in every if (i, j, k) in w) / z) < 1e-9
+
+
+def test_hard_texts_are_quick():
+    """Texts made to backtrack, or dense with spans, cost no more than their length."""
+    crf = pii.model()
+    for text in (
+        "a@" + "dota" * 40 + "=",
+        "a@" + "dota" * 20_000 + "=",
+        "x at " + " dot a" * 20_000,
+        "a [at] b" + " [ dot" * 20_000,
+        "a@" * 20_000,
+        "+1" + " (" * 50_000 + "x",
+        "1.1.1.1 " * 10_000,
+        "4111 1111 1111 1111, " * 3_000,
+        "7" * 200_000,
+        "at" + " " * 200_000 + "dot 5",
+    ):
+        began = time.process_time()
+        pii.find_spans(text, crf)
+        assert time.process_time() - began < 30
+
+
+def test_field_recall():
+    """Spans of held-out generated stretches: most are found, and look-alikes are left alone."""
+    crf, hit, missed, false = pii.model(), 0, 0, 0
+    for chunks, left, truth in pii.generated(400, seed=1234):
+        text = " ".join([left, *chunks]).strip()
+        got = {(a, b) for a, b, _ in pii.find_spans(text, crf)[1]}
+        at = [len(left) + 1 if left else 0]
+        for c in chunks:
+            at.append(at[-1] + len(c) + 1)
+        want = {pii._trim(text, at[i], at[j] - 1) for i, j in truth}
+        touch = lambda x, ys: any(x[0] < y[1] and y[0] < x[1] for y in ys)
+        hit += sum(touch(x, got) for x in want)
+        missed += sum(not touch(x, got) for x in want)
+        false += sum(not touch(x, want) for x in got)
+    assert hit >= 0.9 * (hit + missed) and false <= 0.05 * hit
+
+
 def test_personal_data(spark):
     rows = {r["doc_id"]: r for r in pii.find_personal_data(messy(spark, clash=True)).collect()}
     for k, t in enumerate(texts()):
@@ -297,6 +469,52 @@ def test_toxicity_accuracy(spark):
     assert kept.columns == d.columns and {r["doc_id"] for r in kept.collect()} == {x["doc_id"] for x in rows if x["score"] < 0.5}
 
 
+def plain_score(text, weights, bias):
+    """Noisy-or over sentences without caches or short cuts."""
+    miss = 1.0
+    for sentence in [x for x in re.split(r"[.!?\n]+", text) if x.strip()] or [""]:
+        found = {zlib.crc32(f.encode()) % toxicity.BUCKETS for w in sentence.split() for w in [w.lower().strip(toxicity.STRIP)] for f in [w, *(w[:k] + "~" for k in toxicity.PREFIXES if len(w) > k)]}
+        miss *= 1 - 1 / (1 + np.exp(-(bias + sum(weights.get(k, 0.0) for k in found))))
+    return 1 - miss
+
+
+def test_noisy_or(spark):
+    r = np.random.default_rng(4)
+    weights = {zlib.crc32(w.encode()) % toxicity.BUCKETS: float(r.normal(0, 4)) for w in ("fox", "lazy", "jum~", "quite~", "here", "thin~")}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(100).unionByName(messy(spark))
+    by_id = {}
+    for x in docs.collect():
+        by_id.setdefault(x["doc_id"], set()).add(round(plain_score(x["text"] or "", weights, -3.0), 9))
+    for x in toxicity.score(docs, weights, -3.0).collect():
+        assert round(x["score"], 9) in by_id[x["doc_id"]]
+
+
+def test_likelihood_is_fitted():
+    """The fit is no worse than any small step from it."""
+    r = np.random.default_rng(6)
+    hits = [[sorted(r.choice(5, int(r.integers(1, 4)), replace=False).tolist()) for _ in range(int(r.integers(0, 4)))] for _ in range(80)]
+    n = np.array([len(h) + int(r.integers(1, 5)) for h in hits])
+    toxic = np.array([int(any(3 in s for s in h)) for h in hits])
+    toxic[:5] = 1 - toxic[:5]
+
+    def loss(w, b):
+        total = 0.0
+        for h, m, y in zip(hits, n, toxic, strict=True):
+            z = [b + sum(w[f] for f in s) for s in h] + [b] * (m - len(h))
+            score = 1 - np.prod([1 - 1 / (1 + np.exp(-x)) for x in z])
+            total -= np.log(max(score if y else 1 - score, 1e-12))
+        return total / len(n) + 0.5e-4 * float(np.square(w).sum())
+
+    w, b = toxicity.fit_noisy_or(n, hits, toxic, 5, rounds=2000)
+    here = loss(w, b)
+    assert here < loss(np.zeros(5), toxicity.BIAS)
+    for k in range(6):
+        for step in (-0.05, 0.05):
+            v = np.append(w, b)
+            v[k] += step
+            assert here <= loss(v[:5], v[5]) + 1e-4
+
+
 def test_toxicity_edges(spark):
     none = spark.createDataFrame([], LABELS)
     w, b = toxicity.train(messy(spark, clash=True), none)
@@ -321,15 +539,49 @@ def test_scan():
     mit = license_scan.TEMPLATES["MIT"]
     found = license_scan.scan(f"{noise}\n{mit.replace('free of charge', 'at no cost')}\n{noise}", ready)
     assert [f[0] for f in found] == ["MIT"] and 0.9 < found[0][1] < 1
+    thin = " ".join(w + (f" zz{k}" if k % 2 else "") for k, w in enumerate(mit.split()))
+    assert [f[:3] for f in license_scan.scan(thin, ready)] == [("MIT", 1.0, 0)]
+    for name, t in license_scan.TEMPLATES.items():
+        assert (name, 1.0) in [(f[0], f[1]) for f in license_scan.scan(f"{noise} {t} {noise}", ready)]
+    began = time.process_time()
+    license_scan.scan(" ".join(["permission the software to use copy notice and"] * 20_000), ready)
+    license_scan.scan((" ".join(mit.split()[:40]) + " ") * 3_000, ready)
+    assert time.process_time() - began < 30
     twice = "Released under the MIT License. " + noise + " released under the mit license!"
     assert [(f[0], f[1]) for f in license_scan.scan(twice, ready)] == [("MIT-statement", 1.0)] * 2
     assert license_scan.scan("the of and to a in under version work public license", ready) == []
 
 
+def patience_counts(a, b):
+    """Numbers of matches that patience alignment can give, whichever longest chain of anchors is taken."""
+    if not a or not b:
+        return {0}
+    if a[0] == b[0]:
+        return {1 + n for n in patience_counts(a[1:], b[1:])}
+    if a[-1] == b[-1]:
+        return {1 + n for n in patience_counts(a[:-1], b[:-1])}
+    anchors = [(a.index(w), j) for j, w in enumerate(b) if a.count(w) == 1 and b.count(w) == 1]
+    for size in range(len(anchors), 0, -1):
+        chains = [c for c in combinations(anchors, size) if all(x[0] < y[0] for x, y in zip(c, c[1:], strict=False))]
+        if chains:
+            break
+    else:
+        return {0}
+    out = set()
+    for chain in chains:
+        edges = [(-1, -1), *chain, (len(a), len(b))]
+        totals = {size}
+        for (i, j), (k, m) in zip(edges, edges[1:], strict=False):
+            totals = {x + y for x in totals for y in patience_counts(a[i + 1 : k], b[j + 1 : m])}
+        out |= totals
+    return out
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abcdef"), max_size=12), st.lists(st.sampled_from("abcdef"), max_size=8))
-def test_align_is_increasing(a, b):
+def test_align(a, b):
     got = license_scan.align(a, b)
+    assert len(got) in patience_counts(a, b)
     assert all(a[i] == b[j] for i, j in got)
     assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:], strict=False))
 
