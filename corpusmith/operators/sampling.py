@@ -49,22 +49,34 @@ def blend_counts(ratios: Sequence[int], epoch_size: int | None, lengths: Sequenc
     return counts
 
 
-def rank_in_source(df: DataFrame, source: str, key: str, seed: int = 42) -> DataFrame:
-    order = Window.partitionBy(source).orderBy(draw_key(F.col(key), seed), key)
-    return df.withColumn("draw", F.row_number().over(order))
+def with_group_index(df: DataFrame, group: str, *order: str, name: str = "draw") -> DataFrame:
+    """An index from 1 within each group by order; a group of any size is spread over many tasks.
+
+    Rows are range-partitioned by group and order. A table of one count for each part of a
+    group in a range gives the part its offset.
+    """
+    keys = [F.col(c) for c in (group, *order)]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
+    parts = ranged.groupBy("_p", F.col(group).alias("_g")).agg(F.count("*").alias("_n"), F.min("_m").alias("_lo"))
+    before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select(F.col("_p").alias("_q"), "_g", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo") + 1).alias("_base"))
+    joined = ranged.join(offsets, (F.col("_p") == F.col("_q")) & F.col(group).eqNullSafe(F.col("_g")))
+    return joined.withColumn(name, F.col("_base") + F.col("_m")).drop("_p", "_m", "_q", "_g", "_base")
 
 
 def sample_per_source(df: DataFrame, source: str, key: str, k: int, seed: int = 42) -> DataFrame:
     """k rows of each source, uniform without replacement."""
     if k <= 0:
         raise ValueError("k must be positive")
-    return rank_in_source(df, source, key, seed).where(F.col("draw") <= k)
+    order = Window.partitionBy(source).orderBy(draw_key(F.col(key), seed), key)  # so small a rank is cut off before the shuffle
+    return df.withColumn("draw", F.row_number().over(order)).where(F.col("draw") <= k)
 
 
 def ratio_blend(df: DataFrame, source: str, key: str, counts: dict[str, int], seed: int = 42) -> DataFrame:
     """counts[s] rows of each source s, in draw order, without replacement."""
     take = F.create_map(*(F.lit(x) for kv in counts.items() for x in kv))
-    ranked = rank_in_source(df.where(F.col(source).isin(list(counts))), source, key, seed)
+    drawn = df.where(F.col(source).isin(list(counts))).withColumn("_draw", draw_key(F.col(key), seed))
+    ranked = with_group_index(drawn, source, "_draw", key).drop("_draw")
     return ranked.where(F.col("draw") <= F.try_element_at(take, F.col(source)))
 
 

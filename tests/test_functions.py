@@ -1,4 +1,5 @@
 import math
+from itertools import combinations
 
 import pytest
 from helpers_core import one
@@ -7,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from corpusmith.functions import answers as A
-from corpusmith.functions import metrics, models, text
+from corpusmith.functions import metrics, models, stemming, text
 
 
 def lit(x):
@@ -114,3 +115,47 @@ def test_code_is_off_unless_enabled():
 def test_generate(spark):
     rows = spark.createDataFrame([("abc",), (None,)], "p string")
     assert [r["raw_prediction"] for r in models.generate(rows, "p", models.stub_model).collect()] == ["The answer is \\boxed{3}.", "The answer is \\boxed{0}."]
+
+
+@pytest.mark.parametrize(
+    ("word", "want"),
+    [w.split(":") for w in (
+        "caresses:caress ponies:poni ties:tie dies:die flies:fli cats:cat feed:feed agreed:agre plastered:plaster bled:bled motoring:motor sing:sing conflated:conflat "
+        "troubled:troubl sized:size hopping:hop tanned:tan falling:fall hissing:hiss fizzed:fizz failing:fail filing:file happy:happi enjoy:enjoy sky:sky skies:sky dying:die died:die "
+        "spied:spi relational:relat conditional:condit rational:ration valenci:valenc digitizer:digit radicalli:radic vietnamization:vietnam operator:oper feudalism:feudal "
+        "decisiveness:decis hopefulness:hope formaliti:formal sensitiviti:sensit triplicate:triplic formative:form formalize:formal electrical:electr hopeful:hope goodness:good "
+        "revival:reviv allowance:allow inference:infer airliner:airlin adjustable:adjust defensible:defens irritant:irrit replacement:replac adoption:adopt communism:commun "
+        "activate:activ homologous:homolog effective:effect probate:probat rate:rate cease:ceas controll:control roll:roll generalizations:gener oscillators:oscil proceed:proceed news:news "
+        "by:by say:say analogi:analog"
+    ).split()],
+)
+def test_stem(word, want):
+    assert stemming.stem(word) == want
+
+
+def test_metric_bundle(spark):
+    """Against plain versions on short texts of few words."""
+    import random
+
+    r = random.Random(3)
+    vocab = ["Running", "runs", "ran", "the", "the,", "cat", "cats", "happily", "", "9"]
+    pairs = [(" ".join(r.choices(vocab, k=r.randint(0, 9))), " ".join(r.choices(vocab, k=r.randint(0, 9)))) for _ in range(120)]
+
+    def rouge(a, b):
+        if not a.strip() or not b.strip():
+            return float(not a.strip() and not b.strip())
+        x, y = metrics.rouge_tokens(a), metrics.rouge_tokens(b)
+        best = max((n for n in range(min(len(x), len(y)), -1, -1) if {*combinations(x, n)} & {*combinations(y, n)}), default=0)
+        return 2 * best / (len(x) + len(y)) if best else 0.0
+
+    def f1(a, b):
+        x, y = a.lower().split(), b.lower().split()
+        same = sum(min(x.count(w), y.count(w)) for w in set(x))
+        return 1.0 if not x and not y else 2 * same / (len(x) + len(y)) if x and y else 0.0
+
+    df = spark.createDataFrame(pairs, "ref string, pred string")
+    found = df.select("ref", "pred", *(c.alias(n) for n, c in metrics.metric_bundle(F.col("ref"), F.col("pred")).items())).collect()
+    for x in found:
+        a, b = x["ref"], x["pred"]
+        assert x["exact_match"] == float(a.lower().split() == b.lower().split())
+        assert abs(x["token_f1"] - f1(a, b)) < 1e-9 and abs(x["rouge_l_f1"] - rouge(a, b)) < 1e-9

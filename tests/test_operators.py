@@ -174,3 +174,17 @@ def test_reports(spark):
     assert u.columns == ["a", "b"] and u.count() == 2
     assert one(spark, reports.no_boxed(F.lit("x"), F.lit("cot"))) == 1
     assert one(spark, reports.no_boxed(F.lit("x"), F.lit("pal"))) == 0
+
+
+def test_group_index(spark):
+    """One group holds most rows; ties and null groups are numbered as well."""
+    rows = [("hot" if k % 10 else f"s{k % 3}" if k % 4 else None, k % 50, k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "g string, a int, k int")
+    got = {}
+    for r in sampling.with_group_index(df.repartition(7), "g", "a", "k").collect():
+        got.setdefault(r["g"], []).append((r["draw"], r["a"], r["k"]))
+    assert sum(map(len, got.values())) == 3000
+    for found in got.values():
+        found.sort()
+        assert [d for d, _, _ in found] == list(range(1, len(found) + 1))
+        assert [(a, k) for _, a, k in found] == sorted((a, k) for _, a, k in found)
