@@ -255,7 +255,7 @@ def test_agreement(spark):
         rows.append((*pack(a), *pack(b), int((a == b).sum())))
     df = spark.createDataFrame(rows, ", ".join([f"a{k} long" for k in range(4)] + [f"b{k} long" for k in range(4)]) + ", want int")
     assert df.where(line_dedup.agreement(24, "a", "b") != F.col("want")).count() == 0
-    assert line_dedup.least_agreement(24, 0.8) == 11
+    assert line_dedup.least_agreement(24, 0.8) == 13
 
 
 def test_short_line_recall(spark):
