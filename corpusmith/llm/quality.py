@@ -3,8 +3,8 @@
 Statistics of each whole text are taken in one map over the scan. A bounded sample of
 labelled rows (``max_train``, the least hashes of doc_id) teaches an ordered list of rules
 by sequential covering: each rule is a conjunction of thresholds, grown by information gain
-on two thirds of the remaining rows, pruned on the other third, and kept while it is
-precise enough; rows that it covers leave. The list is emitted as ordered Spark
+on two thirds of the remaining rows, pruned on the other third (any term may go), and kept
+while it is precise enough; rows that it covers leave. The list is emitted as ordered Spark
 conditionals, applied to every row: the first rule that holds rejects a text.
 
 Scale: no shuffle but that of the labels' join on (doc_id, statistics), numbers only.
@@ -136,8 +136,13 @@ def learn_rules(x: np.ndarray, bad: np.ndarray, names: list[str], max_rules: int
                 c &= m[t]
             return (bad & c).sum() >= max(min_cover, min_precision * c.sum())  # noqa: B023
 
-        # Prune: of the rule's beginnings that are precise enough, the shortest of the most worth.
-        options = [rule[:k] for k in range(1, len(rule) + 1) if precise(rule[:k])]
+        # Prune: of the rule's beginnings, and of what is left when any terms are dropped one by one, the precise one of the most worth.
+        options = [rule[:k] for k in range(1, len(rule) + 1)]
+        shorter = rule
+        while len(shorter) > 1:
+            shorter = max((shorter[:k] + shorter[k + 1 :] for k in range(len(shorter))), key=lambda r: worth(r, prune))  # noqa: B023
+            options.append(shorter)
+        options = [r for r in options if precise(r)]
         if not options:
             break
         rule = max(options, key=lambda r: (worth(r, prune), -len(r)))  # noqa: B023

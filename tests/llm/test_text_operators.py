@@ -419,6 +419,29 @@ def test_rules_are_learned():
     assert quality.learn_rules(np.ones((9, 2)), np.ones(9, bool), ["a", "b"]) == []
 
 
+def test_any_term_is_pruned():
+    """A term that was grown first and tells nothing beside the later ones goes."""
+    r = np.random.default_rng(9)
+    x = r.integers(0, 20, (3000, 3)) / 20
+    bad = (x[:, 1] > 0.6) & (x[:, 2] > 0.6)
+    x[:, 0] = np.where(bad & (np.arange(3000) % 3 != 2), 0.9, x[:, 0])  # tells only in the rows to grow on
+    for rule in quality.learn_rules(x, bad, ["a", "b", "c"])[:1]:
+        assert {name for name, _, _ in rule} <= {"b", "c"} and len(rule) == 2
+
+
+def test_rules_as_columns(spark):
+    """Ordered conditionals against a loop over the rules."""
+    r = np.random.default_rng(3)
+    names = list(quality.FEATURES)
+    for _ in range(3):
+        rules = [[(str(r.choice(names)), str(r.choice([">", "<="])), float(r.uniform(0, 3))) for _ in range(int(r.integers(1, 4)))] for _ in range(5)]
+        stats = quality.statistics(messy(spark))
+        rows = stats.select(*(quality.feature(n).alias(f"f_{n}") for n in names), quality.rejects(rules).alias("rule")).collect()
+        for x in rows:
+            holds = lambda t: x[f"f_{t[0]}"] > t[2] if t[1] == ">" else x[f"f_{t[0]}"] <= t[2]  # noqa: E731, B023
+            assert x["rule"] == next((k for k, rule in enumerate(rules, 1) if all(map(holds, rule))), 0)
+
+
 def test_quality(spark):
     labels = spark.createDataFrame([], LABELS)
     rows = {r["doc_id"]: r for r in quality.quality_verdicts(messy(spark, clash=True), labels).collect()}
