@@ -82,3 +82,32 @@ def alignment_weight(i: Column, n: Column) -> Column:
 def linear_schedule(step: Column, last: Column, start: float, end: float) -> Column:
     progress = F.least(F.greatest(step / F.greatest(last, F.lit(1)), F.lit(0.0)), F.lit(1.0))
     return F.lit(start) + (end - start) * progress
+
+
+def gated_queries(base: Column, gate: Column, delta: Column) -> Column:
+    """Query vectors moved by gated steps: base + sigmoid(gate) * delta. base and delta: arrays of vectors, gate: a logit for each."""
+    moved = F.zip_with(base, F.zip_with(gate, delta, lambda g, d: F.struct(g.cast("double").alias("g"), d.alias("d"))), lambda b, x: F.zip_with(
+        b, x["d"], lambda p, q: p.cast("double") + q.cast("double") / (1 + F.exp(-x["g"]))
+    ))
+    return moved
+
+
+def rms_norm(a: Column, eps: float = 1e-6) -> Column:
+    """A vector over the root of its mean square."""
+    return F.transform(a, lambda x: x.cast("double") / F.sqrt(dot(a, a) / F.size(a) + F.lit(eps)))
+
+
+def teacher_relevance(chat_ids: Column, prompt_ids: Column, layers: Column, spans: Column, upper_layers: int = 4) -> Column:
+    """Relevance of a prompt's spans, summing to 1: attention of the upper layers over the prompt's window in the chat.
+
+    layers: an array a layer of attention to each chat position, lowest first; spans: (start, end)
+    in prompt tokens. Null where the prompt isn't found in the chat.
+    """
+    from corpusmith.operators.spans import find_subsequence, normalize_distribution
+
+    at = find_subsequence(chat_ids, prompt_ids)
+    upper = F.slice(layers, F.greatest(F.size(layers) - upper_layers, F.lit(0)) + 1, upper_layers)
+    places = F.when(F.size(prompt_ids) > 0, F.sequence(F.lit(0), F.size(prompt_ids) - 1))
+    mean = F.transform(places, lambda i: total(F.transform(upper, lambda layer: F.get(layer, at + i))) / F.size(upper))
+    scores = F.transform(spans, lambda s: total(F.slice(mean, s["start"] + 1, F.greatest(s["end"] - s["start"], F.lit(0)))))
+    return F.when(at.isNotNull(), normalize_distribution(scores))

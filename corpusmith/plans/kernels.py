@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmith.functions import text
-from corpusmith.operators import batching, masking, spans
+from corpusmith.operators import batching, masking, reports, spans
 from corpusmith.operators import kernels as K
 from corpusmith.plans.base import query, sql_words, table
 
@@ -285,3 +285,35 @@ def l1_l2_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors(spark, sf_dir).groupBy("label").agg(F.round(F.avg(l1), 6).alias("l1"), F.round(F.avg(sq), 6).alias("l2"))
 
 
+
+
+@query(
+    "gated_queries",
+    f"WITH {E_SQL}, {HALF_SQL} SELECT vec_id, round(a[1] + b[1] / (1 + exp(-a[1])), 6) AS q_first, round(b[32] + a[32] / (1 + exp(-b[1])), 6) AS q_last FROM h",
+)
+def gated_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = F.col("a"), F.col("b")
+    q = K.gated_queries(F.array(a, b), F.array(F.get(a, 0), F.get(b, 0)), F.array(b, a))
+    rows = halves(spark, sf_dir).select("vec_id", q.alias("q"))
+    return rows.select("vec_id", F.round(F.get(F.get("q", 0), 0), 6).alias("q_first"), F.round(F.get(F.get("q", 1), 31), 6).alias("q_last"))
+
+
+@query(
+    "teacher_relevance",
+    f"WITH {E_SQL}, m AS (SELECT vec_id, list_transform(range(10), lambda i: (v[vec_id % 20 + i + 1] + v[64 - vec_id % 20 - i]) / 2) AS m FROM e), "
+    "s AS (SELECT vec_id, greatest(list_sum(m[1:3]), 0) AS a, greatest(list_sum(m[4:10]), 0) AS b FROM m) "
+    "SELECT vec_id, round(CASE WHEN a + b > 0 THEN a / (a + b) ELSE 0.5 END, 6) AS head, round(CASE WHEN a + b > 0 THEN b / (a + b) ELSE 0.5 END, 6) AS tail FROM s",
+)
+def teacher_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = (F.col("vec_id") % 20).cast("int")
+    span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    found = K.teacher_relevance(F.sequence(F.lit(0), F.lit(63)), F.sequence(k, k + 9), F.array(F.reverse("v"), "v", F.reverse("v")), F.array(span(0, 3), span(3, 10)), 2)
+    rows = vectors(spark, sf_dir).select("vec_id", found.alias("r"))
+    return rows.select("vec_id", F.round(F.get("r", 0), 6).alias("head"), F.round(F.get("r", 1), 6).alias("tail"))
+
+
+@query("loss_metrics", "SELECT l_orderkey, l_linenumber, CAST(l_discount AS DOUBLE) AS loss_ans, CAST(l_tax AS DOUBLE) AS loss_align, CAST(NULL AS DOUBLE) AS loss_rat FROM lineitem")
+def loss_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outputs = {"answer_loss": F.col("l_discount"), "mh_align_loss": F.array("l_tax"), "rationale_loss": F.array("l_tax", "l_discount"), "other": F.col("l_quantity")}
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *(c.alias(n) for n, c in outputs.items()))
+    return reports.loss_metrics(rows, "l_orderkey", "l_linenumber")

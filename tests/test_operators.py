@@ -188,3 +188,24 @@ def test_group_index(spark):
         found.sort()
         assert [d for d, _, _ in found] == list(range(1, len(found) + 1))
         assert [(a, k) for _, a, k in found] == sorted((a, k) for _, a, k in found)
+
+
+def test_gated_queries(spark):
+    import math
+
+    vec = lambda *x: F.array(*(F.lit(float(v)) for v in x))
+    got = one(spark, kernels.gated_queries(F.array(vec(1, 2), vec(3, 4)), vec(0, 50), F.array(vec(2, 4), vec(1, -1))))
+    assert [[round(v, 9) for v in row] for row in got] == [[2.0, 4.0], [4.0, 3.0]]
+    got = one(spark, kernels.rms_norm(vec(3, 4)))
+    assert all(abs(a - b / math.sqrt(12.5)) < 1e-6 for a, b in zip(got, (3, 4), strict=True))
+
+
+def test_teacher_relevance(spark):
+    ints = lambda *x: F.array(*(F.lit(v) for v in x))
+    vec = lambda *x: F.array(*(F.lit(float(v)) for v in x))
+    span = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    layers = F.array(vec(9, 9, 9, 9, 9), vec(0, 1, 2, 3, 0), vec(0, 3, 2, 1, 0))
+    spans = F.array(span(0, 1), span(1, 3), span(3, 3))
+    got = one(spark, kernels.teacher_relevance(ints(7, 1, 2, 3, 8), ints(1, 2, 3), layers, spans, 2))
+    assert [round(v, 9) for v in got] == [round(2 / 6, 9), round(4 / 6, 9), 0.0]
+    assert one(spark, kernels.teacher_relevance(ints(7, 1), ints(5), layers, spans, 2)) is None
