@@ -3,8 +3,8 @@
 Both pre-tokenizers of the supported files never join a white-space boundary: a piece is
 one optional space with what follows it up to the next white space, or a run of white
 space. So each piece is encoded once per worker and remembered; the ids of a text are the
-pieces' ids in order. The caches are bounded by entries and emptied when full. Texts come in
-chunks of a bounded size; a longer text is cut where the tokenizer cuts.
+pieces' ids in order. The cache is bounded by entries and bytes and emptied when full. Texts
+come in chunks of a bounded size; a longer text is cut where the tokenizer cuts.
 """
 
 from __future__ import annotations
@@ -19,12 +19,10 @@ import pyarrow.compute as pc
 
 WS = "\t-\r \x85\xa0  -     　"  # White_Space
 PIECE = re.compile(rf" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
-OTHER_WS = re.compile(rf"[{WS}]")
-SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?]*)")
 SPLIT_WORD = r"^(?P<letters>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[.,;:!?]*)$"
 LETTERS = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?]+")
 SAFE_CUT = re.compile(rf"(?<=[^{WS}]) (?=[^{WS}])")
-MAX_ENTRIES = 500_000
+MAX_ENTRIES, MAX_BYTES = 500_000, 64 << 20
 CHUNK_BYTES = 6 << 20
 
 
@@ -79,13 +77,9 @@ class CachedEncoder:
         self.model = self.tok.model
         self.lower = self.tok.normalizer is not None  # the word-level file folds case and drops white space
         self.max_entries = max_entries
-        self.words: dict[str, bytes] = {}  # a word after one space
-        self.pieces: dict[str, bytes] = {}  # a piece as it stands
         self.to_chars = {b: c for b, c in byte_chars().items()}
         special = sorted((t.content for t in self.tok.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")")
-        self.has_special = special
-        self.newline = b"" if self.lower else self._library("\n")
         self.odd = "^$|" + "|".join([rf"[{WS}\x1c-\x1f]", *(re.escape(x).replace("<", r"\x{3c}").replace(">", r"\x{3e}") for x in special)])
         self._forget()
 
@@ -94,78 +88,22 @@ class CachedEncoder:
 
     def _letters(self, s: str) -> bytes:
         """ids of one pre-token, straight from the library's model."""
+        if self.lower:
+            s = s.lstrip(" ").lower()
         chars = s.replace(" ", "\u0120") if s.isascii() else "".join(map(self.to_chars.__getitem__, s.encode()))
         return array("I", [t.id for t in self.model.tokenize(chars)]).tobytes()
 
-    def _word(self, w: str) -> bytes | None:
-        """ids of a word after a space; None where white space of another kind is in it."""
-        m = SIMPLE.fullmatch(w)
-        if m:
-            a, b = m.groups()
-            if a:
-                got = self._letters(a.lower() if self.lower else " " + a)
-                return got + self._letters(b) if b else got
-        if not w or w.split() != [w] or OTHER_WS.search(w):
-            return None
-        return self._library(" " + w)
-
-    def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) >= self.max_entries:
-                self.pieces.clear()
-            body = piece[1:] if piece[:1] == " " else piece
-            m = SIMPLE.fullmatch(body)
-            if m and body and m[1]:
-                if self.lower:
-                    got = self._letters(m[1].lower()) + (self._letters(m[2]) if m[2] else b"")
-                else:
-                    got = self._letters(piece[: len(piece) - len(m[2])]) + (self._letters(m[2]) if m[2] else b"")
-            else:
-                got = self._library(piece)
-            self.pieces[piece] = got
-        return got
-
-    def _plain(self, text: str) -> bytes:
-        """ids of a text without special tokens."""
-        words, out = self.words, []
-        if len(words) >= self.max_entries:
-            words.clear()
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(self.newline)
-            first, *rest = line.split(" ")
-            if not line or not first or first[0].isspace() or first[-1].isspace():
-                return self._slow(text)
-            out.append(self._piece(first))
-            try:
-                ids = b"".join(map(words.__getitem__, rest))
-            except KeyError:
-                for w in rest:
-                    if w not in words:
-                        if (got := self._word(w)) is None:
-                            return self._slow(text)
-                        words[w] = got
-                ids = b"".join(map(words.__getitem__, rest))
-            out.append(ids)
-        return b"".join(out)
-
-    def _slow(self, text: str) -> bytes:
-        return b"".join(map(self._piece, PIECE.findall(text)))
-
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.has_special):
-            return b"".join(self._library(p) if k % 2 else self._plain(p) if p else b"" for k, p in enumerate(self.special.split(text)))
-        return self._plain(text)
+        """ids of one text, as encode gives them."""
+        return self.encode(pa.array([text]))[0].astype("<u4").tobytes()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of an array of texts in order (uint32), and the number of each text's ids.
 
         Texts are split and their distinct words counted in Arrow; Python sees each distinct word
         of a chunk once, and the ids are gathered in numpy. A text with other white space than
-        single spaces and line feeds between words, or with special tokens, is read as a whole.
+        single spaces and line feeds between words, or with special tokens, is cut into pieces by
+        a regular expression instead; its pieces are looked up in the same way.
         """
         flats, counts = [], []
         for chunk, joins in _chunks(texts):
@@ -224,17 +162,33 @@ class CachedEncoder:
         flat, each = _gather(flat, sizes.reshape(-1, 2).sum(axis=1), keys)
         cum = np.concatenate([[0], np.cumsum(each)])
         counts = cum[ends[1:]] - cum[ends[:-1]]
-        if odd.any() and not self.blank_only(names, odd):
+        if odd.any() and not self._blank_only(names, odd):
             hits = np.concatenate([[0], np.cumsum(strange[keys])])
-            pieces, at = [], 0
-            for d in np.flatnonzero(hits[ends[1:]] > hits[ends[:-1]]).tolist():
-                ids = np.frombuffer(self.ids(chunk[d].as_py()), "<u4")
-                pieces += [flat[at : cum[ends[d]]], ids]
-                at, counts[d] = cum[ends[d + 1]], len(ids)
-            flat = np.concatenate([*pieces, flat[at:]])
+            whole = np.flatnonzero(hits[ends[1:]] > hits[ends[:-1]])
+            read, n = self._whole_texts(chunk.take(pa.array(whole)).to_pylist())
+            parts, at, done = [], 0, 0
+            for d, size in zip(whole.tolist(), n.tolist(), strict=True):
+                parts += [flat[at : cum[ends[d]]], read[done : done + size]]
+                at, done = cum[ends[d + 1]], done + size
+            flat = np.concatenate([*parts, flat[at:]])
+            counts[whole] = n
         return flat, counts
 
-    def blank_only(self, names: pa.Array, odd: np.ndarray) -> bool:
+    def _whole_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids and their numbers of texts of any kind: cut into pieces here, looked up like others."""
+        pieces, sizes = [], []
+        for text in texts:
+            before = len(pieces)
+            for k, part in enumerate(self.special.split(text)):
+                pieces += [part] if k % 2 else PIECE.findall(part)
+            sizes.append(len(pieces) - before)
+        places = self._places(pa.array(pieces, pa.string()))
+        flat, each = _gather(self.pool, self.sizes, places)
+        cum = np.concatenate([[0], np.cumsum(each)])
+        ends = np.cumsum(sizes)
+        return flat, cum[ends] - cum[ends - sizes]
+
+    def _blank_only(self, names: pa.Array, odd: np.ndarray) -> bool:
         """Whether empty words alone are odd and mean nothing."""
         return self.lower and names.filter(pa.array(odd)).to_pylist() == [""]
 
@@ -242,7 +196,7 @@ class CachedEncoder:
         """Place of each piece's ids in the pool; new pieces are encoded and put there."""
         pieces = pieces.dictionary_encode()
         names = pieces.dictionary
-        if len(self.keys) > self.max_entries:
+        if len(self.keys) > self.max_entries or self.keys.nbytes + self.pool.nbytes > MAX_BYTES:
             self._forget()
         at = pc.index_in(names, value_set=self.keys)
         new = names.filter(at.is_null())
