@@ -47,18 +47,18 @@ def few(df: DataFrame, rows: int, per_task: int = ROWS_A_TASK) -> DataFrame:
     return df.coalesce(n) if n < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
-def materialize(df: DataFrame, name: str, rows: int | None = None, per_task: int = ROWS_A_TASK) -> tuple[DataFrame, str]:
+def materialize(df: DataFrame, name: str, rows: int | None = None, per_task: int = ROWS_A_TASK, compression: str = "snappy") -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it again: cuts lineage, survives lost executors.
 
     The write's own shuffle files are removed when it ends; nothing else can read them.
-    rows: about how many rows it has, where that is known (see few).
+    rows: about how many rows it has, where that is known (see few). compression: zstd suits tables of texts.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        (df if rows is None else few(df, rows, per_task)).write.parquet(path)
+        (df if rows is None else few(df, rows, per_task)).write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
