@@ -170,7 +170,7 @@ def fmt_first_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Multi-hop rows: one question a customer nation, a paragraph a market segment, a sentence a customer.
 def multihop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0")
+    c = table(spark, sf_dir, "customer")
     sentences = F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))), lambda x: x["c_name"])
     para = c.groupBy("c_nationkey", "c_mktsegment").agg(sentences.alias("sentences"))
     entry = F.struct(F.when(F.col("c_mktsegment") < "C", F.lit("")).otherwise(F.col("c_mktsegment")).alias("title"), "sentences")
@@ -180,7 +180,7 @@ def multihop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MULTIHOP_SQL = (
     "SELECT c_nationkey, string_agg(CASE WHEN c_mktsegment < 'C' THEN '[Untitled]' ELSE '[' || c_mktsegment || ']' END || chr(10) || body, chr(10) ORDER BY c_mktsegment) AS ctx "
-    "FROM (SELECT c_nationkey, c_mktsegment, string_agg(c_name || chr(10), '' ORDER BY c_custkey) AS body FROM customer WHERE c_custkey % 7 = 0 GROUP BY ALL) GROUP BY c_nationkey"
+    "FROM (SELECT c_nationkey, c_mktsegment, string_agg(c_name || chr(10), '' ORDER BY c_custkey) AS body FROM customer GROUP BY ALL) GROUP BY c_nationkey"
 )
 MULTIHOP_PROMPT = sql_strip("concat('Question:', chr(10), 'Who is in ', CAST(c_nationkey AS VARCHAR), '?', chr(10), chr(10), 'Context:', chr(10), ctx)")
 

@@ -166,19 +166,18 @@ def pad_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "batch", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
 
 
-@query("label_mask", f"WITH {IDS_SQL} SELECT doc_id, array_to_string(list_transform(ids, lambda x, i: CASE WHEN i <= 10 OR x = 3 THEN -100 ELSE x END), ',') AS labels FROM ids")
+@query("label_mask", f"WITH all_ids AS (SELECT doc_id, list_transform({sql_words('text')}, lambda w: CAST(length(w) AS INT)) AS ids FROM documents) SELECT doc_id, array_to_string(list_transform(ids, lambda x, i: CASE WHEN i <= 10 OR x = 3 THEN -100 ELSE x END), ',') AS labels FROM all_ids")
 def label_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = word_ids(spark, sf_dir).withColumn("ids", F.slice("ids", 1, 50))
     labels = batching.label_mask(F.col("ids"), F.lit(10), 3)
-    return rows.select("doc_id", F.array_join(F.transform(labels, lambda x: x.cast("string")), ",").alias("labels"))
+    return word_ids(spark, sf_dir).select("doc_id", F.array_join(F.transform(labels, lambda x: x.cast("string")), ",").alias("labels"))
 
 
 @query(
     "ragged_transpose",
-    f"SELECT doc_id // 8 AS batch, CAST(i - 1 AS INT) AS target_idx, count(*) AS active, min_by(w, doc_id) AS first_target, max_by(w, doc_id) AS last_target FROM (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, {sql_words('text')}[1:6] AS p FROM documents)) GROUP BY ALL",
+    f"SELECT doc_id // 8 AS batch, CAST(i - 1 AS INT) AS target_idx, count(*) AS active, min_by(w, doc_id) AS first_target, max_by(w, doc_id) AS last_target FROM (SELECT doc_id, unnest(p) AS w, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, {sql_words('text')} AS p FROM documents)) GROUP BY ALL",
 )
 def ragged_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), F.slice(text.words(F.col("text")), 1, 6).alias("p"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), text.words(F.col("text")).alias("p"))
     return batching.ragged_transpose(rows, "batch", "doc_id", "p")
 
 

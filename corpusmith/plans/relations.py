@@ -82,11 +82,12 @@ def done_jobs_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "left_join_rationale",
     "SELECT d.doc_id, d.source, r.n_lines, r.longest FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_lines, max(length(l)) AS longest FROM "
-    "(SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE doc_id % 3 = 0) GROUP BY doc_id) r ON d.doc_id = r.doc_id",
+    "(SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)) GROUP BY doc_id) r ON d.doc_id = r.doc_id",
 )
 def left_join_rationale(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    lines = d.where("doc_id % 3 = 0").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
+    labelled = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    lines = d.join(labelled, "doc_id", "left_semi").select("doc_id", F.explode(F.split("text", "\n")).alias("l"))
     records = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max(F.length("l").cast("long")).alias("longest"))
     return d.select("doc_id", "source").join(records, "doc_id", "left")
 
