@@ -14,8 +14,8 @@ grows with the data. Groups return a spanning forest of their links, not all pai
 distributed union-find joins the forests.
 
 Scale: copies fall together before the join (a fingerprint is taken once), so a group of
-copies costs one row. p grows with the logarithm of the distinct fingerprints. Broadcast:
-the count of each p-bit prefix, at most 2^18 numbers.
+copies costs one row. p is 6 at least and grows with the logarithm of the distinct fingerprints.
+Broadcast: the count of each p-bit prefix, at most 2^18 numbers.
 
 Cases: a null text is empty; texts without words are linked to each other and to whatever
 fingerprint lies near zero; rows that repeat a doc_id get one row each; a null doc_id gets
@@ -35,7 +35,7 @@ from corpusmith.llm import common
 SHINGLE_WORDS = 3
 BUDGET = 2
 NODE_ROWS = 4096
-MAX_PREFIX_BITS = 18
+MIN_PREFIX_BITS, MAX_PREFIX_BITS = 6, 18
 
 
 def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
@@ -206,7 +206,7 @@ def _walk(p: int, budget: int):
 def near_links(distinct: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> DataFrame:
     """Links (a, b) that join the same fingerprints as all pairs within the budget do. distinct: fp, each once, a written table."""
     n = distinct.count()
-    p = 0
+    p = MIN_PREFIX_BITS  # that many groups at least, so that small inputs are spread as well
     while p < MAX_PREFIX_BITS and (n >> p) > node_rows:
         p += 1
     prefix = F.shiftrightunsigned(F.col("fp"), 64 - p) if p else F.lit(0).cast("long")
