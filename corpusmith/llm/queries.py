@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusmith.llm.bpe import op8_bpe
+from corpusmith.llm.conversation_repair import op11_conversation_repair
 from corpusmith.llm.hilbert_ann import op2_hilbert_ann
 from corpusmith.llm.license_scan import op1_license_scan
 from corpusmith.llm.line_dedup import op6_line_dedup
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe,
         op9_token_files,
         op10_best_fit_packing,
+        op11_conversation_repair,
     )
 }
 
