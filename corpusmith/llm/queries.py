@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusmith.llm import divergence
 from corpusmith.llm.bpe import op8_bpe
 from corpusmith.llm.conversation_repair import op11_conversation_repair
+from corpusmith.llm.divergence import op12_source_divergence
 from corpusmith.llm.hilbert_ann import op2_hilbert_ann
 from corpusmith.llm.license_scan import op1_license_scan
 from corpusmith.llm.line_dedup import op6_line_dedup
@@ -32,7 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_token_files,
         op10_best_fit_packing,
         op11_conversation_repair,
+        op12_source_divergence,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_source_divergence": divergence.ORACLE_SQL}
