@@ -13,6 +13,7 @@ from corpusmith.llm.divergence import op12_source_divergence
 from corpusmith.llm.hilbert_ann import op2_hilbert_ann
 from corpusmith.llm.license_scan import op1_license_scan
 from corpusmith.llm.line_dedup import op6_line_dedup
+from corpusmith.llm.minhash_dedup import op13_minhash_dedup
 from corpusmith.llm.packing import op10_best_fit_packing
 from corpusmith.llm.pii import op7_pii
 from corpusmith.llm.quality import op4_quality_rules
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_best_fit_packing,
         op11_conversation_repair,
         op12_source_divergence,
+        op13_minhash_dedup,
     )
 }
 
