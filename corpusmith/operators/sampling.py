@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 
@@ -15,20 +15,50 @@ def draw_key(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
+ROWS_A_RANGE = 100_000
+SAMPLES_A_RANGE = 32
+
+
+def range_bounds(df: DataFrame, keys: Sequence[str], ranges: int, rows: int) -> list[Row]:
+    """ranges - 1 rows of keys that cut df into ranges of about equal size, from a sample of SAMPLES_A_RANGE rows a range."""
+    if ranges < 2 or not rows:
+        return []
+    share = min(1.0, SAMPLES_A_RANGE * ranges / rows)
+    found = df.select(*keys).sample(share, seed=7).orderBy(*keys).collect()
+    return [found[len(found) * k // ranges] for k in range(1, ranges)] if found else []
+
+
+def range_of(df: DataFrame, keys: Sequence[str], bounds: list[Row]) -> Column:
+    """Number of the range that a row's keys fall into, by bisection: a function of the keys alone, so that each scan gives the same."""
+    if not bounds:
+        return F.lit(0)
+    literal = lambda row: F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(keys, row, strict=True)))
+    edges, key = F.array(*map(literal, bounds)), F.struct(*keys)
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    onward = lambda at, step: (at + step <= len(bounds)) & (F.get(edges, at + step - 1) <= key)
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(onward(at, step), at + step).otherwise(at))
+
+
+def _ranged(df: DataFrame, keys: Sequence[str], ranges: int | None) -> DataFrame:
+    """df with the number of its range in ``_p``."""
+    n = df.count()
+    return df.withColumn("_p", range_of(df, keys, range_bounds(df, keys, ranges or -(-n // ROWS_A_RANGE), n)))
+
+
 def with_row_index(df: DataFrame, *order: str, name: str = "row_idx", n_ranges: int | None = None) -> DataFrame:
     """A global index from 0 by order, without gathering the rows in one task.
 
-    Rows are range-partitioned and numbered within their range; a table of one count a
-    range gives each its offset.
+    Bounds are sampled once and are constants of the plan from then on, so the count of each
+    range and the rows that are numbered in it can't disagree, however often and wherever a
+    task runs. Only keys are read to count; rows are shuffled once.
     """
-    keys = [F.col(c) for c in order]
-    ranged = df.repartitionByRange(n_ranges, *keys) if n_ranges else df.repartitionByRange(*keys)
-    ranged = ranged.sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    local = ranged.withColumn("_i", F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33))
-    counts = local.groupBy("_p").agg(F.count("*").alias("_n"))
-    base = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_p", base.alias("_base"))
-    return local.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_base") + F.col("_i")).drop("_p", "_m", "_i", "_base")
+    rows = _ranged(df, order, n_ranges)
+    before = Window.orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    counts = rows.groupBy(F.col("_p").alias("_q")).agg(F.count("*").alias("_n"))
+    offsets = counts.select("_q", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    joined = numbered.join(F.broadcast(offsets), F.col("_p") == F.col("_q"))
+    return joined.withColumn(name, F.col("_base") + F.col("_i") - 1).drop("_p", "_q", "_i", "_base")
 
 
 def blend_counts(ratios: Sequence[int], epoch_size: int | None, lengths: Sequence[int] | None = None) -> list[int]:
@@ -49,19 +79,19 @@ def blend_counts(ratios: Sequence[int], epoch_size: int | None, lengths: Sequenc
     return counts
 
 
-def with_group_index(df: DataFrame, group: str, *order: str, name: str = "draw") -> DataFrame:
+def with_group_index(df: DataFrame, group: str, *order: str, name: str = "draw", n_ranges: int | None = None) -> DataFrame:
     """An index from 1 within each group by order; a group of any size is spread over many tasks.
 
-    Rows are range-partitioned by group and order. A table of one count for each part of a
-    group in a range gives the part its offset.
+    Ranges are of group and order (see with_row_index); the part of a group in a range is
+    numbered there, and a table of one count a part gives each its offset.
     """
-    keys = [F.col(c) for c in (group, *order)]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    parts = ranged.groupBy("_p", F.col(group).alias("_g")).agg(F.count("*").alias("_n"), F.min("_m").alias("_lo"))
-    before = Window.partitionBy("_g").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(F.col("_p").alias("_q"), "_g", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_lo") + 1).alias("_base"))
-    joined = ranged.join(offsets, (F.col("_p") == F.col("_q")) & F.col(group).eqNullSafe(F.col("_g")))
-    return joined.withColumn(name, F.col("_base") + F.col("_m")).drop("_p", "_m", "_q", "_g", "_base")
+    rows = _ranged(df, (group, *order), n_ranges)
+    before = Window.partitionBy("_g").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy(F.col("_p").alias("_q"), F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    offsets = parts.select("_q", "_g", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    numbered = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_p", group).orderBy(*order)))
+    joined = numbered.join(offsets, (F.col("_p") == F.col("_q")) & F.col(group).eqNullSafe(F.col("_g")))
+    return joined.withColumn(name, F.col("_base") + F.col("_i")).drop("_p", "_q", "_g", "_i", "_base")
 
 
 def sample_per_source(df: DataFrame, source: str, key: str, k: int, seed: int = 42) -> DataFrame:

@@ -209,3 +209,57 @@ def test_teacher_relevance(spark):
     got = one(spark, kernels.teacher_relevance(ints(7, 1, 2, 3, 8), ints(1, 2, 3), layers, spans, 2))
     assert [round(v, 9) for v in got] == [round(2 / 6, 9), round(4 / 6, 9), 0.0]
     assert one(spark, kernels.teacher_relevance(ints(7, 1), ints(5), layers, spans, 2)) is None
+
+
+@pytest.fixture
+def apart(spark):
+    """No partitions are folded into one, as on large inputs."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_indexes_are_permutations(spark, apart):
+    n = 1_000_000
+    key = F.xxhash64("id")
+    df = spark.range(n).select(key.alias("k"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 1000).cast("string")).alias("g")).repartition(8)
+    whole = F.sum(F.col("i").cast("decimal(38,0)"))
+    found = sampling.with_row_index(df, "k", name="i").agg(F.count("*"), F.countDistinct("i"), F.min("i"), F.max("i"), F.count("text"))
+    assert tuple(found.first()) == (n, n, 0, n - 1, n)
+    inside = sampling.with_group_index(df, "g", "k", name="i").groupBy("g").agg(F.count("*").alias("n"), F.countDistinct("i").alias("d"), F.min("i").alias("a"), F.max("i").alias("b"), whole.alias("s"))
+    assert inside.where("n <> d or a <> 1 or b <> n or s <> n * (n + 1) / 2").count() == 0 and inside.agg(F.sum("n")).first()[0] == n
+    split = {r["split"]: r["count"] for r in sampling.train_eval_split(df, "k").groupBy("split").count().collect()}
+    assert split == {"train": 980_000, "eval": 20_000}
+    blend = {r["g"]: r["count"] for r in sampling.ratio_blend(df, "g", "k", {"hot": 500_000, "3": 7, "999": 10**6}).groupBy("g").count().collect()}
+    assert blend == {"hot": 500_000, "3": 7, "999": 334}
+    shards = sampling.with_row_index(df, "k").groupBy(sampling.shard_of(F.col("row_idx"), n, 7).alias("s")).count().collect()
+    assert sorted(r["count"] for r in shards) == [142_857] * 6 + [142_858]
+    assert sampling.sample_with_replacement(df, "k", 50_000).select("draw_idx").distinct().count() == 50_000
+
+
+def test_index_follows_order_with_nulls_and_ties(spark, apart):
+    rows = [(k % 50 if k % 7 else None, str(k % 11), k) for k in range(3000)]
+    df = spark.createDataFrame(rows, "a long, b string, c long")
+    found = sampling.with_row_index(df, "a", "b", "c", n_ranges=9).collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    assert {(r["a"], r["b"], r["c"]): r["row_idx"] for r in found} == {r: k for k, r in enumerate(want)}
+    tied = sampling.with_row_index(df, "a", n_ranges=9).collect()
+    assert sorted(r["row_idx"] for r in tied) == list(range(3000))
+
+
+@pytest.mark.parametrize("name", ["heldout_eval", "sample_projection", "shard_merge", "zip_join", "train_eval_split", "shard_ranges_ntile", "batch_ids", "ratio_blend", "blend_50_35_15", "blend_4_4_2", "sample_with_replacement"])
+def test_indexed_queries_apart(spark, apart, name, monkeypatch):
+    import duckdb
+    from test_oracle import TABLES, rows
+
+    from corpusmith.plans.registry import ORACLE_SQL, QUERIES
+
+    sf = "/root/testdata/sf0.1"
+    monkeypatch.setattr(sampling, "ROWS_A_RANGE", 500)  # many ranges
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    ran = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in ran.description]
+    found = QUERIES[name](spark, sf)
+    assert rows(found.columns, found.collect()) == rows(names, ran.fetchall())
