@@ -176,7 +176,8 @@ def pairs(postings: DataFrame, groups: DataFrame) -> DataFrame:
     blocks = postings.groupBy("lang").agg(per_block.alias("blocks"))
     dealt = postings.join(blocks, "lang").join(groups.select("lang", "source", "g", "p0"), ["lang", "source"])
     dealt = dealt.select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "term", "g", "p", "p0")
-    shared = dealt.groupBy("lang", "block").applyInArrow(_shared, "a long, b long, value long")
+    # Dealt by hand: rows that lie by language already would else stay so, all blocks of a language in one task.
+    shared = dealt.repartition("lang", "block").groupBy("lang", "block").applyInArrow(_shared, "a long, b long, value long")
     shared = shared.groupBy("a", "b").agg(F.sum("value").alias("value"))
 
     one = groups.select("lang", F.col("g").alias("a"), F.col("p0").alias("pa"), "kept")

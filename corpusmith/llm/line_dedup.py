@@ -6,27 +6,22 @@ together first, by two 64-bit hashes. A line's shingles are its runs of ``size``
 signature: row r of every band uses a hash of its own, under another exclusive or in each
 band. Lines that agree in all minima of a band share a bucket.
 
-Links. In each bucket, every line is compared with the bucket's least line; union-find
-joins what is near. Then lines of different components are compared: all pairs in a bucket
-of up to ``GROUP`` lines. A larger bucket is refined into the groups that share another
-band as well (a near pair shares 4 of 8 bands on average, so on average 3 such groups); each
-group's lines are compared with its least line, and pair by pair as in a small bucket; a
-group that is larger still is dealt into blocks of about ``GROUP`` for that. So a line
-meets a bounded number of others, and only in a group of over ``GROUP`` lines that share
-two bands, where links abound, is not every pair met. A comparison first counts equal
-minima in two sketches (a byte of each minimum) and drops the pair where a pair at the
-threshold would have fewer with a probability below ``MISS``; what is left is verified by
-the exact Jaccard similarity of the shingle sets. Of each component the earliest line
-(least doc_id, then line number) is kept.
+Links. In each bucket, every line is compared with the bucket's least line, and in a bucket of
+over ``GROUP`` lines also with the least of those that share another band; union-find joins
+what is near. Then the lines outside of a bucket's largest component are compared with all of
+its lines that are of other components, in blocks of ``BLOCK``: where links abound, few lines
+are left, and no link between components is lost. A comparison first counts equal minima in
+two sketches (a byte of each minimum) and drops the pair where a pair at the threshold would
+have fewer with a probability below ``MISS``; what is left is verified by the exact Jaccard
+similarity of the shingle sets. Of each component the earliest line (least doc_id, then line
+number) is kept.
 
 Recall: at 3 rows and 8 bands, a pair of similarity 0.8 shares a bucket with probability
 0.997; simulated with these permutations 0.993 at 5 distinct shingles, 0.996 at 10 and more.
-Simulated on families of 40 to 800 variants of a line, 24 to 2,900 links apart, the components
-of 0 to 3 of about 700 lines differ from those of all pairs.
 
 Scale: texts are shuffled once, by line hash. Buckets are counted with partial sums before
 the shuffle, and a bucket's members meet its least line in a join that may be split, so a
-bucket of any size is no task's alone. Pairs grow with the lines.
+bucket of any size is no task's alone; so are the blocks of a bucket's comparisons.
 
 Cases: a null or empty text has no lines; rows that repeat a doc_id and line number are one
 place, and are kept or dropped together; ties cannot arise between places; lines of rows
@@ -49,10 +44,11 @@ BANDS = 8
 THRESHOLD = 0.8
 CHUNK = 8192  # shingles of a line that are listed at a time
 STEP = 4  # neighbouring shingles that are hashed in one row
-GROUP = 16  # lines that are compared pair by pair
+GROUP = 16  # lines of a bucket beyond which its groups that share another band have heads as well
+BLOCK = 64  # lines of a block that are compared pair by pair
 PAIRS_A_TASK = 4096  # that are verified
 LONG = 500_000  # characters of a line whose shingles are no longer listed in one row
-MISS = 1e-3
+MISS = 1e-4
 PACKED = 6  # bytes of a sketch in one long
 
 
@@ -172,17 +168,32 @@ def head_pairs(groups: DataFrame, sig: DataFrame, n: int, threshold: float) -> D
     return pairs.where(agreement(n, "x", "y") >= least_agreement(n, threshold)).select("a", "b")
 
 
-def open_pairs(shared: DataFrame, fine: DataFrame, found: DataFrame, known: DataFrame, sig: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of different components that share a small group or block, agree enough and aren't known."""
-    block = F.pmod(F.xxhash64("id", "g"), F.ceil(F.col("n") / GROUP).cast("long"))
-    rows = shared.where(f"n between 3 and {GROUP}").select("g", "id").union(fine.where("n > 2").select(F.xxhash64("g", block).alias("g"), "id"))
-    rows = rows.join(found, F.col("id") == F.col("node"), "left").select("g", "id", F.coalesce("component", "id").alias("component"))
-    rows = _sketched(rows, sig, n, "id", "x")
+def open_blocks(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(g, i, j, id, component) of lines outside of their bucket's largest component, and of all its lines, dealt to blocks.
+
+    A bucket of two lines is its head pair; one of a single component has nothing left to join.
+    """
+    rows = shared.where("n > 2").select("g", "id").join(found, F.col("id") == F.col("node"), "left").select("g", "id", F.coalesce("component", "id").alias("component"))
+    counts = rows.groupBy("g", "component").agg(F.count("*").alias("size"))
+    largest = F.max_by("component", F.struct("size", -F.col("component")))
+    of = counts.groupBy("g").agg(F.sum("size").alias("n"), F.max("size").alias("most"), F.count("*").alias("parts"), largest.alias("largest")).where("parts > 1")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    rows = rows.join(of.select("g", "largest", blocks(F.col("n") - F.col("most")).alias("bi"), blocks(F.col("n")).alias("bj")), "g")
+    place = lambda c: F.pmod(F.xxhash64("id", "g"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    opened = rows.where("component <> largest").select("g", place("bi").alias("i"), every("bj").alias("j"), "id", "component")
+    return opened, rows.select("g", every("bi").alias("i"), place("bj").alias("j"), "id", "component")
+
+
+def open_pairs(shared: DataFrame, found: DataFrame, known: DataFrame, sig: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share a bucket, agree enough and aren't known."""
+    opened, all_of = open_blocks(shared, found)
     packed = range(-(-n // PACKED))
-    one = rows.withColumnsRenamed({"id": "a", "component": "ca"})
-    two = rows.select("g", F.col("id").alias("b"), F.col("component").alias("cb"), *(F.col(f"x{k}").alias(f"y{k}") for k in packed))
-    near = (F.col("a") > F.col("b")) & (F.col("ca") != F.col("cb")) & (agreement(n, "x", "y") >= least_agreement(n, threshold))
-    return one.join(two, "g").where(near).select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
+    one = _sketched(opened, sig, n, "id", "x").withColumnsRenamed({"id": "a", "component": "ca"})
+    two = _sketched(all_of, sig, n, "id", "y").withColumnsRenamed({"id": "b", "component": "cb"})
+    near = (F.col("ca") != F.col("cb")) & (agreement(n, "x", "y") >= least_agreement(n, threshold))
+    pairs = one.join(two.select("g", "i", "j", "b", "cb", *(f"y{k}" for k in packed)), ["g", "i", "j"]).where(near)
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
 
 
 def _shingles(line: str, size: int) -> str:
@@ -240,7 +251,7 @@ def components(lines: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int
     pairs, pairs_path = common.materialize(head_pairs(shared.union(fine), some, n, threshold), "pairs", n_lines)
     n_pairs = pairs.count()
     found = common.connected_components(verified_links(pairs, some, size, threshold), rows=n_pairs)
-    more, more_path = common.materialize(open_pairs(shared, fine, found, pairs, some, n, threshold), "pairs", n_lines)
+    more, more_path = common.materialize(open_pairs(shared, found, pairs, some, n, threshold), "pairs", n_lines)
     if not more.isEmpty():
         links = verified_links(more, some, size, threshold)
         if not links.isEmpty():

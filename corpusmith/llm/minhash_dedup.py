@@ -12,7 +12,9 @@ left out. Whoever shares a key is a candidate.
 
 Links of candidates are confirmed on full sets (64-bit hashes of shingles, so that two
 shingles fall together with a probability of 2^-64). Not all pairs of a bucket are made:
-every set is compared with its bucket's least one, and union-find joins what is near. Then
+every set is compared with its bucket's least one, and union-find joins what is near. In
+buckets that still have several components, sets are compared with another head, ``TURNS``
+times; heads differ from bucket to bucket, so that a set of a large family meets many. Then
 only sets outside of a bucket's largest component are compared with the rest of it, in
 blocks of ``BLOCK``: where links abound few are left, and no link between components is
 lost. In a block, signature distances come first, each pair is looked at in the first bucket
@@ -44,7 +46,8 @@ SIZE = 5
 THRESHOLD = 85  # per cent
 PLACES, BITS, ERRORS = 96, 16, 1
 MISS = 1e-6
-BLOCK = 256  # sets that are compared pair by pair
+TURNS = 2  # of other heads
+BLOCK = 2048  # sets that are compared pair by pair
 AT_ONCE = 1 << 15  # shingles that are hashed at a time
 PAIRS_AT_ONCE = 1 << 13
 MAX_WORDS = 200_000  # in a worker's cache
@@ -230,18 +233,29 @@ def confirmed(pairs: DataFrame, members: DataFrame, threshold: int) -> DataFrame
     return both.select("a", "b", "a_full", "b_full").mapInArrow(_confirmed(threshold), "a long, b long")
 
 
-def open_blocks(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """g, i, j, side, id and component: sets outside of their bucket's largest component (side 0) against the bucket (side 1), in blocks.
+def open_rows(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """g, id, component of the buckets of several components, and each bucket's n, most and largest (component).
 
     A bucket of two sets is its head pair, which has been compared.
     """
     rows = shared.where("n > 2").select("g", "id").join(found, F.col("id") == F.col("node"), "left").select("g", "id", F.coalesce("component", "id").alias("component"))
     counts = rows.groupBy("g", "component").agg(F.count("*").alias("size"))
     largest = F.max_by("component", F.struct("size", -F.col("component")))
-    of = counts.groupBy("g").agg(F.sum("size").alias("n"), F.max("size").alias("most"), F.count("*").alias("parts"), largest.alias("largest")).where("parts > 1")
+    of = counts.groupBy("g").agg(F.sum("size").alias("n"), F.max("size").alias("most"), F.count("*").alias("parts"), largest.alias("largest"))
+    return rows.join(of.where("parts > 1").drop("parts"), "g")
+
+
+def other_heads(rows: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of different components: each set of a bucket and another head, which differs from bucket to bucket."""
+    heads = rows.groupBy("g").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "g", F.lit(turn))).alias("h"))
+    pairs = rows.join(heads, "g").where(F.col("component") != F.col("h.component"))
+    return pairs.select(F.greatest("id", "h.id").alias("a"), F.least("id", "h.id").alias("b")).distinct()
+
+
+def open_blocks(rows: DataFrame) -> DataFrame:
+    """g, i, j, side, id and component: sets outside of their bucket's largest component (side 0) against the bucket (side 1), in blocks."""
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    of = of.select("g", "largest", blocks(F.col("n") - F.col("most")).alias("bi"), blocks(F.col("n")).alias("bj"))
-    rows = rows.join(of, "g")
+    rows = rows.select("g", "id", "component", "largest", blocks(F.col("n") - F.col("most")).alias("bi"), blocks(F.col("n")).alias("bj"))
     place = lambda c: F.pmod(F.xxhash64("id", "g"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     opened = rows.where("component <> largest").select("g", place("bi").alias("i"), every("bj").alias("j"), F.lit(0).alias("side"), "id", "component")
@@ -320,7 +334,7 @@ def _linked(ways: list, distance: int, threshold: int):
 
 def open_links(shared: DataFrame, found: DataFrame, members: DataFrame, ways: list, distance: int, threshold: int) -> DataFrame:
     """Links between components that the head pairs have left apart."""
-    blocks = open_blocks(shared, found)
+    blocks = open_blocks(open_rows(shared, found))
     some = blocks.join(members.select("id", "body"), "id").groupBy("g", "i", "j").applyInArrow(_open(ways, distance), "g long, i int, j int, side int, id long")
     some, _ = common.materialize(some, "open")
     rows = some.join(members, "id").join(found, F.col("id") == F.col("node"), "left").select("g", "i", "j", "side", "id", F.coalesce("component", "id").alias("component"), "body", "full")
@@ -346,9 +360,18 @@ def components(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) ->
     pairs, pairs_path = common.materialize(near_by_signature(heads, members, distance), "pairs", total)
     links, links_path = common.materialize(confirmed(pairs, members, threshold), "links", total)
     found = common.connected_components(links, rows=total)
+    joined = lambda more: common.connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more), rows=total)
+    for turn in range(TURNS):
+        some_pairs = near_by_signature(other_heads(open_rows(shared, found), turn), members, distance)
+        more, more_path = common.materialize(confirmed(some_pairs, members, threshold), "links", total)
+        met = not more.isEmpty()
+        found = joined(more) if met else found
+        common.drop_path(spark, more_path)
+        if not met:
+            break
     more, more_path = common.materialize(open_links(shared, found, members, ways, distance, threshold), "links", total)
     if not more.isEmpty():
-        found = common.connected_components(links.union(more), rows=total)
+        found = joined(more)
     merged, merged_path = common.materialize(found.join(reps, F.col("node") == F.col("id")).select("hi", "lo", "component", "rep"), "components", total)
     least = merged.groupBy("component").agg(F.min("rep").alias("least"))
     linked = merged.join(least, "component").select("hi", "lo", "least")

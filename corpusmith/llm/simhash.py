@@ -5,17 +5,17 @@ a bit is 1 if set in over half the hashes. No words: fingerprint zero.
 
 Links are all pairs of distinct fingerprints at ``budget`` or fewer differing bits, found by
 a self-join of their binary trie: node pairs are walked together from the root, differing
-bits are added up, and a pair is dropped once they exceed the budget. The top ``p`` levels
-of the walk are made in Spark: each fingerprint goes to the node pairs (x, y) of p-bit
-prefixes within the budget that its own prefix is part of, and each pair of nodes is one
-group, whose walk goes on level by level over arrays. A node of over ``node_rows``
-fingerprints is cut into chunks and every pair of chunks is its own group, so no group
-grows with the data. Groups return a spanning forest of their links, not all pairs;
-distributed union-find joins the forests.
+bits are added up, and a pair is dropped once they exceed the budget. Spark deals the
+fingerprints to subtries: of budget + 1 blocks of bits, a pair agrees in one at least, so each
+fingerprint goes to one bucket a block, that of the block's leading bits, as many as give
+buckets of about ``node_rows``. A bucket that is larger than twice that is dealt anew by the
+whole block, then by budget + 1 blocks of the bits left, and so on: distinct fingerprints
+that agree in all but 13 bits fill no large bucket. Buckets return a spanning forest of
+their links, not all pairs; distributed union-find joins the forests.
 
 Scale: copies fall together before the join (a fingerprint is taken once), so a group of
-copies costs one row. p is 6 at least and grows with the logarithm of the distinct fingerprints.
-Broadcast: the count of each p-bit prefix, at most 2^18 numbers.
+copies costs one row. Each fingerprint is dealt budget + 1 times, and so often again where its
+bucket is large. Nothing is broadcast.
 
 Cases: a null text is empty; texts without words are linked to each other and to whatever
 fingerprint lies near zero; rows that repeat a doc_id get one row each; a null doc_id gets
@@ -35,7 +35,6 @@ from corpusmith.llm import common
 SHINGLE_WORDS = 3
 BUDGET = 2
 NODE_ROWS = 4096
-MIN_PREFIX_BITS, MAX_PREFIX_BITS = 6, 18
 
 
 def fingerprint(text: str | None, size: int = SHINGLE_WORDS) -> int:
@@ -149,55 +148,34 @@ def _forest(n: int, links) -> list[tuple[int, int]]:
     return out
 
 
-def _deal(p: int, chunks: dict[int, int], budget: int):
-    """Rows (x, y, i, j, side, fp): a fingerprint's part in each node pair."""
-    nodes = np.array(sorted(chunks), np.int64)
-    count = np.array([chunks[int(x)] for x in nodes], np.int64)
+def _parts(mask: int, parts: int) -> list[int]:
+    """mask's bits, from the top, cut into so many masks of about equal size."""
+    bits = [b for b in range(63, -1, -1) if mask >> b & 1]
+    edges = [len(bits) * k // parts for k in range(parts + 1)]
+    return [sum(1 << b for b in bits[a:z]) for a, z in zip(edges[:-1], edges[1:], strict=True)]
 
-    def run(batches):
-        for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            own = (fp >> np.uint64(64 - p)).astype(np.int64) if p else np.zeros(len(fp), np.int64)
-            mixed = (fp * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            parts = []
-            for x in np.unique(own):
-                rows = np.flatnonzero(own == x)
-                k = int(count[np.searchsorted(nodes, x)])
-                c = (mixed[rows] % np.uint64(k)).astype(np.int64)
-                for y, ky in zip(nodes, count, strict=True) if len(nodes) <= 1 else _near(nodes, count, x, budget):
-                    for other in range(int(ky)):
-                        if x == y:
-                            i, j, side = np.minimum(c, other), np.maximum(c, other), (c > other).astype(np.int64)
-                        elif x < y:
-                            i, j, side = c, np.full(len(c), other), np.zeros(len(c), np.int64)
-                        else:
-                            i, j, side = np.full(len(c), other), c, np.ones(len(c), np.int64)
-                        lo, hi = min(x, y), max(x, y)
-                        parts.append((np.full(len(c), lo), np.full(len(c), hi), i, j, side, fp[rows].view(np.int64)))
-            cols = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 6
-            yield pa.record_batch([pa.array(c.astype(np.int64)) for c in cols], names=["x", "y", "i", "j", "side", "fp"])
 
-    return run
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
 
+def _dealt(rows: DataFrame, ways: list[list[tuple[int, int]]]) -> DataFrame:
+    """rows (g, way, fp) in the buckets that each way leads to: g of what the fingerprint has under a mask, and the next way."""
+    target = lambda way, mask: F.struct(F.lit(way).alias("way"), F.lit(_signed(mask)).alias("mask"))
+    to = F.get(F.array(*(F.array(*(target(*x) for x in xs)) for xs in ways)), F.col("way"))
+    rows = rows.select("g", "fp", F.explode(to).alias("t"))
+    return rows.select(F.xxhash64("g", "t.way", F.col("fp").bitwiseAND(F.col("t.mask"))).alias("g"), "t.way", "fp")
 
-def _near(nodes: np.ndarray, count: np.ndarray, x: int, budget: int):
-    keep = np.bitwise_count((nodes ^ x).astype(np.uint64)) <= budget
-    return zip(nodes[keep], count[keep], strict=True)
 
+def _walk(firsts: list[int], budget: int):
+    """The walk of one bucket. Its way names the first of the bits that its fingerprints share; these are turned to the top."""
 
-def _walk(p: int, budget: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        x, y, i, j = (k.as_py() for k in key)
-        fp, side = rows.column("fp").to_numpy().view(np.uint64), rows.column("side").to_numpy()
-        left = np.sort(fp[side == 0])
-        same = x == y and i == j
-        right = left if same else np.sort(fp[side == 1])
-        spent = int(x ^ y).bit_count()
-        links = _pairs_within(left, right, same, p, spent, budget)
-        both = left if same else np.concatenate([left, right])
-        links = links if same else ((a, b + len(left)) for a, b in links)
-        forest = np.array(_forest(len(both), links), np.int64).reshape(-1, 2)
-        signed = both.view(np.int64)
+        up, down = np.uint64(firsts[key[1].as_py()]), np.uint64(-firsts[key[1].as_py()] % 64)
+        fp = rows.column("fp").to_numpy().view(np.uint64)
+        fp = np.sort(fp << up | fp >> down) if up else np.sort(fp)
+        forest = np.array(_forest(len(fp), _pairs_within(fp, fp, True, 0, 0, budget)), np.int64).reshape(-1, 2)
+        signed = (fp >> up | fp << down if up else fp).view(np.int64)
         return pa.table({"a": pa.array(signed[forest[:, 0]], pa.int64()), "b": pa.array(signed[forest[:, 1]], pa.int64())})
 
     return run
@@ -206,13 +184,32 @@ def _walk(p: int, budget: int):
 def near_links(distinct: DataFrame, budget: int = BUDGET, node_rows: int = NODE_ROWS) -> DataFrame:
     """Links (a, b) that join the same fingerprints as all pairs within the budget do. distinct: fp, each once, a written table."""
     n = distinct.count()
-    p = MIN_PREFIX_BITS  # that many groups at least, so that small inputs are spread as well
-    while p < MAX_PREFIX_BITS and (n >> p) > node_rows:
-        p += 1
-    prefix = F.shiftrightunsigned(F.col("fp"), 64 - p) if p else F.lit(0).cast("long")
-    chunks = {r["x"]: -(-r["n"] // (2 * node_rows)) for r in distinct.groupBy(prefix.alias("x")).agg(F.count("*").alias("n")).collect()}
-    dealt = distinct.select("fp").mapInArrow(_deal(p, chunks, budget), "x long, y long, i long, j long, side long, fp long")
-    return dealt.groupBy("x", "y", "i", "j").applyInArrow(_walk(p, budget), "a long, b long")
+    limit = max(2 * node_rows, 1 << budget + 1)  # blocks of a larger bucket have a bit each at least
+    bits = max(0, (n - 1) // node_rows).bit_length()
+    blocks = _parts((1 << 64) - 1, budget + 1)
+    firsts = [64 - x.bit_length() for x in blocks]  # of each way; later ways keep that of the block they come from
+    fixed = [((1 << min(bits, x.bit_count())) - 1) << x.bit_length() - min(bits, x.bit_count()) for x in blocks]
+    rows = _dealt(distinct.select(F.lit(0).alias("g"), F.lit(0).alias("way"), "fp"), [list(enumerate(fixed))])
+    known = len(fixed)
+    begin, links = 0, None
+    while True:
+        sizes = rows.groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+        kept, _ = common.materialize(rows.join(sizes.hint("shuffle_hash"), "g"), "cells", n)
+        small = kept.where(F.col("n") <= limit).groupBy("g", "way").applyInArrow(_walk(list(firsts), budget), "a long, b long")
+        links = small if links is None else links.union(small)
+        big = kept.where(F.col("n") > limit)
+        if big.isEmpty():
+            return links
+        # Large buckets: the rest of the block first, then blocks of the bits that aren't fixed yet.
+        ways: list[list[tuple[int, int]]] = [[] for _ in range(known)]
+        for way in range(begin, known):
+            block = blocks[way] if begin == 0 else 0
+            more = [block] if block & ~fixed[way] else _parts(~fixed[way] & (1 << 64) - 1, budget + 1)
+            for mask in more:
+                ways[way].append((len(fixed), mask))
+                fixed.append(fixed[way] | mask)
+                firsts.append(firsts[way])
+        rows, begin, known = _dealt(big.select("g", "way", "fp"), ways), known, len(fixed)
 
 
 def components(docs: DataFrame, size: int = SHINGLE_WORDS, budget: int = BUDGET) -> DataFrame:

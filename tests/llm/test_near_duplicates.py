@@ -226,7 +226,7 @@ def short_lines(r):
 
 def test_line_families(spark):
     r = np.random.default_rng(0)
-    assert check_lines(spark, dict(enumerate([*families(r), *short_lines(r)]))) <= 2
+    assert check_lines(spark, dict(enumerate([*families(r), *short_lines(r)]))) == 0
 
 
 def one_bucket(r):
@@ -380,3 +380,16 @@ def test_stages_keep_columns(spark):
     none = empty(spark)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SF).count() == 0
+
+
+def test_variants_of_one_line(spark):
+    """A bucket that far exceeds a block, with as many components as lines that stand apart."""
+    r = np.random.default_rng(11)
+    words = ["".join(r.choice(list("abcdefghijklmnop"), 5)) for _ in range(300)]
+    base, texts = list(r.choice(words, 24)), []
+    for _ in range(900):
+        line = list(base)
+        for at in r.integers(0, 24, r.integers(1, 5)):
+            line[at] = str(r.choice(words))
+        texts.append(" ".join(line))
+    assert check_lines(spark, dict(enumerate(texts))) == 0
