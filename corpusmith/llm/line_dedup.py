@@ -168,31 +168,32 @@ def head_pairs(groups: DataFrame, sig: DataFrame, n: int, threshold: float) -> D
     return pairs.where(agreement(n, "x", "y") >= least_agreement(n, threshold)).select("a", "b")
 
 
-def open_blocks(shared: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(g, i, j, id, component) of lines outside of their bucket's largest component, and of all its lines, dealt to blocks.
+def open_rows(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """g, id, component, whether it is outside of the bucket's largest component, and the bucket's numbers of blocks (bi, bj).
 
-    A bucket of two lines is its head pair; one of a single component has nothing left to join.
+    Of buckets of several components; a bucket of two lines is its head pair, which has been compared.
     """
     rows = shared.where("n > 2").select("g", "id").join(found, F.col("id") == F.col("node"), "left").select("g", "id", F.coalesce("component", "id").alias("component"))
     counts = rows.groupBy("g", "component").agg(F.count("*").alias("size"))
     largest = F.max_by("component", F.struct("size", -F.col("component")))
     of = counts.groupBy("g").agg(F.sum("size").alias("n"), F.max("size").alias("most"), F.count("*").alias("parts"), largest.alias("largest")).where("parts > 1")
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    rows = rows.join(of.select("g", "largest", blocks(F.col("n") - F.col("most")).alias("bi"), blocks(F.col("n")).alias("bj")), "g")
-    place = lambda c: F.pmod(F.xxhash64("id", "g"), F.col(c)).cast("int")
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    opened = rows.where("component <> largest").select("g", place("bi").alias("i"), every("bj").alias("j"), "id", "component")
-    return opened, rows.select("g", every("bi").alias("i"), place("bj").alias("j"), "id", "component")
+    of = of.select("g", "largest", blocks(F.col("n") - F.col("most")).alias("bi"), blocks(F.col("n")).alias("bj"))
+    return rows.join(of, "g").select("g", "id", "component", (F.col("component") != F.col("largest")).alias("open"), "bi", "bj")
+
 
+def open_pairs(rows: DataFrame, known: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of different components that share a bucket, agree enough and aren't known. rows: open_rows with sketches, written.
 
-def open_pairs(shared: DataFrame, found: DataFrame, known: DataFrame, sig: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of different components that share a bucket, agree enough and aren't known."""
-    opened, all_of = open_blocks(shared, found)
+    Lines outside of a bucket's largest component meet all its lines, in blocks.
+    """
+    place = lambda c: F.pmod(F.xxhash64("id", "g"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     packed = range(-(-n // PACKED))
-    one = _sketched(opened, sig, n, "id", "x").withColumnsRenamed({"id": "a", "component": "ca"})
-    two = _sketched(all_of, sig, n, "id", "y").withColumnsRenamed({"id": "b", "component": "cb"})
+    one = rows.where("open").select("g", place("bi").alias("i"), every("bj").alias("j"), F.col("id").alias("a"), F.col("component").alias("ca"), *(f"x{k}" for k in packed))
+    two = rows.select("g", every("bi").alias("i"), place("bj").alias("j"), F.col("id").alias("b"), F.col("component").alias("cb"), *(F.col(f"x{k}").alias(f"y{k}") for k in packed))
     near = (F.col("ca") != F.col("cb")) & (agreement(n, "x", "y") >= least_agreement(n, threshold))
-    pairs = one.join(two.select("g", "i", "j", "b", "cb", *(f"y{k}" for k in packed)), ["g", "i", "j"]).where(near)
+    pairs = one.join(two, ["g", "i", "j"]).where(near)
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
 
 
@@ -251,13 +252,14 @@ def components(lines: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int
     pairs, pairs_path = common.materialize(head_pairs(shared.union(fine), some, n, threshold), "pairs", n_lines)
     n_pairs = pairs.count()
     found = common.connected_components(verified_links(pairs, some, size, threshold), rows=n_pairs)
-    more, more_path = common.materialize(open_pairs(shared, found, pairs, some, n, threshold), "pairs", n_lines)
+    rows, rows_path = common.materialize(_sketched(open_rows(shared, found), some, n, "id", "x"), "open", n_lines)
+    more, more_path = common.materialize(open_pairs(rows, pairs, n, threshold), "pairs", n_lines)
     if not more.isEmpty():
         links = verified_links(more, some, size, threshold)
         if not links.isEmpty():
             edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
             found = common.connected_components(edges, rows=n_pairs)
-    for path in (shared_path, some_path, fine_path, pairs_path, more_path):
+    for path in (shared_path, some_path, fine_path, pairs_path, rows_path, more_path):
         common.drop_path(spark, path)
     return found
 
