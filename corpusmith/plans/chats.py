@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmith.operators import chat
-from corpusmith.plans.base import query, table
+from corpusmith.operators import attention, chat, targets
+from corpusmith.plans.base import lit, query, table
+from corpusmith.plans.kernels import E_SQL, sql_draw
 
 NUMBERED = "m AS (SELECT conv_id, turn, role, text, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS asked FROM conversations)"
 OPEN = "role = 'assistant' AND turn > coalesce(asked, -1)"
@@ -30,3 +31,62 @@ def chat_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_training_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chat.conversations(table(spark, sf_dir, "conversations"), "conv_id", "turn", "role", "text")
     return rows.select("conv_id", chat.render_chat(F.col("messages"), chat.HEADERS, False).alias("rendered"), F.size("messages").cast("long").alias("turns"))
+
+
+# Targets: overlapping ones, one that is part of another, one that is blank.
+TARGETS = ("the", "in the", "n", "he an", " ")
+EARLIER, LAST, BASE = 0.3, 0.9, 0.05
+WANTED = [t for t in TARGETS if t.strip()]
+DRAWN = sql_draw(42, "doc_id", "i")
+HITS = " UNION ALL ".join(
+    f"SELECT doc_id, s AS a, s + {len(t)} AS b, {k} AS target FROM (SELECT doc_id, j, n, CAST(sum(length(x) + {len(t)}) OVER (PARTITION BY doc_id ORDER BY j) AS BIGINT) - {len(t)} AS s "
+    f"FROM (SELECT doc_id, unnest(string_split(text, {lit(t)})) AS x, generate_subscripts(string_split(text, {lit(t)}), 1) AS j, len(string_split(text, {lit(t)})) AS n FROM documents)) WHERE j < n"
+    for k, t in enumerate(WANTED)
+)
+MASKED_SQL = (
+    "WITH parts AS (SELECT doc_id, unnest(string_split(replace(text, chr(10), ' '), ' ')) AS w, generate_subscripts(string_split(replace(text, chr(10), ' '), ' '), 1) AS j FROM documents), "
+    "toks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY j) - 1 AS i, a, a + length(w) AS b FROM (SELECT doc_id, j, w, CAST(sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY j) AS BIGINT) - length(w) - 1 AS a FROM parts) WHERE w <> ''), "
+    f"hits AS ({HITS}), best AS (SELECT t.doc_id, t.i, max(target) AS target FROM toks t JOIN hits h ON t.doc_id = h.doc_id AND t.a < h.b AND t.b > h.a GROUP BY t.doc_id, t.i), "
+    "marked AS (SELECT doc_id, i, a, b, coalesce(target, -1) AS target FROM toks LEFT JOIN best USING (doc_id, i)), "
+    "heads AS (SELECT *, lag(b, 1, 0) OVER w AS done, CASE WHEN target >= 0 AND lag(target, 1, -2) OVER w = target THEN 0 ELSE 1 END AS head FROM marked WINDOW w AS (PARTITION BY doc_id ORDER BY i)), "
+    "numbered AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM heads), "
+    "runs AS (SELECT doc_id, run, min(i) AS i, min(a) AS a, max(b) AS b, min(done) AS done, min(target) AS target FROM numbered GROUP BY doc_id, run), "
+    f"pieces AS (SELECT r.doc_id, i, substr(text, done + 1, a - done) || CASE WHEN {DRAWN} < CASE WHEN target < 0 THEN {BASE} ELSE {EARLIER} + {LAST - EARLIER} * (target / {len(WANTED) - 1}.0) END THEN '[MASK]' ELSE substr(text, a + 1, b - a) END AS piece, b, text FROM runs r JOIN documents d ON r.doc_id = d.doc_id) "
+    "SELECT doc_id, string_agg(piece, '' ORDER BY i) || substr(any_value(text), max(b) + 1) AS masked FROM pieces GROUP BY doc_id"
+)
+
+
+@query("mask_targets", MASKED_SQL)
+def mask_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.array(*map(F.lit, TARGETS)).alias("goals"))
+    return targets.mask_targets(rows, "text", "goals", "doc_id", EARLIER, LAST, BASE).select("doc_id", "masked")
+
+
+# Attention of four heads over two heads of keys and values, causal within a label; every eighth vector is one of the memory.
+HEADS_SQL = (
+    f"WITH {E_SQL}, z AS (SELECT q.vec_id, CAST(h AS INT) AS head, list_dot_product(q.v[h * 16 + 1:h * 16 + 16], k.v[(h // 2) * 16 + 1:(h // 2) * 16 + 16]) / 4 AS z, k.v[33 + (h // 2) * 16] AS x, k.vec_id % 8 = 0 AS memory "
+    "FROM e q JOIN e k ON q.label = k.label AND k.vec_id <= q.vec_id CROSS JOIN range(4) t(h)) "
+    "SELECT vec_id, head, round(sum(exp(z) * x) / sum(exp(z)), 6) AS out_first, round(coalesce(sum(exp(z)) FILTER (memory), 0) / sum(exp(z)), 6) AS memory_share FROM z GROUP BY vec_id, head"
+)
+
+
+def attended(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
+    v = F.col("embedding")
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), v.alias("vec"))
+    keys = e.select("grp", "id", "pos", F.slice("vec", 1, 32).alias("key"), F.slice("vec", 33, 32).alias("value"), (F.col("id") % 8 == 0).alias("memory")).withColumnRenamed("key", "vec")
+    return attention.attention(e, keys, heads=4, kv_heads=2, causal=True, **kw)
+
+
+@query("attention_heads", HEADS_SQL)
+def attention_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = attended(spark, sf_dir).select(F.col("id").alias("vec_id"), F.posexplode(F.arrays_zip("out", "memory_share")).alias("head", "s"))
+    return rows.select("vec_id", "head", F.round(F.get("s.out", 0), 6).alias("out_first"), F.round("s.memory_share", 6).alias("memory_share"))
+
+
+@query(
+    "memory_attention_mass",
+    f"SELECT label, head, round(avg(m), 6) AS mean_mass, CAST(count(*) AS BIGINT) AS queries FROM ({HEADS_SQL.replace('round(coalesce(sum(exp(z)) FILTER (memory), 0) / sum(exp(z)), 6) AS memory_share', 'coalesce(sum(exp(z)) FILTER (memory), 0) / sum(exp(z)) AS m')}) JOIN embeddings USING (vec_id) GROUP BY label, head",
+)
+def memory_attention_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = attended(spark, sf_dir).select(F.col("grp").alias("label"), F.posexplode("memory_share").alias("head", "m"))
+    return rows.groupBy("label", "head").agg(F.round(F.avg("m"), 6).alias("mean_mass"), F.count("*").alias("queries"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmith.functions import text
-from corpusmith.operators import batching, masking, reports, spans
+from corpusmith.operators import attention, batching, masking, reports, spans
 from corpusmith.operators import kernels as K
 from corpusmith.plans.base import query, sql_words, table
 
@@ -251,12 +251,10 @@ ATTENTION_SQL = (
 
 @query("attention_demo", ATTENTION_SQL)
 def attention_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Causal attention within a label. Every query meets every earlier key of its label: that is what attention is."""
-    e = vectors(spark, sf_dir)
-    k = e.select("label", F.col("vec_id").alias("key_id"), F.col("v").alias("kv"))
-    rows = e.join(k, "label").where(F.col("key_id") <= F.col("vec_id"))
-    w = F.exp(K.dot(F.col("v"), F.col("kv")) / 8)
-    return rows.select("vec_id", w.alias("w"), F.get("kv", 0).alias("x")).groupBy("vec_id").agg(F.round(F.sum(F.col("w") * F.col("x")) / F.sum("w"), 6).alias("out"))
+    """Causal attention within a label, of one head."""
+    e = vectors(spark, sf_dir).select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.col("v").alias("vec"))
+    found = attention.attention(e, e.withColumns({"value": F.col("vec"), "memory": F.lit(False)}), causal=True)
+    return found.select(F.col("id").alias("vec_id"), F.round(F.get(F.get("out", 0), 0), 6).alias("out"))
 
 
 @query(
