@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmith.functions.answers import bound
+
 
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
@@ -23,9 +25,9 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a).cast("double")
-    e = F.transform(a, lambda x: F.exp(x.cast("double") - top))
-    return F.transform(e, lambda x: x / total(e))
+    e = lambda s: F.transform(s["a"], lambda x: F.exp(x.cast("double") - s["top"]))
+    share = lambda s: F.transform(s["e"], lambda x: x / s["all"])
+    return bound(lambda s: bound(lambda t: bound(share, e=t["e"], all=total(t["e"])), e=e(s)), a=a, top=F.array_max(a).cast("double"))
 
 
 def entropy(p: Column) -> Column:
@@ -94,7 +96,7 @@ def gated_queries(base: Column, gate: Column, delta: Column) -> Column:
 
 def rms_norm(a: Column, eps: float = 1e-6) -> Column:
     """A vector over the root of its mean square."""
-    return F.transform(a, lambda x: x.cast("double") / F.sqrt(dot(a, a) / F.size(a) + F.lit(eps)))
+    return bound(lambda s: F.transform(s["a"], lambda x: x.cast("double") / s["root"]), a=a, root=F.sqrt(dot(a, a) / F.size(a) + F.lit(eps)))
 
 
 def teacher_relevance(chat_ids: Column, prompt_ids: Column, layers: Column, spans: Column, upper_layers: int = 4) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmith.functions.answers import bound
+
 #: The sentence break, and lengths in characters (a short span, the least of it, a line that may be cut, a heading).
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 SHORT, LEAST, LONG_LINE, HEADING = 24, 8, 80, 40
@@ -69,13 +71,25 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x != "")
 
 
+def prefix_sums(a: Column, step: int = 256) -> Column:
+    """The sum up to each entry of an array of ints. Sums are listed in parts of ``step`` entries, since a list that grows by one entry is copied each time."""
+    zero, none = F.lit(0), F.array().cast("array<int>")
+    grown = lambda xs, start: F.aggregate(xs, F.struct(start.alias("s"), none.alias("out")), lambda t, x: F.struct((t["s"] + x).alias("s"), F.concat(t["out"], F.array(t["s"] + x)).alias("out")))["out"]
+    parts = F.transform(F.when(F.size(a) > 0, F.sequence(F.lit(1), F.size(a), F.lit(step))).otherwise(none), lambda at: F.slice(a, at, step))
+
+    def listed(s: Column) -> Column:
+        ends = grown(F.transform(s["parts"], lambda p: F.aggregate(p, zero, lambda t, x: t + x)), zero)
+        return bound(lambda e: F.flatten(F.transform(s["parts"], lambda p, k: grown(p, F.when(k == 0, zero).otherwise(F.get(e["ends"], k - 1))))), ends=ends)
+
+    return bound(listed, parts=parts)
+
+
 def substring_starts(text: Column, part: Column) -> Column:
     """Starts (from 0) of all non-overlapping occurrences, from the left."""
     n = F.length(part)
     pieces = F.split(text, F.concat(F.lit("\\Q"), part, F.lit("\\E")), -1)
-    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda s, p: F.struct((s["at"] + F.length(p) + n).alias("at"), F.concat(s["out"], F.array(s["at"] + F.length(p))).alias("out"))
-    found = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), state, step)["out"]
+    lengths = F.transform(F.slice(pieces, 1, F.size(pieces) - 1), lambda p: F.length(p) + n)
+    found = bound(lambda s: F.transform(prefix_sums(s["lengths"]), lambda end: end - s["n"]), lengths=lengths, n=n)
     return F.when((n > 0) & (F.length(text) > 0), found).otherwise(F.array().cast("array<int>"))
 
 
@@ -142,8 +156,9 @@ def find_subsequence(hay: Column, needle: Column, start: int = 0) -> Column:
 def normalize_distribution(a: Column) -> Column:
     """Negative entries as 0, divided by the sum; uniform where that is 0."""
     kept = F.transform(a, lambda x: F.greatest(x.cast("double"), F.lit(0.0)))
-    total = F.aggregate(kept, F.lit(0.0), lambda s, x: s + x)
-    return F.when(total > 0, F.transform(kept, lambda x: x / total)).otherwise(F.transform(kept, lambda x: F.lit(1.0) / F.size(kept)))
+    total = lambda s: F.aggregate(s["kept"], F.lit(0.0), lambda t, x: t + x)
+    share = lambda s: F.transform(s["kept"], lambda x: F.when(s["total"] > 0, x / s["total"]).otherwise(F.lit(1.0) / F.size(s["kept"])))
+    return F.when(a.isNotNull(), bound(lambda s: bound(share, kept=s["kept"], total=total(s)), kept=kept))
 
 
 def span_mean(points: DataFrame, spans: DataFrame, key: str) -> DataFrame:

@@ -37,7 +37,7 @@ def chat_training_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 TARGETS = ("the", "in the", "n", "he an", " ")
 EARLIER, LAST, BASE = 0.3, 0.9, 0.05
 WANTED = [t for t in TARGETS if t.strip()]
-DRAWN = sql_draw(42, "doc_id", "i")
+DRAWN = sql_draw(42, "r.doc_id", "i")
 HITS = " UNION ALL ".join(
     f"SELECT doc_id, s AS a, s + {len(t)} AS b, {k} AS target FROM (SELECT doc_id, j, n, CAST(sum(length(x) + {len(t)}) OVER (PARTITION BY doc_id ORDER BY j) AS BIGINT) - {len(t)} AS s "
     f"FROM (SELECT doc_id, unnest(string_split(text, {lit(t)})) AS x, generate_subscripts(string_split(text, {lit(t)}), 1) AS j, len(string_split(text, {lit(t)})) AS n FROM documents)) WHERE j < n"

@@ -39,19 +39,13 @@ def _catalog_sql() -> str:
 CATALOG_SQL = _catalog_sql()
 
 
-@query("dim_dataset_config", f"SELECT * FROM {CATALOG_SQL}")
-def dim_dataset_config(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prompts.catalog(spark)
-
-
-NAMES = ("Data/GSM.jsonl", "arc-e", "ARCeasy", "coin", "x/CSQA.JSONL", "singleeq", "date", "aqua", "addsub.jsonl", "coin-flip")
-NAMES_SQL = "(VALUES " + ", ".join(f"({lit(n)})" for n in NAMES) + ") n(raw)"
 ALIAS_SQL = "CASE y " + " ".join(f"WHEN {lit(a)} THEN {lit(b)}" for a, b in prompts.ALIASES.items()) + " ELSE y END"
+RAW_SQL = "CASE doc_id % 4 WHEN 0 THEN 'Data/' || upper(source) || '.jsonl' WHEN 1 THEN 'arc-e' WHEN 2 THEN lang || '/CSQA.JSONL' ELSE 'coin-flip-' || source END"
 
 
-@query("normalize_name", f"SELECT raw, {ALIAS_SQL} AS name FROM (SELECT raw, replace(regexp_replace(lower(string_split(raw, '/')[-1]), '\\.jsonl$', ''), '-', '_') AS y FROM {NAMES_SQL})")
+@query("normalize_name", f"SELECT doc_id, {ALIAS_SQL} AS name FROM (SELECT doc_id, replace(regexp_replace(lower(string_split({RAW_SQL}, '/')[-1]), '\\.jsonl$', ''), '-', '_') AS y FROM documents)")
 def normalize_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in NAMES], "raw string").withColumn("name", prompts.normalize_name(F.col("raw")))
+    return table(spark, sf_dir, "documents").select("doc_id", prompts.normalize_name(F.expr(RAW_SQL)).alias("name"))
 
 
 @query(
@@ -118,9 +112,9 @@ def shard_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query("shard_names", "SELECT CAST(g AS INT) AS shard, format('out.shard-{:05d}-of-00012.jsonl', g) AS name FROM range(12) t(g)")
+@query("shard_names", "SELECT doc_id, format('out.shard-{:05d}-of-00012.jsonl', doc_id % 12) AS name FROM documents")
 def shard_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.range(12).select(F.col("id").cast("int").alias("shard")).withColumn("name", sampling.shard_name("out", ".jsonl", 12, F.col("shard")))
+    return table(spark, sf_dir, "documents").select("doc_id", sampling.shard_name("out", ".jsonl", 12, F.col("doc_id") % 12).alias("name"))
 
 
 @query("cache_key_sha256", "SELECT source, substr(sha256('{\"n\": ' || CAST(count(*) AS VARCHAR) || ', \"source\": \"' || source || '\"}'), 1, 24) AS cache_key FROM documents GROUP BY source")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmith.functions import text
+from corpusmith.functions.answers import bound
 from corpusmith.operators import attention, batching, masking, reports, spans
 from corpusmith.operators import kernels as K
 from corpusmith.plans.base import query, sql_words, table
@@ -190,9 +191,9 @@ def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("vector_stats", f"WITH {E_SQL} SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS l2, round(list_avg(v), 6) AS mean, round(list_stddev_pop(v), 6) AS sd FROM e")
 def vector_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, n = F.col("v"), F.size("v")
-    mean = K.total(v) / n
-    sd = F.sqrt(K.total(F.transform(v, lambda x: (x - mean) * (x - mean))) / n)
-    return vectors(spark, sf_dir).select("vec_id", F.round(K.l2(v), 6).alias("l2"), F.round(mean, 6).alias("mean"), F.round(sd, 6).alias("sd"))
+    rows = vectors(spark, sf_dir).select("vec_id", "v", (K.total(v) / n).alias("mean"))
+    sd = bound(lambda s: F.sqrt(K.total(F.transform(s["v"], lambda x: (x - s["mean"]) * (x - s["mean"]))) / F.size(s["v"])), v=v, mean=F.col("mean"))
+    return rows.select("vec_id", F.round(K.l2(v), 6).alias("l2"), F.round("mean", 6).alias("mean"), F.round(sd, 6).alias("sd"))
 
 
 COS_SQL = "list_dot_product(a, b) / sqrt(list_dot_product(a, a) * list_dot_product(b, b))"

@@ -10,49 +10,9 @@ from corpusmith.plans.base import lit, query, table
 from corpusmith.plans.formatting import CATALOG_SQL, DRAW
 from corpusmith.sources import tables
 
-ACTS, READS, MODELS, OWN = ("vanilla", "cot", "pal"), (1, 2), ("Qwen/Qwen3-1.7B",), "Qwen/Qwen3-1.7B"
 NAMES = [d[0] for d in prompts.DATASETS]
 
 
-def _values(rows: list[tuple], *cols: str) -> str:
-    cell = lambda v: lit(v) if isinstance(v, str) else str(v)
-    return "(VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + f") {cols[0]}({', '.join(cols)})"
-
-
-JOBS_SQL = (
-    "SELECT kind || '__' || d.dataset_name || '__' || act || '__read' || CAST(read_times AS VARCHAR) || '__qwen_qwen3_1_7b' AS job_name, kind, d.dataset_name, "
-    f"{lit(OWN)} AS model_name, act, CAST(read_times AS INT) AS read_times, CAST(dataset_name_order AS INT) AS dataset_name_order, CAST(act_order AS INT) AS act_order, "
-    "CAST(read_times - 1 AS INT) AS read_times_order, CAST(model_order AS INT) AS model_order "
-    f"FROM {_values([(n, k) for k, n in enumerate(NAMES)], 'dataset_name', 'dataset_name_order')} JOIN {CATALOG_SQL} d USING (dataset_name) "
-    f"CROSS JOIN {_values([(a, k) for k, a in enumerate(ACTS)], 'act', 'act_order')} CROSS JOIN (VALUES (1), (2)) r(read_times) "
-    "CROSS JOIN (VALUES ('base', 0), ('compressed', 1)) m(kind, model_order) WHERE act <> 'pal' OR supports_pal"
-)
-
-
-def all_jobs(spark: SparkSession) -> DataFrame:
-    return jobs.benchmark_jobs(spark, NAMES, ACTS, READS, MODELS, OWN)
-
-
-@query("job_matrix", JOBS_SQL)
-def job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_jobs(spark)
-
-
-SCENARIOS = ("base_no_hint", "base_prompt_twice")
-
-
-@query(
-    "eval_job_matrix",
-    "SELECT CAST(row_number() OVER (ORDER BY o, t, s) - 1 AS INT) AS job_idx, kind, scenario, 'Qwen/Qwen3-1.7B' AS model_name, enable_thinking, CAST(prompt_repeat_count AS INT) AS prompt_repeat_count, "
-    "scenario || CASE WHEN enable_thinking THEN '__thinking_on' ELSE '__thinking_off' END || '__qwen_qwen3_1_7b' AS job_name FROM (VALUES "
-    "(0, 0, 0, 'base', 'base_no_hint', true, 1), (0, 0, 1, 'base', 'base_prompt_twice', true, 2), (0, 1, 0, 'base', 'base_no_hint', false, 1), (0, 1, 1, 'base', 'base_prompt_twice', false, 2), "
-    "(1, 0, 0, 'compressed', 'compressed_with_hint', true, NULL), (1, 0, 1, 'compressed', 'compressed_with_hint', false, NULL), (1, 1, 0, 'compressed', 'compressed_masked_hint', true, NULL), (1, 1, 1, 'compressed', 'compressed_masked_hint', false, NULL)"
-    ") v(o, t, s, kind, scenario, enable_thinking, prompt_repeat_count)",
-)
-def eval_job_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.heldout_jobs(spark, MODELS, SCENARIOS, OWN, (True, False))
-
-
 @query("join_dim", f"SELECT d.doc_id, c.dataset_label, c.category FROM documents d JOIN {CATALOG_SQL} c ON c.dataset_name = [{', '.join(map(lit, NAMES))}][1 + d.doc_id % {len(NAMES)}]")
 def join_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.element_at(F.array(*(F.lit(n) for n in NAMES)), (1 + F.col("doc_id") % len(NAMES)).cast("int"))
@@ -60,23 +20,30 @@ def join_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(prompts.catalog(spark), "dataset_name").select("doc_id", "dataset_label", "category")  # the catalog is 13 rows
 
 
-DONE_SQL = f"WITH jobs AS ({JOBS_SQL}), done AS (SELECT job_name FROM jobs WHERE act = 'cot' OR read_times = 2)"
+# A job for each language, source and number of reads of the documents; those of sources with toxic documents are done.
+JOBS_SQL = (
+    "jobs AS (SELECT DISTINCT d.lang || '__' || d.source || '__read' || CAST(r AS VARCHAR) AS job_name, d.source, CAST(r AS INT) AS read_times FROM documents d CROSS JOIN (VALUES (1), (2)) v(r)), "
+    "done AS (SELECT DISTINCT d.lang || '__' || d.source || '__read1' AS job_name FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1)"
+)
 
 
-def _done(all_rows: DataFrame) -> DataFrame:
-    return all_rows.where("act = 'cot' OR read_times = 2").select("job_name")
+def _jobs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf_dir, "documents")
+    name = lambda reads: F.concat("lang", F.lit("__"), "source", F.lit("__read"), reads.cast("string")).alias("job_name")
+    rows = d.select("lang", "source", F.explode(F.array(F.lit(1), F.lit(2))).alias("read_times"))
+    rows = rows.select(name(F.col("read_times")), "source", "read_times").distinct()
+    toxic = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+    return rows, d.join(toxic, "doc_id", "left_semi").select(name(F.lit(1))).distinct()
 
 
-@query("pending_jobs_anti", f"{DONE_SQL} SELECT job_name, kind FROM jobs WHERE job_name NOT IN (SELECT job_name FROM done)")
+@query("pending_jobs_anti", f"WITH {JOBS_SQL} SELECT job_name, source, read_times FROM jobs WHERE job_name NOT IN (SELECT job_name FROM done)")
 def pending_jobs_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = all_jobs(spark)
-    return jobs.pending(rows, _done(rows)).select("job_name", "kind")
+    return jobs.pending(*_jobs(spark, sf_dir))
 
 
-@query("done_jobs_semi", f"{DONE_SQL} SELECT job_name, kind FROM jobs WHERE job_name IN (SELECT job_name FROM done)")
+@query("done_jobs_semi", f"WITH {JOBS_SQL} SELECT job_name, source, read_times FROM jobs WHERE job_name IN (SELECT job_name FROM done)")
 def done_jobs_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = all_jobs(spark)
-    return jobs.finished(rows, _done(rows)).select("job_name", "kind")
+    return jobs.finished(*_jobs(spark, sf_dir))
 
 
 @query(
@@ -138,11 +105,15 @@ def overlap_join_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.token_spans(tokens_of(spark, sf_dir), spans_of(spark, sf_dir), "doc_id")
 
 
-@query(
-    "token_target_max",
-    f"WITH {WORDS_SQL}, {SPANS_SQL}, {JOINED_SQL}, {COVERED_SQL}, best AS (SELECT doc_id, tok, max(span % 3) AS target FROM covered WHERE span % 2 = 1 GROUP BY doc_id, tok) "
-    "SELECT doc_id, tok, CASE WHEN tok_end > tok_start THEN target END AS target FROM toks LEFT JOIN best USING (doc_id, tok)",
+#: Lines cut into words again: a token is what lies between blanks, so the last piece of a line and the first of the next are one.
+PIECES_SQL = (
+    "ls AS (SELECT doc_id, i - 1 AS span, l, len(string_split(l, ' ')) - 1 AS blanks FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)), "
+    "pieces AS (SELECT doc_id, span, before, unnest(string_split(l, ' ')) AS piece, generate_subscripts(string_split(l, ' '), 1) AS j FROM "
+    "(SELECT *, CAST(coalesce(sum(blanks) OVER (PARTITION BY doc_id ORDER BY span ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before FROM ls))"
 )
+
+
+@query("token_target_max", f"WITH {PIECES_SQL} SELECT doc_id, before + j - 1 AS tok, max(CASE WHEN span % 2 = 1 AND piece <> '' THEN span % 3 END) AS target FROM pieces GROUP BY doc_id, before + j - 1")
 def token_target_max(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = spans_of(spark, sf_dir).where("span % 2 = 1").withColumn("target", F.col("span") % 3)
     return spans.token_targets(tokens_of(spark, sf_dir), targets, "doc_id").select("doc_id", "tok", "target")
@@ -193,15 +164,6 @@ def key_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Blends, samples, splits.
-COUNTS_442 = sampling.blend_counts((4, 4, 2), 101)
-COUNTS_STAGE1 = sampling.blend_counts((50, 35, 15), 87)
-
-
-@query("ratio_counts", "SELECT CAST(k AS INT) AS source_idx, CAST(n AS BIGINT) AS n FROM (VALUES (0, 100000), (1, 70000), (2, 30000)) v(k, n)")
-def ratio_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(sampling.blend_counts((50, 35, 15), 200_000))), "source_idx int, n long")
-
-
 def _blend_sql(col: str, counts: dict[str, int], where: str = "true") -> str:
     take = "CASE " + col + " " + " ".join(f"WHEN {lit(s)} THEN {n}" for s, n in counts.items()) + " ELSE 0 END"
     return f"SELECT doc_id, {col} AS source FROM (SELECT doc_id, {col}, row_number() OVER (PARTITION BY {col} ORDER BY {DRAW}, doc_id) AS r FROM documents WHERE {where}) WHERE r <= {take}"
