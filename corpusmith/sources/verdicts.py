@@ -20,6 +20,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmith.sources.commits import rename_once
 from corpusmith.sources.tables import cache_key
 
 DESCRIPTION = "description.json"
@@ -40,30 +41,16 @@ class VerdictCache:
     def __init__(self, spark: SparkSession, root: str, description: dict, schema: str) -> None:
         self.spark, self.description, self.schema = spark, description, schema
         self.path = f"{root.rstrip('/')}/{cache_key(description)}"
-        self._jvm = spark._jvm
         self._fs = self._place(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _place(self, path: str):
-        return self._jvm.org.apache.hadoop.fs.Path(path)
+        return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
     def _exists(self, path: str) -> bool:
         return self._fs.exists(self._place(path))
 
     def _renamed(self, aside: str, path: str) -> bool:
-        """Move a folder or file to a place that is free; False if it is taken. FileContext's rename never replaces or nests."""
-        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._place(path).toUri() if "://" in path else self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        none = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(self._place(aside), self._place(path), none)
-        except Exception as e:  # noqa: BLE001  (py4j wraps the file system's own error)
-            if not self._exists(path):
-                raise
-            if self._exists(aside):
-                self._fs.delete(self._place(aside), True)
-            elif "FileAlreadyExists" not in str(e):
-                raise
-            return False
-        return True
+        return rename_once(self.spark, aside, path)
 
     def check(self) -> None:
         """Put the description where there is none; refuse another."""
