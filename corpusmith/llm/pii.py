@@ -49,6 +49,8 @@ HINT = re.compile(r"[0-9@]|\b(?:at|dot)\b")
 CHUNK = re.compile(r"\S+")
 ANCHOR = re.compile(r"[0-9@]|[\[({<](?:at|dot|AT|DOT)[\])}>]|^(?:at|dot|AT|DOT)$")
 TELLING = re.compile(r"[0-9@]|\S[\[({<](?:at|dot|AT|DOT)[\])}>]")
+ANY_DIGIT = str.maketrans("012345678", "999999999")
+MAX_KEY, MAX_KEYS = 200, 50_000
 EDGE = ".,;:!?\"'<>[]{}"
 
 
@@ -130,11 +132,23 @@ def span_features(s: str, left: str) -> list[str]:
     return f
 
 
+def span_key(s: str, left: str) -> tuple:
+    """All that span_features reads of a span: its form, digits' values aside, and what these are asked for."""
+    s = " ".join(s.split())
+    form = s.translate(ANY_DIGIT)
+    n, values = form.count("9"), ()
+    if n >= 4:
+        groups = re.findall(r"[0-9]+", s)
+        values = luhn("".join(groups)) if 12 <= n <= 19 else None, len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)
+    return form, values, n > 1 and _digits(s[:80])[:2] == "00", CUES.get(left.lower().strip(EDGE + "()"))
+
+
 class SemiMarkovCRF:
     """Weights by (feature, kind); background chunks score 0."""
 
     def __init__(self) -> None:
         self.w: dict[str, np.ndarray] = {}
+        self.seen: dict[tuple, tuple] = {}  # scores by span_key, once trained
 
     def scores(self, feats: list[str]) -> np.ndarray:
         out = np.zeros(len(KINDS))
@@ -154,6 +168,28 @@ class SemiMarkovCRF:
                 out[i, j] = feats, self.scores(feats)
         return out
 
+    def scored(self, chunks: list[str], left: str, joined, closed: list[bool]) -> dict[tuple[int, int], tuple]:
+        """The same with the best kind and its score; spans of one key are scored once."""
+        out = {}
+        for i in range(len(chunks)):
+            before = chunks[i - 1] if i else left
+            for j in range(i + 1, min(len(chunks), i + MAX_CHUNKS) + 1):
+                if closed[j - 1]:
+                    break
+                s = joined(i, j)
+                key = span_key(s, before) if len(s) <= MAX_KEY else None
+                item = self.seen.get(key)
+                if item is None:
+                    scores = self.scores(span_features(s, before))
+                    best = int(np.argmax(scores))
+                    item = None, scores, best, float(scores[best])
+                    if key:
+                        if len(self.seen) >= MAX_KEYS:
+                            self.seen.clear()
+                        self.seen[key] = item
+                out[i, j] = item
+        return out
+
     def marginals(self, n: int, lat: dict) -> dict[tuple[int, int], np.ndarray]:
         """Probability of each segment and kind, by forward and backward sums."""
         a, b = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
@@ -162,7 +198,7 @@ class SemiMarkovCRF:
             a[j] = np.logaddexp.reduce([a[j - 1], *(a[i] + x for i in range(max(0, j - MAX_CHUNKS), j) if (i, j) in lat for x in lat[i, j][1])])
         for i in range(n - 1, -1, -1):
             b[i] = np.logaddexp.reduce([b[i + 1], *(b[j] + x for j in range(i + 1, min(n, i + MAX_CHUNKS) + 1) if (i, j) in lat for x in lat[i, j][1])])
-        return {(i, j): np.exp(a[i] + s + b[j] - a[n]) for (i, j), (_, s) in lat.items()}
+        return {(i, j): np.exp(a[i] + s + b[j] - a[n]) for (i, j), (_, s, *_) in lat.items()}
 
     def fit(self, data: list, rounds: int = 5, rate: float = 0.3, l2: float = 1e-3) -> SemiMarkovCRF:
         """data: (chunks, left, {(i, j): kind}). Stochastic ascent of the likelihood, AdaGrad steps."""
@@ -188,7 +224,7 @@ class SemiMarkovCRF:
 
     def decode(self, chunks: list[str], left: str, joined, closed: list[bool]) -> list[tuple[int, int, int]]:
         """Segments (i, j, kind) of the best path whose marginal odds pass; none holds a closed chunk."""
-        lat = self.lattice(chunks, left, joined, closed)
+        lat = self.scored(chunks, left, joined, closed)
         found = best_path(len(chunks), lat)
         if not found:
             return []
@@ -203,8 +239,9 @@ def best_path(n: int, lat: dict) -> list[tuple[int, int, int]]:
         best[j] = best[j - 1]
         for i in range(max(0, j - MAX_CHUNKS), j):
             if (i, j) in lat:
-                k = int(np.argmax(lat[i, j][1]))
-                total = best[i] + lat[i, j][1][k]
+                _, scores, *known = lat[i, j]
+                k, top = known or (int(np.argmax(scores)), scores.max())
+                total = best[i] + top
                 if total > best[j]:
                     best[j], back[j] = total, (i, k)
     out, j = [], n
