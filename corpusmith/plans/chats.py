@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmith.operators import attention, chat, targets
+from corpusmith.functions import tokenizers
+from corpusmith.operators import attention, chat, collation, targets
 from corpusmith.plans.base import lit, query, table
+from corpusmith.plans.formatting import docs
 from corpusmith.plans.kernels import E_SQL, sql_draw
 
 NUMBERED = "m AS (SELECT conv_id, turn, role, text, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id) AS asked FROM conversations)"
@@ -90,3 +92,25 @@ def attention_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def memory_attention_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = attended(spark, sf_dir).select(F.col("grp").alias("label"), F.posexplode("memory_share").alias("head", "m"))
     return rows.groupBy("label", "head").agg(F.round(F.avg("m"), 6).alias("mean_mass"), F.count("*").alias("queries"))
+
+
+# Token budgets and batches by a public tokenizer. SQL can't express its merges; tests hold both against the library.
+def _tokenizer(name: str) -> tokenizers.Tokenizer:
+    import public_tokenizers
+
+    return tokenizers.Tokenizer(public_tokenizers.path(name))
+
+
+@query("token_budget")
+def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = docs(spark, sf_dir).select("doc_id", "head", "rest")
+    found = tokenizers.within_budget(rows, "head", "rest", _tokenizer("word_bpe_49k.json"), _tokenizer("byte_bpe_50k.json"), 200, 1200)
+    return found.select("doc_id", "profiler_tokens", "composer_tokens", "within")
+
+
+@query("collated_batches")
+def collated_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = docs(spark, sf_dir).select("doc_id", "head", "rest")
+    found = collation.collated(rows, "doc_id", "head", "rest", _tokenizer("byte_bpe_50k.json"), 8, 2048)
+    shown = F.filter("labels", lambda x: x != collation.HIDDEN)
+    return found.select("doc_id", "batch", F.size("ids").alias("padded"), F.aggregate("attention", F.lit(0), lambda t, x: t + x).alias("n_tokens"), F.size(shown).alias("n_labels"))
