@@ -168,7 +168,9 @@ def rejects(rules: list[Rule]) -> Column:
 def train(stats: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> list[Rule]:
     marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = stats.where("n_words > 0").join(marked, "doc_id").select("doc_id", "quality", *(feature(n).alias(n) for n in FEATURES))
-    rows = common.least_hashes(known.dropDuplicates(["doc_id"]), "doc_id", max_train).toPandas()
+    # Of rows that repeat a doc_id the least, whatever task comes first.
+    least = known.groupBy("doc_id").agg(F.min(F.struct("quality", *FEATURES)).alias("r")).select("doc_id", "r.*")
+    rows = common.least_hashes(least, "doc_id", max_train).toPandas()
     if rows.empty:
         return []
     return learn_rules(rows[list(FEATURES)].to_numpy(float), rows["quality"].to_numpy() == 0, list(FEATURES))

@@ -635,3 +635,14 @@ def test_numbers_are_quick():
         s, left = "".join(r.choices("0123456789 .-+()@a", k=r.randrange(1, 22))), r.choice(["", "tel:", "ip", "x"])
         features = pii.span_features(s, left)
         assert seen.setdefault(pii.span_key(s, left), features) == features
+
+
+def test_quality_rules_do_not_depend_on_the_order_of_rows(spark):
+    """A doc_id that repeats with other texts counts as its least row, in whatever task it stands."""
+    r = random.Random(5)
+    rows = [(k % 60, " ".join(r.choices(["good", "words", "here", "###", "x"], k=r.randrange(1, 90)))) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    stats = quality.statistics(docs)
+    found = [quality.train(s, labels) for s in (stats, stats.repartition(7), stats.orderBy(F.desc("n_words")))]
+    assert found[0] == found[1] == found[2]
