@@ -159,3 +159,49 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repair(damaged(common.table(spark, sf_dir, "conversations")))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit(":"), t["text"])), "\n")
     return found.select(*found.columns[:-1], F.sha2(lines.cast("binary"), 256).alias("repaired_sha256"))
+
+
+#: DuckDB SQL. A state is its cost in six digits before its audit, so that least() takes the cheaper, then the ASCII-least.
+_FAR = 500_000
+
+
+def _sql_plus(x: str, k: object, letters: str) -> str:
+    return f"(lpad(CAST(CAST({x}[1:6] AS INT) + {k} AS VARCHAR), 6, '0') || {x}[7:] || '{letters}')"
+
+
+def _sql_keep(initial: str) -> str:
+    return f"least(stay + CASE WHEN initial = '{initial}' THEN 0 ELSE {_FAR} END, {_FAR})"
+
+
+#: crc32 of a text x, bit by bit.
+_SQL_CRC = "xor(list_reduce(list_transform(range(1, octet_length(encode(x)) + 1), lambda i: CAST(('0x' || hex(encode(x))[2 * i - 1:2 * i]) AS BIGINT)), lambda c, b: list_reduce(range(0, 8), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, xor(c, b)), 4294967295), 4294967295)"
+_SQL_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+ORACLE_SQL = f"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS x FROM conversations),
+hurt AS (SELECT *, {_SQL_CRC} % 20 AS k FROM raw),
+rows0 AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM hurt WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER o AS place, role[1:1] AS initial, lag(role[1:1]) OVER o AS before FROM rows0 WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+bare AS (SELECT *, rtrim(text, {_SQL_WHITE}) AS b, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS nth FROM placed),
+faults AS MATERIALIZED (SELECT *, CASE WHEN b = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate' WHEN b[-1:] NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM bare),
+costs AS MATERIALIZED (SELECT conv_id, place, CASE WHEN fault IN ('blank', 'duplicate') THEN {_FAR} WHEN fault = 'truncated' THEN 1 ELSE 0 END AS stay, initial FROM faults),
+convs AS MATERIALIZED (SELECT DISTINCT conv_id FROM conversations),
+fold(conv_id, place, z, s, u, a) AS (
+  SELECT conv_id, CAST(0 AS BIGINT), '000000', '{_FAR}', '{_FAR}', '{_FAR}' FROM convs
+  UNION ALL
+  SELECT conv_id, place, {_sql_plus('z', 3, 'D')}, least({_sql_plus('s', 3, 'D')}, {_sql_plus('z', _sql_keep("s"), 'K')}),
+    least({_sql_plus('bu', 3, 'D')}, {_sql_plus('tu', _sql_keep("u"), 'K')}, {_sql_plus('tu', 'stay + 2', 'R')}),
+    least({_sql_plus('ba', 3, 'D')}, {_sql_plus('bu', _sql_keep("a"), 'K')}, {_sql_plus('bu', 'stay + 2', 'R')})
+  FROM (SELECT *, least(z, s, ba) AS tu FROM (SELECT *, least(a, {_sql_plus('bu', 2, 'I')}) AS ba FROM (
+    SELECT f.conv_id, c.place, c.stay, c.initial, z, s, u, a, least(u, {_sql_plus('z', 2, 'I')}, {_sql_plus('s', 2, 'I')}, {_sql_plus('a', 2, 'I')}) AS bu FROM fold f JOIN costs c ON c.conv_id IS NOT DISTINCT FROM f.conv_id AND c.place = f.place + 1)))),
+best AS (SELECT conv_id, CAST(best[1:6] AS BIGINT) AS cost, best[7:] AS audit FROM (SELECT conv_id, place, least(z, a, {_sql_plus('u', 2, 'I')}, {_sql_plus('s', 4, 'II')}) AS best, row_number() OVER (PARTITION BY conv_id ORDER BY place DESC) AS r FROM fold) WHERE r = 1),
+letters AS (SELECT conv_id, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS j FROM best WHERE audit <> ''),
+numbered AS (SELECT *, count(*) FILTER (edit <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS place FROM letters),
+made AS (SELECT n.conv_id, n.j, n.edit, f.role, f.text, row_number() OVER (PARTITION BY n.conv_id ORDER BY n.j) - 1 AS k, first_value(n.edit = 'K' AND f.initial = 's') OVER (PARTITION BY n.conv_id ORDER BY n.j) AS system
+  FROM numbered n LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM n.conv_id AND f.place = n.place AND n.edit <> 'I' WHERE n.edit <> 'D'),
+texts AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (k - CASE WHEN system THEN 1 ELSE 0 END) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS repaired FROM made GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id)
+SELECT b.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+  cost, audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM best b LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN texts t ON t.conv_id IS NOT DISTINCT FROM b.conv_id
+"""

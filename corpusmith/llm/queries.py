@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmith.llm import divergence
+from corpusmith.llm import conversation_repair, divergence, minhash_dedup
 from corpusmith.llm.bpe import op8_bpe
 from corpusmith.llm.conversation_repair import op11_conversation_repair
 from corpusmith.llm.divergence import op12_source_divergence
@@ -40,4 +40,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op12_source_divergence": divergence.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_repair": conversation_repair.ORACLE_SQL,
+    "op12_source_divergence": divergence.ORACLE_SQL,
+    "op13_minhash_dedup": minhash_dedup.ORACLE_SQL,
+}

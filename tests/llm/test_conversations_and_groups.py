@@ -255,3 +255,31 @@ def test_signature_distances():
         differ = np.zeros(96, bool)
         differ[r.choice(96, distance, replace=False)] = True
         assert any(not differ[places].any() for _, places in ways)
+
+
+@pytest.mark.parametrize("name", ["op11_conversation_repair", "op12_source_divergence", "op13_minhash_dedup"])
+def test_queries_against_their_sql(spark, name):
+    import duckdb
+
+    from corpusmith.llm.queries import ORACLE_SQL, QUERIES
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    ran = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in ran.description]
+    found = QUERIES[name](spark, sf)
+    assert set(found.columns) == set(names)
+    assert sorted(map(tuple, found.select(*names).collect()), key=str) == sorted(ran.fetchall(), key=str)
+
+
+def test_sql_of_repair_on_odd_rows():
+    import duckdb
+
+    r = random.Random(9)
+    texts, roles = [None, "", "a.", "b", "c!", "A . ", " "], [None, "", "user", "assistant", "system", "tool", "user"]
+    rows = [(c, r.choice([None, 0, 1, 2, 3, 4, 5, 9]), r.choice(roles), r.choice(texts)) for c in range(80) for _ in range(r.choice([1, 2, 5, 9]))]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert {x[0]: x[1:] for x in con.execute(conversation_repair.ORACLE_SQL).fetchall()} == repaired(rows)
