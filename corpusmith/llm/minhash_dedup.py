@@ -14,8 +14,7 @@ Links of candidates are confirmed on full sets (64-bit hashes of shingles, so th
 shingles fall together with a probability of 2^-64). Not all pairs of a bucket are made:
 every set is compared with its bucket's least one, and union-find joins what is near. In
 buckets that still have several components, sets are compared with another head, ``TURNS``
-times; heads differ from bucket to bucket, so that a set of a large family meets many. Then
-only sets outside of a bucket's largest component are compared with the rest of it, in
+times, so that most of a large family falls together at little cost. Then only sets outside of a bucket's largest component are compared with the rest of it, in
 blocks of ``BLOCK``: where links abound few are left, and no link between components is
 lost. In a block, signature distances come first, each pair is looked at in the first bucket
 that it shares alone, and links are handed on as a forest. So components are those of all
@@ -46,7 +45,7 @@ SIZE = 5
 THRESHOLD = 85  # per cent
 PLACES, BITS, ERRORS = 96, 16, 1
 MISS = 1e-6
-TURNS = 2  # of other heads
+TURNS = 3  # of other heads
 BLOCK = 2048  # sets that are compared pair by pair
 AT_ONCE = 1 << 15  # shingles that are hashed at a time
 PAIRS_AT_ONCE = 1 << 13
@@ -246,9 +245,10 @@ def open_rows(shared: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def other_heads(rows: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b) of different components: each set of a bucket and another head, which differs from bucket to bucket."""
+    """Pairs (a, b) of different components: each set and another head of one of its buckets, a large one."""
     heads = rows.groupBy("g").agg(F.min_by(F.struct("id", "component"), F.xxhash64("id", "g", F.lit(turn))).alias("h"))
-    pairs = rows.join(heads, "g").where(F.col("component") != F.col("h.component"))
+    large = F.max_by("g", F.struct(F.log2("n").cast("int"), F.xxhash64("g", F.lit(turn))))
+    pairs = rows.groupBy("id", "component").agg(large.alias("g")).join(heads, "g").where(F.col("component") != F.col("h.component"))
     return pairs.select(F.greatest("id", "h.id").alias("a"), F.least("id", "h.id").alias("b")).distinct()
 
 
