@@ -353,7 +353,8 @@ def components(docs: DataFrame, size: int = SIZE, threshold: int = THRESHOLD) ->
     shared, shared_path = common.materialize(buckets(reps, ways), "buckets", total)
     # From here on, only sets that share a bucket matter; their full sets are made from their documents.
     some = reps.join(shared.select("id").distinct(), "id", "left_semi")
-    texts = docs.join(some.select(F.col("rep").alias("_rep")).distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("_rep")), "left_semi")
+    known = some.select("rep").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
     full = sets_of(texts, size, False).groupBy("hi", "lo").agg(F.first("body").alias("full"))
     members, members_path = common.materialize(some.join(full, ["hi", "lo"]).select("id", "n", "body", "full"), "members", total)
     heads = shared.where("id > head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
