@@ -8,12 +8,17 @@ band. Lines that agree in all minima of a band share a bucket.
 
 Links. In each bucket, every line is compared with the bucket's least line, and in a bucket of
 over ``GROUP`` lines also with the least of those that share another band; union-find joins
-what is near. Then the lines outside of a bucket's largest component are compared with all of
-its lines that are of other components, in blocks of ``BLOCK``: where links abound, few lines
-are left, and no link between components is lost. A comparison first counts equal minima in
+what is near. In buckets that still have several components, the lines outside of the largest
+meet one block of ``BLOCK`` lines of the bucket, and the likeliest of them is verified; this is
+done ``TURNS`` times, so that most of a large family falls together at little cost. Then the
+lines outside of a bucket's largest component are compared with all of its lines that are of
+other components, in blocks: where links abound, few lines are left, and no link between
+components is lost. A comparison first counts equal minima in
 two sketches (a byte of each minimum) and drops the pair where a pair at the threshold would
-have fewer with a probability below ``MISS``; what is left is verified by the exact Jaccard
-similarity of the shingle sets. Of each component the earliest line (least doc_id, then line
+have fewer with a probability below ``MISS``. Then two bitmaps (a bit of ``WORDS * 64`` for
+each shingle) are compared: bits that differ are as many shingles that differ at least, so a
+pair with more of them than the threshold allows is dropped without loss. What is left is
+verified by the exact Jaccard similarity of the shingle sets. Of each component the earliest line (least doc_id, then line
 number) is kept.
 
 Recall: at 3 rows and 8 bands, a pair of similarity 0.8 shares a bucket with probability
@@ -45,11 +50,13 @@ THRESHOLD = 0.8
 CHUNK = 8192  # shingles of a line that are listed at a time
 STEP = 4  # neighbouring shingles that are hashed in one row
 GROUP = 16  # lines of a bucket beyond which its groups that share another band have heads as well
+TURNS = 2  # in which a line meets one block
 BLOCK = 64  # lines of a block that are compared pair by pair
 PAIRS_A_TASK = 4096  # that are verified
 LONG = 500_000  # characters of a line whose shingles are no longer listed in one row
 MISS = 1e-4
 PACKED = 6  # bytes of a sketch in one long
+WORDS = 32  # longs of a bitmap
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -74,14 +81,14 @@ def _word(k: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _wide(lines: DataFrame) -> DataFrame:
-    """Lines in UTF-16, where every unit is two bytes, so that cutting needs no search."""
-    return lines.select("id", F.encode("line", "UTF-16BE").alias("wide"))
+def _wide(lines: DataFrame, unit: int) -> DataFrame:
+    """Lines in UTF-16 or UTF-32, where every unit is two or four bytes, so that cutting needs no search."""
+    return lines.select("id", F.encode("line", {2: "UTF-16BE", 4: "UTF-32"}[unit]).alias("wide"))
 
 
-def _last(wide: str, size: int) -> Column:
+def _last(wide: str, size: int, unit: int) -> Column:
     """Place of the last shingle."""
-    return F.greatest((F.octet_length(wide) / 2).cast("int") - size, F.lit(0))
+    return F.greatest((F.octet_length(wide) / unit).cast("int") - size, F.lit(0))
 
 
 def _places(rows: DataFrame, last: Column, step: int) -> DataFrame:
@@ -91,10 +98,10 @@ def _places(rows: DataFrame, last: Column, step: int) -> DataFrame:
     return chunks.select(*keep, "last", F.explode(F.sequence(F.col("at"), F.least(F.col("at") + (CHUNK - step), F.col("last")), F.lit(step))).alias("i"))
 
 
-def shingle_groups(lines: DataFrame, size: int, group: int = STEP) -> DataFrame:
-    """id and s0, s1, ...: hashes of neighbouring shingles, the last repeated to fill a row."""
-    rows = _places(_wide(lines), _last("wide", size), group)
-    return rows.select("id", *(F.xxhash64(F.expr(f"substring(wide, 2 * least(i + {k}, last) + 1, {2 * size})")).alias(f"s{k}") for k in range(group)))
+def shingle_groups(lines: DataFrame, size: int, group: int = STEP, unit: int = 2) -> DataFrame:
+    """id and s0, s1, ...: hashes of neighbouring shingles, the last repeated to fill a row. unit: bytes of a character, 4 for code points."""
+    rows = _places(_wide(lines, unit), _last("wide", size, unit), group)
+    return rows.select("id", *(F.xxhash64(F.expr(f"substring(wide, {unit} * least(i + {k}, last) + 1, {unit * size})")).alias(f"s{k}") for k in range(group)))
 
 
 def signatures(lines: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
@@ -137,6 +144,31 @@ def agreement(n: int, a: str, b: str) -> Column:
     return F.lit(n) - differ
 
 
+def bitmaps(lines: DataFrame, size: int) -> DataFrame:
+    """id, the bitmap of a line's shingles (map) and how many places they have (places)."""
+    of = range(STEP)
+    found = shingle_groups(lines, size, unit=4)
+    found = found.select("id", *(F.expr(f"cast(pmod(shiftright(s{k}, 6), {WORDS}) as int)").alias(f"at{k}") for k in of), *(F.expr(f"shiftleft(1L, cast(s{k} & 63 as int))").alias(f"bit{k}") for k in of))
+    words = [F.bit_or(F.expr(" | ".join(f"if(at{k} = {w}, bit{k}, 0L)" for k in of))).alias(f"w{w}") for w in range(WORDS)]
+    found = found.groupBy("id").agg(*words).select("id", F.array(*(f"w{w}" for w in range(WORDS))).alias("map"))
+    return found.join(lines.select("id", (F.greatest(F.length("line") - size, F.lit(0)) + 1).alias("places")), "id")
+
+
+def may_be_near(threshold: float, a: str, b: str) -> Column:
+    """Whether the bitmaps and places in columns a, a_places, b and b_places allow the threshold; never false for a pair that reaches it.
+
+    Of sets of x and y shingles, d of which are in one alone, (x + y - d) / (x + y + d) are shared;
+    d is no less than the bits that differ, x and y no more than the places.
+    """
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    return differ * (1 + threshold) <= (F.col(f"{a}_places") + F.col(f"{b}_places")) * (1 - threshold) + 1e-6
+
+
+def _mapped(rows: DataFrame, maps: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with the bitmap and places of the line in column key."""
+    return rows.join(maps.select(F.col("id").alias(key), F.col("map").alias(name), F.col("places").alias(f"{name}_places")), key)
+
+
 def _with_heads(rows: DataFrame) -> DataFrame:
     """rows(g, id) with the group's least line (head) and number of lines (n); groups of one line go."""
     heads = rows.groupBy("g").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
@@ -161,11 +193,12 @@ def _sketched(rows: DataFrame, sig: DataFrame, n: int, key: str, prefix: str) ->
     return rows.join(sig.select(F.col("id").alias(key), *packed), key)
 
 
-def head_pairs(groups: DataFrame, sig: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of a line and its group's least line whose sketches agree enough."""
+def head_pairs(groups: DataFrame, sig: DataFrame, maps: DataFrame, n: int, threshold: float) -> DataFrame:
+    """Distinct pairs (a, b) of a line and its group's least line whose sketches agree enough and whose bitmaps allow it."""
     pairs = groups.where("id > head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     pairs = _sketched(_sketched(pairs, sig, n, "a", "x"), sig, n, "b", "y")
-    return pairs.where(agreement(n, "x", "y") >= least_agreement(n, threshold)).select("a", "b")
+    pairs = pairs.where(agreement(n, "x", "y") >= least_agreement(n, threshold)).select("a", "b")
+    return _mapped(_mapped(pairs, maps, "a", "u"), maps, "b", "v").where(may_be_near(threshold, "u", "v")).select("a", "b")
 
 
 def open_rows(shared: DataFrame, found: DataFrame) -> DataFrame:
@@ -182,18 +215,38 @@ def open_rows(shared: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(of, "g").select("g", "id", "component", (F.col("component") != F.col("largest")).alias("open"), "bi", "bj")
 
 
+def _sides(rows: DataFrame, n: int, at_one: list[Column], at_two: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """Lines outside of their bucket's largest component (a), and all lines (b), with their places; both with sketches and bitmaps."""
+    packed = range(-(-n // PACKED))
+    one = rows.where("open").select("g", *at_one, F.col("id").alias("a"), F.col("component").alias("ca"), *(f"x{k}" for k in packed), F.col("w").alias("u"), F.col("w_places").alias("u_places"))
+    two = rows.select("g", *at_two, F.col("id").alias("b"), F.col("component").alias("cb"), *(F.col(f"x{k}").alias(f"y{k}") for k in packed), F.col("w").alias("v"), F.col("w_places").alias("v_places"))
+    return one, two
+
+
+def _near(n: int, threshold: float) -> Column:
+    return (F.col("ca") != F.col("cb")) & (agreement(n, "x", "y") >= least_agreement(n, threshold)) & may_be_near(threshold, "u", "v")
+
+
+def _block(c: str, *of) -> Column:
+    return F.pmod(F.xxhash64("id", "g", *of), F.col(c)).cast("int")
+
+
+def turn_pairs(rows: DataFrame, known: DataFrame, n: int, threshold: float, turn: int) -> DataFrame:
+    """Distinct pairs (a, b) as open_pairs has them, but a line meets one block of its bucket alone, and is paired with the likeliest there."""
+    one, two = _sides(rows, n, [_block("bj", F.lit(turn)).alias("j")], [_block("bj").alias("j")])
+    met = one.join(two, ["g", "j"]).where(_near(n, threshold))
+    met = met.select("g", F.col("a").alias("of"), agreement(n, "x", "y").alias("n"), F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).join(known, ["a", "b"], "left_anti")
+    return met.groupBy("g", "of").agg(F.max(F.struct("n", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+
+
 def open_pairs(rows: DataFrame, known: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of different components that share a bucket, agree enough and aren't known. rows: open_rows with sketches, written.
+    """Distinct pairs (a, b) of different components that share a bucket, may be near and aren't known. rows: open_rows with sketches and bitmaps, written.
 
     Lines outside of a bucket's largest component meet all its lines, in blocks.
     """
-    place = lambda c: F.pmod(F.xxhash64("id", "g"), F.col(c)).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    packed = range(-(-n // PACKED))
-    one = rows.where("open").select("g", place("bi").alias("i"), every("bj").alias("j"), F.col("id").alias("a"), F.col("component").alias("ca"), *(f"x{k}" for k in packed))
-    two = rows.select("g", every("bi").alias("i"), place("bj").alias("j"), F.col("id").alias("b"), F.col("component").alias("cb"), *(F.col(f"x{k}").alias(f"y{k}") for k in packed))
-    near = (F.col("ca") != F.col("cb")) & (agreement(n, "x", "y") >= least_agreement(n, threshold))
-    pairs = one.join(two, ["g", "i", "j"]).where(near)
+    one, two = _sides(rows, n, [_block("bi").alias("i"), every("bj").alias("j")], [every("bi").alias("i"), _block("bj").alias("j")])
+    pairs = one.join(two, ["g", "i", "j"]).where(_near(n, threshold))
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(known, ["a", "b"], "left_anti")
 
 
@@ -248,18 +301,26 @@ def components(lines: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int
     common.drop_path(spark, sig_path)
     some, some_path = common.materialize(known.join(lines.select("id", "line"), "id"), "shared-lines", n_lines, compression="zstd")
     common.drop_path(spark, known_path)
+    maps, maps_path = common.materialize(bitmaps(some, size), "bitmaps", n_lines)
     fine, fine_path = common.materialize(refined(shared, some), "groups", n_lines)
-    pairs, pairs_path = common.materialize(head_pairs(shared.union(fine), some, n, threshold), "pairs", n_lines)
+    pairs, pairs_path = common.materialize(head_pairs(shared.union(fine), some, maps, n, threshold), "pairs", n_lines)
     n_pairs = pairs.count()
     found = common.connected_components(verified_links(pairs, some, size, threshold), rows=n_pairs)
-    rows, rows_path = common.materialize(_sketched(open_rows(shared, found), some, n, "id", "x"), "open", n_lines)
-    more, more_path = common.materialize(open_pairs(rows, pairs, n, threshold), "pairs", n_lines)
-    if not more.isEmpty():
+    paths = [shared_path, some_path, maps_path, fine_path, pairs_path]
+    for turn in range(TURNS + 1):
+        rows, rows_path = common.materialize(_mapped(_sketched(open_rows(shared, found), some, n, "id", "x"), maps, "id", "w"), "open", n_lines)
+        more = turn_pairs(rows, pairs, n, threshold, turn) if turn < TURNS else open_pairs(rows, pairs, n, threshold)
+        more, more_path = common.materialize(more, "pairs", n_lines)
+        common.drop_path(spark, rows_path)
+        paths.append(more_path)
+        if more.isEmpty():
+            continue
         links = verified_links(more, some, size, threshold)
         if not links.isEmpty():
             edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
             found = common.connected_components(edges, rows=n_pairs)
-    for path in (shared_path, some_path, fine_path, pairs_path, rows_path, more_path):
+        pairs = pairs.union(more)
+    for path in paths:
         common.drop_path(spark, path)
     return found
 

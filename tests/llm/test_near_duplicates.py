@@ -264,6 +264,36 @@ def test_agreement(spark):
     assert line_dedup.least_agreement(24, 0.8) == 11
 
 
+def test_bitmaps_drop_no_near_pair(spark):
+    r = np.random.default_rng(7)
+    rows = []
+    for k in range(400):
+        a = list(r.choice(list("abcdefghij é\U0001f600"), int(r.integers(1, 700))))
+        b = list(a)
+        for at in r.integers(0, len(a), int(r.integers(0, 12))):
+            b[at] = "?"
+        rows += [(2 * k, "".join(a)), (2 * k + 1, "".join(b) + "x" * int(r.integers(0, 30)))]
+    df = spark.createDataFrame(rows, "id long, line string")
+    maps = line_dedup.bitmaps(df, 8)
+    both = line_dedup._mapped(line_dedup._mapped(spark.range(400).select((2 * F.col("id")).alias("a"), (2 * F.col("id") + 1).alias("b")), maps, "a", "u"), maps, "b", "v")
+    found = {x["a"]: x["m"] for x in both.select("a", line_dedup.may_be_near(0.8, "u", "v").alias("m")).collect()}
+    sets = {k: shingles(t) for k, t in rows}
+    share = {k: len(sets[k] & sets[k + 1]) / len(sets[k] | sets[k + 1]) for k in range(0, 800, 2)}
+    assert all(found[k] for k, x in share.items() if x >= 0.8) and sum(x >= 0.8 for x in share.values()) > 50
+    assert not any(found[k] for k, x in share.items() if x < 0.6) and sum(x < 0.6 for x in share.values()) > 50
+
+
+def test_few_pairs_are_verified(spark, monkeypatch):
+    """In families of variants, most of which are not near each other, few pairs but the near ones are verified."""
+    seen, real = [], line_dedup.verified_links
+    monkeypatch.setattr(line_dedup, "verified_links", lambda pairs, *a: (seen.append(pairs.count()), real(pairs, *a))[1])
+    lines = list(families(np.random.default_rng(0)))
+    assert check_lines(spark, dict(enumerate(lines))) == 0
+    sets = [shingles(x) for x in dict.fromkeys(lines)]
+    near = sum(len(a & b) >= 0.8 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    assert sum(seen) < 2 * near + len(sets), (seen, near)
+
+
 # Nearest neighbours.
 def test_hilbert_is_a_curve():
     for dims, bits in ((2, 3), (3, 2)):
