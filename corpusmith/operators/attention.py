@@ -15,7 +15,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TILE, QUERIES = 1024, 256  # keys of a tile, queries that meet it at once
+#: Keys of a tile, and queries of the block that meets it. What is shuffled falls with both: a key goes to each block of its group, a query and its states to each tile.
+TILE, QUERIES = 8192, 8192
+KEYS_AT_ONCE, QUERIES_AT_ONCE = 1024, 256  # whose logits are held at a time
 FAN = 32  # states that are combined at a time
 
 STATE = "struct<top:array<double>,mass:array<double>,memory:array<double>,value:array<array<double>>>"
@@ -32,26 +34,46 @@ def _matrix(column: pa.ChunkedArray, heads: int) -> np.ndarray:
     return rows.transpose(1, 0, 2)
 
 
+def _ends(rows: int, width: int) -> pa.Array:
+    return pa.array(np.arange(rows + 1, dtype=np.int32) * width)
+
+
+def _lists(v: np.ndarray) -> pa.Array:
+    """A list for each row of v."""
+    return pa.ListArray.from_arrays(_ends(*v.shape), pa.array(np.ascontiguousarray(v).reshape(-1)))
+
+
 def _states(heads: int, kv_heads: int, causal: bool):
     def run(rows: pa.Table) -> pa.Table:
         q, k = (rows.filter(pc.equal(rows.column("is_key"), x)) for x in (False, True))
         if not len(q) or not len(k):  # places are hashed, so a tile may be empty
             return q.select(["grp", "id", "tile"]).slice(0, 0).append_column("state", pa.array([], ARROW_STATE))
         query, key, value = _matrix(q.column("vec"), heads), _matrix(k.column("vec"), kv_heads), _matrix(k.column("value"), kv_heads)
-        share = heads // kv_heads
-        logits = np.stack([query[h] @ key[h // share].T for h in range(heads)]) / np.sqrt(query.shape[2])
-        if causal:
-            late = k.column("pos").to_numpy()[None, :] > q.column("pos").to_numpy()[:, None]
-            logits = np.where(late[None], -np.inf, logits)
-        top = logits.max(axis=2)
-        weights = np.exp(logits - np.where(np.isfinite(top), top, 0)[:, :, None])
-        memory = weights @ np.asarray(k.column("memory").to_numpy(zero_copy_only=False), np.float64)
-        sums = np.stack([weights[h] @ value[h // share] for h in range(heads)])
+        share, n = heads // kv_heads, len(q)
+        top = np.full((heads, n), -np.inf)
+        mass, memory, sums = np.zeros((heads, n)), np.zeros((heads, n)), np.zeros((heads, n, value.shape[2]))
+        pos_q, pos_k = q.column("pos").to_numpy(), k.column("pos").to_numpy()
+        of_memory = np.asarray(k.column("memory").to_numpy(zero_copy_only=False), np.float64)
+        for a in range(0, n, QUERIES_AT_ONCE):
+            for b in range(0, len(k), KEYS_AT_ONCE):
+                x, y = slice(a, a + QUERIES_AT_ONCE), slice(b, b + KEYS_AT_ONCE)
+                logits = np.stack([query[h, x] @ key[h // share, y].T for h in range(heads)]) / np.sqrt(query.shape[2])
+                if causal:
+                    logits = np.where((pos_k[None, y] > pos_q[x, None])[None], -np.inf, logits)
+                new = np.maximum(top[:, x], logits.max(axis=2))
+                base = np.where(np.isfinite(new), new, 0)
+                old, weights = np.exp(top[:, x] - base), np.exp(logits - base[:, :, None])
+                mass[:, x] = mass[:, x] * old + weights.sum(axis=2)
+                memory[:, x] = memory[:, x] * old + weights @ of_memory[y]
+                sums[:, x] = sums[:, x] * old[:, :, None] + np.stack([weights[h] @ value[h // share, y] for h in range(heads)])
+                top[:, x] = new
         seen = np.isfinite(top).any(axis=0)
-        out = [{"top": t, "mass": m, "memory": r, "value": v} for t, m, r, v, s in zip(top.T.tolist(), weights.sum(axis=2).T.tolist(), memory.T.tolist(), sums.transpose(1, 0, 2).tolist(), seen, strict=True) if s]
+        lists = lambda v: _lists(v[:, seen].T)
+        values = _lists(sums[:, seen].transpose(1, 0, 2).reshape(-1, sums.shape[2]))
+        state = pa.StructArray.from_arrays([lists(top), lists(mass), lists(memory), pa.ListArray.from_arrays(_ends(int(seen.sum()), heads), values)], fields=list(ARROW_STATE))
         cols = {"grp": q.column("grp"), "id": q.column("id"), "tile": q.column("tile")}
         kept = {c: v.filter(pa.array(seen)) for c, v in cols.items()}
-        return pa.table({**kept, "state": pa.array(out, ARROW_STATE)})
+        return pa.table({**kept, "state": state})
 
     return run
 
@@ -96,10 +118,9 @@ def attention(queries: DataFrame, keys: DataFrame, heads: int = 1, kv_heads: int
     sizes = count(keys, tile, "tiles").join(count(queries, QUERIES, "blocks"), "grp")
     place = lambda n: F.pmod(F.xxhash64("id", F.lit(3)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    double = lambda c: F.col(c).cast("array<double>").alias(c)
-    none = F.lit(None)
-    q = queries.join(sizes, "grp").select("grp", "id", "pos", double("vec"), none.cast("array<double>").alias("value"), none.cast("boolean").alias("memory"), place("blocks").alias("block"), every("tiles").alias("tile"), F.lit(False).alias("is_key"))
-    k = keys.join(sizes, "grp").select("grp", "id", "pos", double("vec"), double("value"), F.coalesce("memory", F.lit(False)).alias("memory"), every("blocks").alias("block"), place("tiles").alias("tile"), F.lit(True).alias("is_key"))
+    none = F.lit(None)  # vectors travel in their own type and are made double where they are multiplied
+    q = queries.join(sizes, "grp").select("grp", "id", "pos", "vec", none.cast(keys.schema["value"].dataType).alias("value"), none.cast("boolean").alias("memory"), place("blocks").alias("block"), every("tiles").alias("tile"), F.lit(False).alias("is_key"))
+    k = keys.join(sizes, "grp").select("grp", "id", "pos", "vec", "value", F.coalesce("memory", F.lit(False)).alias("memory"), every("blocks").alias("block"), place("tiles").alias("tile"), F.lit(True).alias("is_key"))
     kind = lambda c: queries.schema[c].dataType.simpleString()
     rows = q.union(k).repartition("grp", "block", "tile")
     states = rows.groupBy("grp", "block", "tile").applyInArrow(_states(heads, kv_heads, causal), f"grp {kind('grp')}, id {kind('id')}, tile int, state {STATE}")

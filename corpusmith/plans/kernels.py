@@ -253,7 +253,7 @@ ATTENTION_SQL = (
 @query("attention_demo", ATTENTION_SQL)
 def attention_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Causal attention within a label, of one head."""
-    e = vectors(spark, sf_dir).select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.col("v").alias("vec"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("label").alias("grp"), F.col("vec_id").alias("id"), F.col("vec_id").alias("pos"), F.col("embedding").alias("vec"))
     found = attention.attention(e, e.withColumns({"value": F.col("vec"), "memory": F.lit(False)}), causal=True)
     return found.select(F.col("id").alias("vec_id"), F.round(F.get(F.get("out", 0), 0), 6).alias("out"))
 

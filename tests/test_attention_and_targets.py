@@ -48,6 +48,22 @@ def test_queries_before_all_keys_have_no_row(spark):
     assert [(r["id"], r["out"], r["memory_share"]) for r in attention.attention(queries, keys, causal=True).collect()] == [(2, [[2.0]], [0.0])]
 
 
+def test_keys_go_to_few_blocks(spark, monkeypatch):
+    """A group of some thousand rows is one block and one tile, whose logits are held in parts."""
+    monkeypatch.setattr(attention, "KEYS_AT_ONCE", 300)
+    monkeypatch.setattr(attention, "QUERIES_AT_ONCE", 100)
+    r = np.random.default_rng(2)
+    n, w = 1500, 4
+    q, v = r.normal(size=(n, w)).astype(np.float32), r.normal(size=(n, w)).astype(np.float32)
+    rows = spark.createDataFrame([(1, i, i, q[i].tolist(), v[i].tolist(), i % 3 == 0) for i in range(n)], "grp int, id int, pos long, vec array<float>, value array<float>, memory boolean")
+    found = attention.attention(rows.select("grp", "id", "pos", "vec"), rows, 2, 2, True)
+    got = {x["id"]: x for x in found.collect()}
+    out, share = plain(q.astype(float), q.astype(float), v.astype(float), np.arange(n), np.arange(n), np.arange(n) % 3 == 0, 2, 2, True)
+    assert sorted(got) == list(range(n))
+    assert all(np.allclose(np.array(got[i]["out"]), out[i]) and np.allclose(got[i]["memory_share"], share[i]) for i in range(n))
+    assert attention.QUERIES >= 4096 and attention.TILE >= 4096  # a key is shuffled once a block of queries, a query once a tile
+
+
 def test_no_rows_of_pairs(spark):
     """What is shuffled are queries, keys and states."""
     e = spark.range(2000).select((F.col("id") % 1).alias("grp"), "id", F.col("id").alias("pos"), F.array(F.rand(1), F.rand(2)).alias("vec"))
