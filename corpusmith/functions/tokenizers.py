@@ -9,11 +9,14 @@ encoded whole, special tokens' strings as ordinary text.
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +38,8 @@ class Tokenizer:
 @lru_cache(maxsize=4)
 def _library(t: Tokenizer):
     if t.path.endswith(".json"):
+        # A task has one core; the library would start a thread for each of the machine, with memory of its own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Library
 
         tok = Library.from_file(t.path)
@@ -80,13 +85,26 @@ def _lots(texts: list[str | None]) -> Iterator[list[str]]:
         yield lot
 
 
-def _appended(df: DataFrame, made: dict[str, T.DataType], run) -> DataFrame:
-    """df with further columns of Arrow batches. run: a batch to arrays."""
+def _cut(batch: pa.RecordBatch, texts: list[str]) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about BATCH_BYTES of its text columns, so that what is made of them stays as small whatever Spark's batches hold."""
+    sizes = sum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(c))), 0).cast(pa.int64())) for c in texts)
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        done = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + BATCH_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _appended(df: DataFrame, made: dict[str, T.DataType], texts: list[str], run) -> DataFrame:
+    """df with further columns of Arrow batches. run: a batch to arrays; texts: the columns that it reads."""
 
     def batches(found):
-        for batch in found:
-            arrays = [*batch.columns, *run(batch)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *made])
+        for whole in found:
+            for batch in _cut(whole, texts):
+                arrays = [*batch.columns, *run(batch)]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *made])
 
     return df.mapInArrow(batches, T.StructType([*df.schema.fields, *(T.StructField(c, t) for c, t in made.items())]))
 
@@ -100,7 +118,22 @@ def token_lengths(df: DataFrame, lengths: dict[str, tuple[str, Tokenizer]]) -> D
             texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
             yield pa.array([len(ids) for lot in _lots(texts) for ids in encode(lot)], pa.int64())
 
-    return _appended(df, {c: T.LongType() for c in lengths}, run)
+    return _appended(df, {c: T.LongType() for c in lengths}, list(dict.fromkeys(c for c, _ in lengths.values())), run)
+
+
+def _listed(sizes: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), pa.int32()), values)
+
+
+def token_ids(df: DataFrame, text: str, tokenizer: Tokenizer, ids: str = "ids") -> DataFrame:
+    """df with each text's ids; a null text has none."""
+
+    def run(batch):
+        encode = encoder(tokenizer)
+        found = [np.asarray(x, np.int32) for lot in _lots(batch.column(batch.schema.get_field_index(text)).to_pylist()) for x in encode(lot)]
+        yield _listed([len(x) for x in found], pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+
+    return _appended(df, {ids: T.ArrayType(T.IntegerType())}, [text], run)
 
 
 def token_offsets(df: DataFrame, text: str, tokenizer: Tokenizer, ids: str = "ids", offsets: str = "offsets") -> DataFrame:
@@ -111,12 +144,16 @@ def token_offsets(df: DataFrame, text: str, tokenizer: Tokenizer, ids: str = "id
 
     def run(batch):
         texts = batch.column(batch.schema.get_field_index(text)).to_pylist()
-        found = [e for lot in _lots(texts) for e in _library(tokenizer).encode_batch(lot, add_special_tokens=tokenizer.special)]
-        yield pa.array([e.ids for e in found], pa.list_(pa.int32()))
-        spans = [[{"start": a, "end": b} for a, b in e.offsets] for e in found]
-        yield pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
-
-    return _appended(df, {ids: T.ArrayType(T.IntegerType()), offsets: T.ArrayType(place)}, run)
+        found = []
+        for lot in _lots(texts):  # ids and places as numbers, since an encoding holds its tokens' strings as well
+            for e in _library(tokenizer).encode_batch(lot, add_special_tokens=tokenizer.special):
+                found.append((np.asarray(e.ids, np.int32), np.asarray(e.offsets, np.int32).reshape(-1, 2)))
+        sizes = [len(x) for x, _ in found]
+        places = np.concatenate([np.zeros((0, 2), np.int32), *(y for _, y in found)])
+        yield _listed(sizes, pa.array(np.concatenate([np.zeros(0, np.int32), *(x for x, _ in found)])))
+        yield _listed(sizes, pa.StructArray.from_arrays([pa.array(places[:, k].copy()) for k in (0, 1)], ["start", "end"]))
+
+    return _appended(df, {ids: T.ArrayType(T.IntegerType()), offsets: T.ArrayType(place)}, [text], run)
 
 
 def within_budget(df: DataFrame, prompt: str, answer: str, profiler: Tokenizer, composer: Tokenizer, most_profiler: int = 6144, most_composer: int = 6144, render=None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmith.functions.text import or_empty, strip
-from corpusmith.functions.tokenizers import Tokenizer, token_lengths, token_offsets
+from corpusmith.functions.tokenizers import Tokenizer, token_ids, token_lengths, token_offsets
 from corpusmith.operators import spans
 from corpusmith.operators.batching import pad_truncate
 from corpusmith.operators.chat import CHATML, ChatTemplate, training_text, user_prompt
@@ -16,11 +16,11 @@ HIDDEN = -100
 
 
 def tokenized(df: DataFrame, prompt: str, answer: str, tokenizer: Tokenizer, template: ChatTemplate = CHATML) -> DataFrame:
-    """df with ids and offsets of a request with its reply, and prompt_length: how many tokens the request alone has."""
+    """df with ids of a request with its reply, and prompt_length: how many tokens the request alone has."""
     p, a = strip(or_empty(F.col(prompt))), strip(or_empty(F.col(answer)))
     rows = df.select("*", user_prompt(p, template).alias("_asked"), training_text(p, a, template).alias("_full"))
-    rows = token_lengths(rows, {"prompt_length": ("_asked", tokenizer)})
-    return token_offsets(rows, "_full", tokenizer).drop("_asked", "_full")
+    rows = token_lengths(rows, {"prompt_length": ("_asked", tokenizer)}).drop("_asked")
+    return token_ids(rows, "_full", tokenizer).drop("_full")
 
 
 def collated(df: DataFrame, key: str, prompt: str, answer: str, tokenizer: Tokenizer, batch_size: int, limit: int = 6144, pad: int = 0, template: ChatTemplate = CHATML) -> DataFrame:
@@ -29,7 +29,7 @@ def collated(df: DataFrame, key: str, prompt: str, answer: str, tokenizer: Token
     Rows are batched by key. A prompt's tokens and padding are hidden from the labels; a text of
     over limit tokens is cut, as its labels are.
     """
-    rows = tokenized(df, prompt, answer, tokenizer, template).drop("offsets")
+    rows = tokenized(df, prompt, answer, tokenizer, template)
     rows = with_row_index(rows, key, name="_place").withColumn("batch", batch_id(F.col("_place"), batch_size))
     rows = rows.withColumn("_n", F.least(F.size("ids"), F.lit(limit)))
     rows = pad_truncate(rows, "ids", "batch", limit, pad)

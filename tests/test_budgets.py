@@ -31,6 +31,19 @@ def test_lengths_are_the_libraries(spark):
     assert all(r["a"] == len(plain.encode(r["text"], add_special_tokens=False).ids) == r["c"] for r in rows if r["doc_id"] >= 0)
 
 
+def test_batches_are_cut(monkeypatch):
+    """Whatever Spark's batches hold, about BATCH_BYTES of text are encoded and held at a time."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tk, "BATCH_BYTES", 100)
+    texts = ["x" * n for n in (40, 70, 0, 300, 1, 99, 1)] + [None]
+    batch = pa.record_batch({"k": list(range(8)), "t": texts})
+    parts = list(tk._cut(batch, ["t"]))
+    assert [k for p in parts for k in p.column(0).to_pylist()] == list(range(8)) and len(parts) == 5
+    assert all(p.num_rows == 1 or sum(len(x or "") for x in p.column(1).to_pylist()) <= 100 for p in parts)
+    assert list(tk._cut(batch.slice(0, 0), ["t"])) == []
+
+
 def test_offsets(spark):
     for r in tk.token_offsets(documents(spark), "text", BYTES).collect():
         text = r["text"] or ""
