@@ -263,3 +263,24 @@ def test_indexed_queries_apart(spark, apart, name, monkeypatch):
     names = [d[0] for d in ran.description]
     found = QUERIES[name](spark, sf)
     assert rows(found.columns, found.collect()) == rows(names, ran.fetchall())
+
+
+def test_ragged_transpose_shuffles_no_row_for_a_target(spark):
+    from corpusmith.operators import batching
+
+    rows = [(1, 5, ["a", None, "c"]), (1, 2, ["x"]), (1, 3, None), (1, 4, []), (2, 9, []), (None, 1, ["n"]), (3, 1, ["q", "r"]), (3, 1, ["b"])]
+    found = batching.ragged_transpose(spark.createDataFrame(rows, "b int, k int, t array<string>"), "b", "k", "t")
+    assert found.columns == ["b", "target_idx", "active", "first_target", "last_target"]
+    assert {tuple(r) for r in found.collect()} == {(1, 0, 2, "x", "a"), (1, 1, 1, None, None), (1, 2, 1, "c", "c"), (None, 0, 1, "n", "n"), (3, 0, 2, "b", "q"), (3, 1, 1, "r", "r")}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("Exchange")  # targets are listed after the shuffle
+
+
+def test_segment_spans_are_numbers(spark):
+    from corpusmith.operators import spans
+
+    texts = [None, "", "One line here.\n\nHead:\nwhat follows it is this. " + "And a long sentence. " * 9, "é \U0001f600 b" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    found = {r["k"]: [tuple(x) for x in r["s"]] for r in df.select("k", spans.segment_spans("t").alias("s")).collect()}
+    assert found == {k: spans.segment(t) for k, t in enumerate(texts)}
+    assert spans.segment_spans.evalType == 250  # Arrow arrays, no dict for each span
