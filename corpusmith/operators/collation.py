@@ -29,8 +29,9 @@ def collated(df: DataFrame, key: str, prompt: str, answer: str, tokenizer: Token
     Rows are batched by key. A prompt's tokens and padding are hidden from the labels; a text of
     over limit tokens is cut, as its labels are.
     """
-    rows = tokenized(df, prompt, answer, tokenizer, template)
-    rows = with_row_index(rows, key, name="_place").withColumn("batch", batch_id(F.col("_place"), batch_size))
+    # Rows are numbered before they are encoded: numbering reads its input several times.
+    rows = with_row_index(df, key, name="_place").withColumn("batch", batch_id(F.col("_place"), batch_size))
+    rows = tokenized(rows, prompt, answer, tokenizer, template)
     rows = rows.withColumn("_n", F.least(F.size("ids"), F.lit(limit)))
     rows = pad_truncate(rows, "ids", "batch", limit, pad)
     real = F.transform("ids", lambda x, i: (i < F.col("_n")).cast("int"))
