@@ -17,8 +17,10 @@ components is lost. A comparison first counts equal minima in
 two sketches (a byte of each minimum) and drops the pair where a pair at the threshold would
 have fewer with a probability below ``MISS``. Then two bitmaps (a bit of ``WORDS * 64`` for
 each shingle) are compared: bits that differ are as many shingles that differ at least, so a
-pair with more of them than the threshold allows is dropped without loss. What is left is
-verified by the exact Jaccard similarity of the shingle sets. Of each component the earliest line (least doc_id, then line
+pair with more of them than the threshold allows is dropped without loss. In buckets that are
+compared in blocks, lines of ``FINE_FROM`` shingles or more have a second bitmap of ``FINE``
+times the size, and their different shingles (64-bit hashes) are counted, since the first one
+fills up and repetitive lines have fewer shingles than places. What is left is verified by the exact Jaccard similarity of the shingle sets. Of each component the earliest line (least doc_id, then line
 number) is kept.
 
 Recall: at 3 rows and 8 bands, a pair of similarity 0.8 shares a bucket with probability
@@ -51,12 +53,15 @@ CHUNK = 8192  # shingles of a line that are listed at a time
 STEP = 4  # neighbouring shingles that are hashed in one row
 GROUP = 16  # lines of a bucket beyond which its groups that share another band have heads as well
 TURNS = 2  # in which a line meets one block
-BLOCK = 64  # lines of a block that are compared pair by pair
+TURN_BLOCK = 64  # lines that a line meets in a turn
+BLOCK = 256  # lines of a block that are compared pair by pair
 PAIRS_A_TASK = 4096  # that are verified
 LONG = 500_000  # characters of a line whose shingles are no longer listed in one row
 MISS = 1e-4
 PACKED = 6  # bytes of a sketch in one long
 WORDS = 32  # longs of a bitmap
+FINE = 8  # times as many has the second bitmap of a line
+FINE_FROM = 256  # of at least so many shingles
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -145,23 +150,40 @@ def agreement(n: int, a: str, b: str) -> Column:
 
 
 def bitmaps(lines: DataFrame, size: int) -> DataFrame:
-    """id, the bitmap of a line's shingles (map) and how many places they have (places)."""
-    of = range(STEP)
-    found = shingle_groups(lines, size, unit=4)
-    found = found.select("id", *(F.expr(f"cast(pmod(shiftright(s{k}, 6), {WORDS}) as int)").alias(f"at{k}") for k in of), *(F.expr(f"shiftleft(1L, cast(s{k} & 63 as int))").alias(f"bit{k}") for k in of))
+    """id, the bitmap of a line's shingles (map), how many they are at most (places) and the second bitmap of a long line (fine).
+
+    A long line's different shingles are counted, since one that repeats itself has many places and few shingles.
+    """
+    places = F.greatest(F.length("line") - size, F.lit(0)) + 1
+    word, bit = (lambda s: f"pmod(shiftright({s}, 6), {WORDS})"), (lambda s: f"shiftleft(1L, cast({s} & 63 as int))")
+    of, listed = range(STEP), F.array(*(f"w{w}" for w in range(WORDS)))
+    short = shingle_groups(lines.where(places < FINE_FROM), size, unit=4)
+    short = short.select("id", *(F.expr(f"cast({word(f's{k}')} as int)").alias(f"at{k}") for k in of), *(F.expr(bit(f"s{k}")).alias(f"bit{k}") for k in of))
     words = [F.bit_or(F.expr(" | ".join(f"if(at{k} = {w}, bit{k}, 0L)" for k in of))).alias(f"w{w}") for w in range(WORDS)]
-    found = found.groupBy("id").agg(*words).select("id", F.array(*(f"w{w}" for w in range(WORDS))).alias("map"))
-    return found.join(lines.select("id", (F.greatest(F.length("line") - size, F.lit(0)) + 1).alias("places")), "id")
+    short = short.groupBy("id").agg(*words).select("id", listed.alias("map"), F.lit(None).cast("array<bigint>").alias("fine"), F.lit(None).cast("long").alias("n"))
+    # A long line's shingles are dealt to FINE bitmaps, which make its second one; their union is its first.
+    long = shingle_groups(lines.where(places >= FINE_FROM).repartition("id"), size, unit=4).select("id", F.explode(F.array(*(f"s{k}" for k in of))).alias("s")).distinct()
+    long = long.select("id", F.expr(f"cast(pmod(shiftright(s, 6), {FINE * WORDS}) div {WORDS} as int)").alias("part"), F.expr(f"cast({word('s')} as int)").alias("at"), F.expr(bit("s")).alias("bit"))
+    long = long.groupBy("id", "part").agg(*(F.bit_or(F.expr(f"if(at = {w}, bit, 0L)")).alias(f"w{w}") for w in range(WORDS)), F.count("*").alias("n"))
+    long = long.groupBy("id").agg(*(F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("part", listed))).alias("parts"))
+    none = F.array_repeat(F.lit(0).cast("long"), WORDS)
+    fine = F.flatten(F.array(*(F.coalesce(F.try_element_at("parts", F.lit(k)), none) for k in range(FINE))))
+    found = short.union(long.select("id", listed, fine, "n")).join(lines.select("id", places.alias("places")), "id")
+    return found.select("id", "map", "fine", F.coalesce("n", "places").alias("places"))
 
 
 def may_be_near(threshold: float, a: str, b: str) -> Column:
     """Whether the bitmaps and places in columns a, a_places, b and b_places allow the threshold; never false for a pair that reaches it.
 
     Of sets of x and y shingles, d of which are in one alone, (x + y - d) / (x + y + d) are shared;
-    d is no less than the bits that differ, x and y no more than the places.
+    d is no less than the bits that differ, x and y no more than the places. For a pair's second bitmaps the same holds.
     """
+    return _allow(threshold, a, b, F.col(f"{a}_places") + F.col(f"{b}_places"))
+
+
+def _allow(threshold: float, a: str, b: str, places: Column) -> Column:
     differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    return differ * (1 + threshold) <= (F.col(f"{a}_places") + F.col(f"{b}_places")) * (1 - threshold) + 1e-6
+    return differ * (1 + threshold) <= places * (1 - threshold) + 1e-6
 
 
 def _mapped(rows: DataFrame, maps: DataFrame, key: str, name: str) -> DataFrame:
@@ -169,6 +191,11 @@ def _mapped(rows: DataFrame, maps: DataFrame, key: str, name: str) -> DataFrame:
     return rows.join(maps.select(F.col("id").alias(key), F.col("map").alias(name), F.col("places").alias(f"{name}_places")), key)
 
 
+def _with_fine(rows: DataFrame, maps: DataFrame) -> DataFrame:
+    """rows with both bitmaps and places of the line in column id, in w, w_places and fine."""
+    return _mapped(rows, maps, "id", "w").join(maps.select("id", "fine"), "id")
+
+
 def _with_heads(rows: DataFrame) -> DataFrame:
     """rows(g, id) with the group's least line (head) and number of lines (n); groups of one line go."""
     heads = rows.groupBy("g").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
@@ -202,7 +229,7 @@ def head_pairs(groups: DataFrame, sig: DataFrame, maps: DataFrame, n: int, thres
 
 
 def open_rows(shared: DataFrame, found: DataFrame) -> DataFrame:
-    """g, id, component, whether it is outside of the bucket's largest component, and the bucket's numbers of blocks (bi, bj).
+    """g, id, component, whether it is outside of the bucket's largest component, and the bucket's numbers of blocks (bi, bj; bt in a turn).
 
     Of buckets of several components; a bucket of two lines is its head pair, which has been compared.
     """
@@ -211,20 +238,21 @@ def open_rows(shared: DataFrame, found: DataFrame) -> DataFrame:
     largest = F.max_by("component", F.struct("size", -F.col("component")))
     of = counts.groupBy("g").agg(F.sum("size").alias("n"), F.max("size").alias("most"), F.count("*").alias("parts"), largest.alias("largest")).where("parts > 1")
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    of = of.select("g", "largest", blocks(F.col("n") - F.col("most")).alias("bi"), blocks(F.col("n")).alias("bj"))
-    return rows.join(of, "g").select("g", "id", "component", (F.col("component") != F.col("largest")).alias("open"), "bi", "bj")
+    of = of.select("g", "largest", blocks(F.col("n") - F.col("most")).alias("bi"), blocks(F.col("n")).alias("bj"), F.ceil(F.col("n") / TURN_BLOCK).cast("int").alias("bt"))
+    return rows.join(of, "g").select("g", "id", "component", (F.col("component") != F.col("largest")).alias("open"), "bi", "bj", "bt")
 
 
 def _sides(rows: DataFrame, n: int, at_one: list[Column], at_two: list[Column]) -> tuple[DataFrame, DataFrame]:
     """Lines outside of their bucket's largest component (a), and all lines (b), with their places; both with sketches and bitmaps."""
     packed = range(-(-n // PACKED))
-    one = rows.where("open").select("g", *at_one, F.col("id").alias("a"), F.col("component").alias("ca"), *(f"x{k}" for k in packed), F.col("w").alias("u"), F.col("w_places").alias("u_places"))
-    two = rows.select("g", *at_two, F.col("id").alias("b"), F.col("component").alias("cb"), *(F.col(f"x{k}").alias(f"y{k}") for k in packed), F.col("w").alias("v"), F.col("w_places").alias("v_places"))
+    one = rows.where("open").select("g", *at_one, F.col("id").alias("a"), F.col("component").alias("ca"), *(f"x{k}" for k in packed), F.col("w").alias("u"), F.col("w_places").alias("u_places"), F.col("fine").alias("fu"))
+    two = rows.select("g", *at_two, F.col("id").alias("b"), F.col("component").alias("cb"), *(F.col(f"x{k}").alias(f"y{k}") for k in packed), F.col("w").alias("v"), F.col("w_places").alias("v_places"), F.col("fine").alias("fv"))
     return one, two
 
 
 def _near(n: int, threshold: float) -> Column:
-    return (F.col("ca") != F.col("cb")) & (agreement(n, "x", "y") >= least_agreement(n, threshold)) & may_be_near(threshold, "u", "v")
+    fine = F.coalesce(_allow(threshold, "fu", "fv", F.col("u_places") + F.col("v_places")), F.lit(True))
+    return (F.col("ca") != F.col("cb")) & (agreement(n, "x", "y") >= least_agreement(n, threshold)) & may_be_near(threshold, "u", "v") & fine
 
 
 def _block(c: str, *of) -> Column:
@@ -233,7 +261,7 @@ def _block(c: str, *of) -> Column:
 
 def turn_pairs(rows: DataFrame, known: DataFrame, n: int, threshold: float, turn: int) -> DataFrame:
     """Distinct pairs (a, b) as open_pairs has them, but a line meets one block of its bucket alone, and is paired with the likeliest there."""
-    one, two = _sides(rows, n, [_block("bj", F.lit(turn)).alias("j")], [_block("bj").alias("j")])
+    one, two = _sides(rows, n, [_block("bt", F.lit(turn)).alias("j")], [_block("bt").alias("j")])
     met = one.join(two, ["g", "j"]).where(_near(n, threshold))
     met = met.select("g", F.col("a").alias("of"), agreement(n, "x", "y").alias("n"), F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).join(known, ["a", "b"], "left_anti")
     return met.groupBy("g", "of").agg(F.max(F.struct("n", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
@@ -308,7 +336,7 @@ def components(lines: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int
     found = common.connected_components(verified_links(pairs, some, size, threshold), rows=n_pairs)
     paths = [shared_path, some_path, maps_path, fine_path, pairs_path]
     for turn in range(TURNS + 1):
-        rows, rows_path = common.materialize(_mapped(_sketched(open_rows(shared, found), some, n, "id", "x"), maps, "id", "w"), "open", n_lines)
+        rows, rows_path = common.materialize(_with_fine(_sketched(open_rows(shared, found), some, n, "id", "x"), maps), "open", n_lines)
         more = turn_pairs(rows, pairs, n, threshold, turn) if turn < TURNS else open_pairs(rows, pairs, n, threshold)
         more, more_path = common.materialize(more, "pairs", n_lines)
         common.drop_path(spark, rows_path)

@@ -294,6 +294,26 @@ def test_few_pairs_are_verified(spark, monkeypatch):
     assert sum(seen) < 2 * near + len(sets), (seen, near)
 
 
+def test_long_and_repetitive_lines_are_verified_if_near(spark, monkeypatch):
+    """Bitmaps fill up in long lines, and lines that repeat themselves have fewer shingles than places: neither lets pairs pass that aren't near."""
+    r = np.random.default_rng(11)
+    words = ["".join(r.choice(list("abcdefghijklmnop"), 5)) for _ in range(2000)]
+    lines = []
+    for n, times, of in ((200, 1, 70), (40, 8, 70)):
+        base = list(r.choice(words, n, replace=False))
+        for k in range(of):
+            line = list(base)
+            for at in r.choice(n, n // (60 if k % 10 == 0 else 18) + 1, replace=False):
+                line[at] = str(r.choice(words))
+            lines.append(" ".join(line * times))
+    seen, real = [], line_dedup.verified_links
+    monkeypatch.setattr(line_dedup, "verified_links", lambda pairs, *a: (seen.append(pairs.count()), real(pairs, *a))[1])
+    assert check_lines(spark, dict(enumerate(lines))) == 0
+    sets = [shingles(x) for x in lines]
+    near = sum(len(a & b) >= 0.8 * len(a | b) for k, a in enumerate(sets) for b in sets[:k])
+    assert near > 20 and sum(seen) < 2 * near + 2 * len(sets), (seen, near)
+
+
 # Nearest neighbours.
 def test_hilbert_is_a_curve():
     for dims, bits in ((2, 3), (3, 2)):
