@@ -284,3 +284,21 @@ def test_segment_spans_are_numbers(spark):
     found = {r["k"]: [tuple(x) for x in r["s"]] for r in df.select("k", spans.segment_spans("t").alias("s")).collect()}
     assert found == {k: spans.segment(t) for k, t in enumerate(texts)}
     assert spans.segment_spans.evalType == 250  # Arrow arrays, no dict for each span
+
+
+def test_tokens_are_not_shuffled(spark):
+    """Overlaps are found within a document's row; what is shuffled for targets are pieces of it."""
+    from corpusmith.plans.registry import QUERIES
+
+    plans = {q: QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for q in ("span_sum", "overlap_join_spans", "token_target_max")}
+    assert {q: p.count("Exchange") for q, p in plans.items()} == {"span_sum": 0, "overlap_join_spans": 0, "token_target_max": 1}, plans
+
+
+def test_targets_of_overlapping_spans(spark):
+    tokens = [(0, 3), (3, 3), (4, 9), (9, 10), (12, 12), (13, 20)]
+    marked = [(2, 5, 4), (4, 20, 2), (4, 4, 9), (10, 13, 7), (19, 30, 1)]
+    kind = "k long, t array<struct<start: int, end: int>>, s array<struct<start: int, end: int, target: long>>"
+    df = spark.createDataFrame([(1, tokens, marked), (2, tokens, []), (3, [(0, 0)], marked)], kind)
+    found = sorted(tuple(r) for r in spans.token_targets(df, "k", "t", "s").collect())
+    want = lambda t, s: [max((c for a, b, c in s if a < b and x < y and x < b and y > a), default=None) for x, y in t]
+    assert found == [(k, i, v) for k, t, s in ((1, tokens, marked), (2, tokens, []), (3, [(0, 0)], marked)) for i, v in enumerate(want(t, s))]
