@@ -9,8 +9,9 @@ band. Lines that agree in all minima of a band share a bucket.
 Links. In each bucket, every line is compared with the bucket's least line, and in a bucket of
 over ``GROUP`` lines also with the least of those that share another band; union-find joins
 what is near. In buckets that still have several components, the lines outside of the largest
-meet one block of ``BLOCK`` lines of the bucket, and the likeliest of them is verified; this is
-done ``TURNS`` times, so that most of a large family falls together at little cost. Then the
+meet one block of ``TURN_BLOCK`` lines of the bucket, and the likeliest of them is verified; this is
+done ``TURNS`` times in buckets of several blocks, so that most of a large family falls together
+at little cost. Then the
 lines outside of a bucket's largest component are compared with all of its lines that are of
 other components, in blocks: where links abound, few lines are left, and no link between
 components is lost. A comparison first counts equal minima in
@@ -19,9 +20,10 @@ have fewer with a probability below ``MISS``. Then two bitmaps (a bit of ``WORDS
 each shingle) are compared: bits that differ are as many shingles that differ at least, so a
 pair with more of them than the threshold allows is dropped without loss. In buckets that are
 compared in blocks, lines of ``FINE_FROM`` shingles or more have a second bitmap of ``FINE``
-times the size, and their different shingles (64-bit hashes) are counted, since the first one
-fills up and repetitive lines have fewer shingles than places. What is left is verified by the exact Jaccard similarity of the shingle sets. Of each component the earliest line (least doc_id, then line
-number) is kept.
+times the size, since the first one fills up. Repetitive lines have fewer shingles than places:
+where the second bitmap has clearly fewer bits than the places would set, the different shingles
+(64-bit hashes) are counted. What is left is verified by the exact Jaccard similarity of the
+shingle sets. Of each component the earliest line (least doc_id, then line number) is kept.
 
 Recall: at 3 rows and 8 bands, a pair of similarity 0.8 shares a bucket with probability
 0.997; simulated with these permutations 0.993 at 5 distinct shingles, 0.996 at 10 and more.
@@ -104,9 +106,9 @@ def _places(rows: DataFrame, last: Column, step: int) -> DataFrame:
 
 
 def shingle_groups(lines: DataFrame, size: int, group: int = STEP, unit: int = 2) -> DataFrame:
-    """id and s0, s1, ...: hashes of neighbouring shingles, the last repeated to fill a row. unit: bytes of a character, 4 for code points."""
+    """id, s0, s1, ...: hashes of neighbouring shingles, the last repeated to fill a row, and the place of a line's last one. unit: bytes of a character, 4 for code points."""
     rows = _places(_wide(lines, unit), _last("wide", size, unit), group)
-    return rows.select("id", *(F.xxhash64(F.expr(f"substring(wide, {unit} * least(i + {k}, last) + 1, {unit * size})")).alias(f"s{k}") for k in range(group)))
+    return rows.select("id", *(F.xxhash64(F.expr(f"substring(wide, {unit} * least(i + {k}, last) + 1, {unit * size})")).alias(f"s{k}") for k in range(group)), "last")
 
 
 def signatures(lines: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
@@ -150,26 +152,40 @@ def agreement(n: int, a: str, b: str) -> Column:
 
 
 def bitmaps(lines: DataFrame, size: int) -> DataFrame:
-    """id, the bitmap of a line's shingles (map), how many they are at most (places) and the second bitmap of a long line (fine).
-
-    A long line's different shingles are counted, since one that repeats itself has many places and few shingles.
-    """
+    """id, the bitmap of a line's shingles (map), how many they are at most (places) and the second bitmap of a long line (fine)."""
     places = F.greatest(F.length("line") - size, F.lit(0)) + 1
-    word, bit = (lambda s: f"pmod(shiftright({s}, 6), {WORDS})"), (lambda s: f"shiftleft(1L, cast({s} & 63 as int))")
-    of, listed = range(STEP), F.array(*(f"w{w}" for w in range(WORDS)))
+    word, bit = (lambda s: f"cast(shiftright({s}, 6) & {WORDS - 1} as int)"), (lambda s: f"shiftleft(1L, cast({s} & 63 as int))")
+    of, listed, n = range(STEP), F.array(*(f"w{w}" for w in range(WORDS))), F.max("last").alias("last")
     short = shingle_groups(lines.where(places < FINE_FROM), size, unit=4)
-    short = short.select("id", *(F.expr(f"cast({word(f's{k}')} as int)").alias(f"at{k}") for k in of), *(F.expr(bit(f"s{k}")).alias(f"bit{k}") for k in of))
+    short = short.select("id", "last", *(F.expr(word(f"s{k}")).alias(f"at{k}") for k in of), *(F.expr(bit(f"s{k}")).alias(f"bit{k}") for k in of))
     words = [F.bit_or(F.expr(" | ".join(f"if(at{k} = {w}, bit{k}, 0L)" for k in of))).alias(f"w{w}") for w in range(WORDS)]
-    short = short.groupBy("id").agg(*words).select("id", listed.alias("map"), F.lit(None).cast("array<bigint>").alias("fine"), F.lit(None).cast("long").alias("n"))
+    short = short.groupBy("id").agg(*words, n).select("id", listed.alias("map"), F.lit(None).cast("array<bigint>").alias("fine"), "last")
     # A long line's shingles are dealt to FINE bitmaps, which make its second one; their union is its first.
-    long = shingle_groups(lines.where(places >= FINE_FROM).repartition("id"), size, unit=4).select("id", F.explode(F.array(*(f"s{k}" for k in of))).alias("s")).distinct()
-    long = long.select("id", F.expr(f"cast(pmod(shiftright(s, 6), {FINE * WORDS}) div {WORDS} as int)").alias("part"), F.expr(f"cast({word('s')} as int)").alias("at"), F.expr(bit("s")).alias("bit"))
-    long = long.groupBy("id", "part").agg(*(F.bit_or(F.expr(f"if(at = {w}, bit, 0L)")).alias(f"w{w}") for w in range(WORDS)), F.count("*").alias("n"))
-    long = long.groupBy("id").agg(*(F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)), F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("part", listed))).alias("parts"))
+    long = shingle_groups(lines.where(places >= FINE_FROM).repartition("id"), size, unit=4).select("id", "last", F.explode(F.array(*(f"s{k}" for k in of))).alias("s"))
+    long = long.select("id", "last", F.expr(f"cast(shiftright(s, {5 + WORDS.bit_length()}) & {FINE - 1} as int)").alias("part"), F.expr(word("s")).alias("at"), F.expr(bit("s")).alias("bit"))
+    long = long.groupBy("id", "part").agg(*(F.bit_or(F.expr(f"if(at = {w}, bit, 0L)")).alias(f"w{w}") for w in range(WORDS)), n)
+    long = long.groupBy("id").agg(*(F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)), n, F.map_from_entries(F.collect_list(F.struct("part", listed))).alias("parts"))
     none = F.array_repeat(F.lit(0).cast("long"), WORDS)
     fine = F.flatten(F.array(*(F.coalesce(F.try_element_at("parts", F.lit(k)), none) for k in range(FINE))))
-    found = short.union(long.select("id", listed, fine, "n")).join(lines.select("id", places.alias("places")), "id")
-    return found.select("id", "map", "fine", F.coalesce("n", "places").alias("places"))
+    return short.union(long.select("id", listed, fine, "last")).select("id", "map", "fine", (F.col("last") + 1).alias("places"))
+
+
+def repetitive(maps: DataFrame) -> DataFrame:
+    """Lines with a second bitmap that has clearly fewer bits than different shingles at all their places would set."""
+    bits = FINE * WORDS * 64
+    expected = bits * (1 - F.exp(-F.col("places") / bits))
+    return maps.where(F.aggregate("fine", F.lit(0), lambda t, x: t + F.bit_count(x)) < 0.9 * expected)
+
+
+def counted(maps: DataFrame, lines: DataFrame, size: int) -> tuple[DataFrame, list[str]]:
+    """maps, where places of a repetitive line are the number of its different shingles, and what was written. maps: bitmaps, written."""
+    few, few_path = common.materialize(lines.select("id", "line").join(repetitive(maps).select("id"), "id", "left_semi"), "repetitive", maps.count(), compression="zstd")
+    if few.isEmpty():
+        return maps, [few_path]
+    shingle = F.explode(F.array(*(f"s{k}" for k in range(STEP)))).alias("s")
+    counts = shingle_groups(few, size, unit=4).select("id", shingle).distinct().groupBy("id").agg(F.count("*").cast("int").alias("n"))
+    counts, counts_path = common.materialize(counts, "counts", few.count())
+    return maps.join(counts, "id", "left").withColumn("places", F.coalesce("n", "places")).drop("n"), [few_path, counts_path]
 
 
 def may_be_near(threshold: float, a: str, b: str) -> Column:
@@ -191,11 +207,6 @@ def _mapped(rows: DataFrame, maps: DataFrame, key: str, name: str) -> DataFrame:
     return rows.join(maps.select(F.col("id").alias(key), F.col("map").alias(name), F.col("places").alias(f"{name}_places")), key)
 
 
-def _with_fine(rows: DataFrame, maps: DataFrame) -> DataFrame:
-    """rows with both bitmaps and places of the line in column id, in w, w_places and fine."""
-    return _mapped(rows, maps, "id", "w").join(maps.select("id", "fine"), "id")
-
-
 def _with_heads(rows: DataFrame) -> DataFrame:
     """rows(g, id) with the group's least line (head) and number of lines (n); groups of one line go."""
     heads = rows.groupBy("g").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
@@ -220,6 +231,12 @@ def _sketched(rows: DataFrame, sig: DataFrame, n: int, key: str, prefix: str) ->
     return rows.join(sig.select(F.col("id").alias(key), *packed), key)
 
 
+def _profiled(rows: DataFrame, sig: DataFrame, maps: DataFrame, n: int) -> DataFrame:
+    """rows with the sketch, both bitmaps and the places of the line in column id, in x0, x1, ..., w, w_places and fine."""
+    of = maps.select("id", F.col("map").alias("w"), F.col("places").alias("w_places"), "fine")
+    return _sketched(rows, sig, n, "id", "x").join(of, "id")
+
+
 def head_pairs(groups: DataFrame, sig: DataFrame, maps: DataFrame, n: int, threshold: float) -> DataFrame:
     """Distinct pairs (a, b) of a line and its group's least line whose sketches agree enough and whose bitmaps allow it."""
     pairs = groups.where("id > head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
@@ -330,13 +347,18 @@ def components(lines: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int
     some, some_path = common.materialize(known.join(lines.select("id", "line"), "id"), "shared-lines", n_lines, compression="zstd")
     common.drop_path(spark, known_path)
     maps, maps_path = common.materialize(bitmaps(some, size), "bitmaps", n_lines)
+    paths = [shared_path, some_path, maps_path]
+    maps, more_paths = counted(maps, some, size)
     fine, fine_path = common.materialize(refined(shared, some), "groups", n_lines)
     pairs, pairs_path = common.materialize(head_pairs(shared.union(fine), some, maps, n, threshold), "pairs", n_lines)
     n_pairs = pairs.count()
     found = common.connected_components(verified_links(pairs, some, size, threshold), rows=n_pairs)
-    paths = [shared_path, some_path, maps_path, fine_path, pairs_path]
-    for turn in range(TURNS + 1):
-        rows, rows_path = common.materialize(_with_fine(_sketched(open_rows(shared, found), some, n, "id", "x"), maps), "open", n_lines)
+    paths += [*more_paths, fine_path, pairs_path]
+    # In a bucket of one block, a turn would meet all lines that the last step meets.
+    large = shared.where(F.col("n") > TURN_BLOCK)
+    for turn in range(0 if not large.isEmpty() else TURNS, TURNS + 1):
+        rows = open_rows(large if turn < TURNS else shared, found)
+        rows, rows_path = common.materialize(_profiled(rows, some, maps, n), "open", n_lines)
         more = turn_pairs(rows, pairs, n, threshold, turn) if turn < TURNS else open_pairs(rows, pairs, n, threshold)
         more, more_path = common.materialize(more, "pairs", n_lines)
         common.drop_path(spark, rows_path)

@@ -1,5 +1,6 @@
 """SimHash, line dedup, connected components, nearest neighbours and the pipeline."""
 
+import re
 from collections import Counter
 
 import numpy as np
@@ -314,6 +315,34 @@ def test_long_and_repetitive_lines_are_verified_if_near(spark, monkeypatch):
     assert near > 20 and sum(seen) < 2 * near + 2 * len(sets), (seen, near)
 
 
+def test_long_lines_have_no_row_a_shingle(spark):
+    """Bitmaps of long lines are made without grouping by line and shingle, a table of which spilled twice the input."""
+    df = spark.createDataFrame([(1, "ab" * 400), (2, "".join(chr(97 + k * k % 26) for k in range(400)))], "id long, line string")
+    plan = line_dedup.bitmaps(df, 8)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"keys=\[id#\d+L, part#", plan) and not re.search(r"keys=\[id#\d+L, s#", plan)
+
+
+def test_repetitive_lines_are_counted(spark):
+    r = np.random.default_rng(12)
+    plain, once = ("".join(r.choice(list("abcdefghijklmnop"), n)) for n in (3000, 250))
+    rows = [(1, plain), (2, once * 12), (3, once), (4, "ab" * 300), (5, "short")]
+    df = spark.createDataFrame(rows, "id long, line string")
+    maps, paths = line_dedup.counted(common.materialize(line_dedup.bitmaps(df, 8), "maps")[0], df, 8)
+    got = {x["id"]: x["places"] for x in maps.collect()}
+    assert got == {k: len(shingles(t)) for k, t in rows} and got[4] == 2 and len(paths) == 2
+
+
+def test_small_buckets_take_no_turn(spark, monkeypatch):
+    """A turn is for buckets of several blocks; in others the last step meets the same lines."""
+    r = np.random.default_rng(6)
+    turns, real = [], line_dedup.turn_pairs
+    monkeypatch.setattr(line_dedup, "turn_pairs", lambda *a: (turns.append(1), real(*a))[1])
+    lines = [x for _ in range(3) for x in dict.fromkeys(one_bucket(r))][:40]
+    assert check_lines(spark, dict(enumerate(lines))) == 0 and not turns
+    monkeypatch.setattr(line_dedup, "TURN_BLOCK", 4)
+    assert check_lines(spark, dict(enumerate(lines))) == 0 and len(turns) == line_dedup.TURNS
+
+
 # Nearest neighbours.
 def test_hilbert_is_a_curve():
     for dims, bits in ((2, 3), (3, 2)):
