@@ -40,7 +40,9 @@ matter to line_verdicts, and drop_lines passes them on.
 
 from __future__ import annotations
 
+from functools import reduce
 from math import comb
+from operator import add
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +63,7 @@ PAIRS_A_TASK = 4096  # that are verified
 LONG = 500_000  # characters of a line whose shingles are no longer listed in one row
 MISS = 1e-4
 PACKED = 6  # bytes of a sketch in one long
+SLICES = 2  # in which the texts of lines that share a bucket are shuffled
 WORDS = 32  # longs of a bitmap
 FINE = 8  # times as many has the second bitmap of a line
 FINE_FROM = 256  # of at least so many shingles
@@ -194,17 +197,17 @@ def may_be_near(threshold: float, a: str, b: str) -> Column:
     Of sets of x and y shingles, d of which are in one alone, (x + y - d) / (x + y + d) are shared;
     d is no less than the bits that differ, x and y no more than the places. For a pair's second bitmaps the same holds.
     """
-    return _allow(threshold, a, b, F.col(f"{a}_places") + F.col(f"{b}_places"))
+    differ = reduce(add, (F.bit_count(F.get(a, F.lit(w)).bitwiseXOR(F.get(b, F.lit(w)))) for w in range(WORDS)))
+    return _allow(threshold, differ, F.col(f"{a}_places") + F.col(f"{b}_places"))
 
 
-def _allow(threshold: float, a: str, b: str, places: Column) -> Column:
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+def _allow(threshold: float, differ: Column, places: Column) -> Column:
     return differ * (1 + threshold) <= places * (1 - threshold) + 1e-6
 
 
-def _mapped(rows: DataFrame, maps: DataFrame, key: str, name: str) -> DataFrame:
+def _mapped(rows: DataFrame, maps: DataFrame, key: str, name: str, how: str = "inner") -> DataFrame:
     """rows with the bitmap and places of the line in column key."""
-    return rows.join(maps.select(F.col("id").alias(key), F.col("map").alias(name), F.col("places").alias(f"{name}_places")), key)
+    return rows.join(maps.select(F.col("id").alias(key), F.col("map").alias(name), F.col("places").alias(f"{name}_places")), key, how)
 
 
 def _with_heads(rows: DataFrame) -> DataFrame:
@@ -238,11 +241,12 @@ def _profiled(rows: DataFrame, sig: DataFrame, maps: DataFrame, n: int) -> DataF
 
 
 def head_pairs(groups: DataFrame, sig: DataFrame, maps: DataFrame, n: int, threshold: float) -> DataFrame:
-    """Distinct pairs (a, b) of a line and its group's least line whose sketches agree enough and whose bitmaps allow it."""
+    """Distinct pairs (a, b) of a line and its group's least line whose sketches agree enough and whose bitmaps, where both have one, allow it."""
     pairs = groups.where("id > head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
     pairs = _sketched(_sketched(pairs, sig, n, "a", "x"), sig, n, "b", "y")
     pairs = pairs.where(agreement(n, "x", "y") >= least_agreement(n, threshold)).select("a", "b")
-    return _mapped(_mapped(pairs, maps, "a", "u"), maps, "b", "v").where(may_be_near(threshold, "u", "v")).select("a", "b")
+    pairs = _mapped(_mapped(pairs, maps, "a", "u", "left"), maps, "b", "v", "left")
+    return pairs.where(F.coalesce(may_be_near(threshold, "u", "v"), F.lit(True))).select("a", "b")
 
 
 def open_rows(shared: DataFrame, found: DataFrame) -> DataFrame:
@@ -268,7 +272,8 @@ def _sides(rows: DataFrame, n: int, at_one: list[Column], at_two: list[Column])
 
 
 def _near(n: int, threshold: float) -> Column:
-    fine = F.coalesce(_allow(threshold, "fu", "fv", F.col("u_places") + F.col("v_places")), F.lit(True))
+    differ = F.aggregate(F.zip_with("fu", "fv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    fine = F.coalesce(_allow(threshold, differ, F.col("u_places") + F.col("v_places")), F.lit(True))
     return (F.col("ca") != F.col("cb")) & (agreement(n, "x", "y") >= least_agreement(n, threshold)) & may_be_near(threshold, "u", "v") & fine
 
 
@@ -335,8 +340,18 @@ def verified_links(pairs: DataFrame, lines: DataFrame, size: int, threshold: flo
     return links
 
 
-def components(lines: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """(node, component) by id, of lines that have a near copy. lines: distinct_lines, written."""
+def shared_lines(known: DataFrame, lines: DataFrame, n_lines: int) -> tuple[DataFrame, list[str]]:
+    """known with their lines, and what was written. All lines' texts are shuffled for it, a slice at a time, so that they never lie on disk twice."""
+    slices = []
+    for k in range(SLICES):
+        one = F.pmod("id", F.lit(SLICES)) == k
+        slices.append(common.materialize(known.where(one).join(lines.where(one).select("id", "line"), "id"), "shared-lines", n_lines // SLICES, compression="zstd"))
+    paths = [path for _, path in slices]
+    return known.sparkSession.read.schema(slices[0][0].schema).parquet(*paths), paths
+
+
+def components(lines: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, path: str | None = None) -> DataFrame:
+    """(node, component) by id, of lines that have a near copy. lines: distinct_lines, written; path: where, if they may go once their texts are read."""
     spark, n, n_lines = lines.sparkSession, bands * rows, lines.count()
     sig, sig_path = common.materialize(signatures(lines, size, bands, rows), "signatures", n_lines)
     shared, shared_path = common.materialize(buckets(sig), "buckets", n_lines)
@@ -344,10 +359,13 @@ def components(lines: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int
     ids = shared.select("id").distinct()
     known, known_path = common.materialize(sig.join(ids, "id", "left_semi"), "signatures", n_lines)
     common.drop_path(spark, sig_path)
-    some, some_path = common.materialize(known.join(lines.select("id", "line"), "id"), "shared-lines", n_lines, compression="zstd")
-    common.drop_path(spark, known_path)
-    maps, maps_path = common.materialize(bitmaps(some, size), "bitmaps", n_lines)
-    paths = [shared_path, some_path, maps_path]
+    some, some_paths = shared_lines(known, lines, n_lines)
+    for gone in (known_path, *([path] if path else [])):
+        common.drop_path(spark, gone)
+    # Two lines that share no larger bucket are one pair: bitmaps would cost more than it takes to verify it.
+    several = some.join(shared.where("n > 2").select("id").distinct(), "id", "left_semi")
+    maps, maps_path = common.materialize(bitmaps(several, size), "bitmaps", n_lines)
+    paths = [shared_path, *some_paths, maps_path]
     maps, more_paths = counted(maps, some, size)
     fine, fine_path = common.materialize(refined(shared, some), "groups", n_lines)
     pairs, pairs_path = common.materialize(head_pairs(shared.union(fine), some, maps, n, threshold), "pairs", n_lines)
@@ -370,20 +388,22 @@ def components(lines: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int
             edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
             found = common.connected_components(edges, rows=n_pairs)
         pairs = pairs.union(more)
-    for path in paths:
-        common.drop_path(spark, path)
+    for gone in paths:
+        common.drop_path(spark, gone)
     return found
 
 
 def labels(docs: DataFrame, **kw) -> DataFrame:
     """h1, h2 and the place that is kept (head), a row for each different line."""
     lines, path = common.materialize(distinct_lines(docs), "lines", compression="zstd")
-    found = components(lines, **kw)
-    firsts = lines.select("id", "first").join(found, F.col("id") == F.col("node")).select("id", "first", "component")
+    n = lines.count()
+    places, places_path = common.materialize(lines.drop("line"), "places", n)
+    found = components(lines, path=path, **kw)
+    firsts = places.select("id", "first").join(found, F.col("id") == F.col("node")).select("id", "first", "component")
     heads = firsts.groupBy("component").agg(F.min("first").alias("head"))
     heads = firsts.join(heads, "component").select("id", "head")
-    out, _ = common.materialize(lines.select("id", "h1", "h2", "first").join(heads, "id", "left").select("h1", "h2", F.coalesce("head", "first").alias("head")), "labels", lines.count())
-    common.drop_path(docs.sparkSession, path)
+    out, _ = common.materialize(places.join(heads, "id", "left").select("h1", "h2", F.coalesce("head", "first").alias("head")), "labels", n)
+    common.drop_path(docs.sparkSession, places_path)
     return out
 
 

@@ -332,6 +332,24 @@ def test_repetitive_lines_are_counted(spark):
     assert got == {k: len(shingles(t)) for k, t in rows} and got[4] == 2 and len(paths) == 2
 
 
+def test_texts_lie_on_disk_no_longer_than_needed(spark, monkeypatch):
+    """Texts of all lines are shuffled in slices, and go before lines that share a bucket are compared."""
+    r, seen = np.random.default_rng(13), []
+    write, drop = common.materialize, common.drop_path
+    monkeypatch.setattr(common, "materialize", lambda df, name, *a, **kw: (seen.append(name), write(df, name, *a, **kw))[1])
+    monkeypatch.setattr(common, "drop_path", lambda spark, path: (seen.append("drop " + path[-6:]), drop(spark, path))[1])
+    assert check_lines(spark, dict(enumerate([*families(r), *short_lines(r)]))) == 0
+    assert seen.count("shared-lines") == line_dedup.SLICES > 1 and seen.index("drop -lines") < seen.index("bitmaps")
+
+
+def test_bitmaps_are_of_buckets_of_several_lines(spark, monkeypatch):
+    """Lines that share buckets with one other alone are verified without bitmaps."""
+    r, seen, real = np.random.default_rng(14), [], line_dedup.bitmaps
+    monkeypatch.setattr(line_dedup, "bitmaps", lambda lines, *a: (seen.append(lines.count()), real(lines, *a))[1])
+    assert check_lines(spark, dict(enumerate(short_lines(r)))) == 0
+    assert len(seen) == 1 and seen[0] < 60  # of 600 lines
+
+
 def test_small_buckets_take_no_turn(spark, monkeypatch):
     """A turn is for buckets of several blocks; in others the last step meets the same lines."""
     r = np.random.default_rng(6)
