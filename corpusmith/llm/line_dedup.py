@@ -18,7 +18,8 @@ components is lost. A comparison first counts equal minima in
 two sketches (a byte of each minimum) and drops the pair where a pair at the threshold would
 have fewer with a probability below ``MISS``. Then two bitmaps (a bit of ``WORDS * 64`` for
 each shingle) are compared: bits that differ are as many shingles that differ at least, so a
-pair with more of them than the threshold allows is dropped without loss. In buckets that are
+pair with more of them than the threshold allows is dropped without loss. Lines whose buckets
+hold two lines each have none: their pairs are verified at once. In buckets that are
 compared in blocks, lines of ``FINE_FROM`` shingles or more have a second bitmap of ``FINE``
 times the size, since the first one fills up. Repetitive lines have fewer shingles than places:
 where the second bitmap has clearly fewer bits than the places would set, the different shingles
@@ -40,6 +41,7 @@ matter to line_verdicts, and drop_lines passes them on.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from math import comb
 from operator import add
@@ -350,8 +352,8 @@ def shared_lines(known: DataFrame, lines: DataFrame, n_lines: int) -> tuple[Data
     return known.sparkSession.read.schema(slices[0][0].schema).parquet(*paths), paths
 
 
-def components(lines: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, path: str | None = None) -> DataFrame:
-    """(node, component) by id, of lines that have a near copy. lines: distinct_lines, written; path: where, if they may go once their texts are read."""
+def components(lines: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD, texts_read: Callable[[], None] | None = None) -> DataFrame:
+    """(node, component) by id, of lines that have a near copy. lines: distinct_lines, written; texts_read: called once they are no longer read."""
     spark, n, n_lines = lines.sparkSession, bands * rows, lines.count()
     sig, sig_path = common.materialize(signatures(lines, size, bands, rows), "signatures", n_lines)
     shared, shared_path = common.materialize(buckets(sig), "buckets", n_lines)
@@ -360,8 +362,9 @@ def components(lines: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int
     known, known_path = common.materialize(sig.join(ids, "id", "left_semi"), "signatures", n_lines)
     common.drop_path(spark, sig_path)
     some, some_paths = shared_lines(known, lines, n_lines)
-    for gone in (known_path, *([path] if path else [])):
-        common.drop_path(spark, gone)
+    common.drop_path(spark, known_path)
+    if texts_read:
+        texts_read()
     # Two lines that share no larger bucket are one pair: bitmaps would cost more than it takes to verify it.
     several = some.join(shared.where("n > 2").select("id").distinct(), "id", "left_semi")
     maps, maps_path = common.materialize(bitmaps(several, size), "bitmaps", n_lines)
@@ -388,17 +391,22 @@ def components(lines: DataFrame, size: int = SIZE, bands: int = BANDS, rows: int
             edges = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
             found = common.connected_components(edges, rows=n_pairs)
         pairs = pairs.union(more)
-    for gone in paths:
-        common.drop_path(spark, gone)
+    for path in paths:
+        common.drop_path(spark, path)
     return found
 
 
 def labels(docs: DataFrame, **kw) -> DataFrame:
     """h1, h2 and the place that is kept (head), a row for each different line."""
     lines, path = common.materialize(distinct_lines(docs), "lines", compression="zstd")
-    n = lines.count()
-    places, places_path = common.materialize(lines.drop("line"), "places", n)
-    found = components(lines, path=path, **kw)
+    n, written = lines.count(), []
+
+    def keep_places() -> None:
+        written.extend(common.materialize(lines.drop("line"), "places", n))
+        common.drop_path(docs.sparkSession, path)
+
+    found = components(lines, texts_read=keep_places, **kw)
+    places, places_path = written
     firsts = places.select("id", "first").join(found, F.col("id") == F.col("node")).select("id", "first", "component")
     heads = firsts.groupBy("component").agg(F.min("first").alias("head"))
     heads = firsts.join(heads, "component").select("id", "head")
